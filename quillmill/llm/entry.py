@@ -7,7 +7,9 @@ import importlib
 #: query -> (module, SQL's name or None)
 _QUERIES = {
     "op1_chat_format": ("chat", "OP1_SQL"),
+    "op2_token_planes": ("tokens", None),
     "op7_line_dedup": ("line_dedup", "OP7_SQL"),
+    "op8_packing": ("packing", None),
 }
 
 
