@@ -8,8 +8,11 @@ import importlib
 _QUERIES = {
     "op1_chat_format": ("chat", "OP1_SQL"),
     "op2_token_planes": ("tokens", None),
+    "op4_minhash": ("minhash", None),
+    "op6_lm_score": ("language_model", None),
     "op7_line_dedup": ("line_dedup", "OP7_SQL"),
     "op8_packing": ("packing", None),
+    "op9_quality_net": ("quality_net", None),
 }
 
 
