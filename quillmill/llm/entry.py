@@ -9,6 +9,7 @@ _QUERIES = {
     "op1_chat_format": ("chat", "OP1_SQL"),
     "op2_token_planes": ("tokens", None),
     "op4_minhash": ("minhash", None),
+    "op5_quality_rules": ("quality_rules", "OP5_SQL"),
     "op6_lm_score": ("language_model", None),
     "op7_line_dedup": ("line_dedup", "OP7_SQL"),
     "op8_packing": ("packing", None),
