@@ -14,6 +14,7 @@ _QUERIES = {
     "op7_line_dedup": ("line_dedup", "OP7_SQL"),
     "op8_packing": ("packing", None),
     "op9_quality_net": ("quality_net", None),
+    "op10_decontaminate": ("decontaminate", None),
 }
 
 
