@@ -8,6 +8,7 @@ import importlib
 _QUERIES = {
     "op1_chat_format": ("chat", "OP1_SQL"),
     "op2_token_planes": ("tokens", None),
+    "op3_secret_scan": ("secrets", None),
     "op4_minhash": ("minhash", None),
     "op5_quality_rules": ("quality_rules", "OP5_SQL"),
     "op6_lm_score": ("language_model", None),
