@@ -16,7 +16,14 @@ WHITE_SPACE = " \t\n\x0b\x0c\r"
 NOT_WORD = r"[\x20\x09-\x0D]+"
 
 
+def bounded_batches(spark: SparkSession, most_rows: int = 1000) -> None:
+    """Texts may be long: an Arrow batch of Spark's default 10,000 rows of them can fill a worker."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > most_rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(most_rows))
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -25,6 +32,7 @@ def shared_path(spark: SparkSession, what: str) -> str:
 
     Only where that setting is missing, as in tests, a temporary folder is set in its place.
     """
+    bounded_batches(spark)
     base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if not base:
         base = tempfile.mkdtemp(prefix="quillmill-")

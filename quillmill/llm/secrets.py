@@ -5,7 +5,7 @@ then looks at each longer token in a sensitive context (a credential word shortl
 its line): a compressor primed with the surrounding text, without the token, and with a
 dictionary of common identifiers shows how many more bytes the token costs. Names, paths and
 prose repeat what the dictionaries hold and cost little; a token that costs at least ``NOVELTY``
-of what random characters of its alphabet would is reported as ``novel``.
+times what random characters of its alphabet would (frame overhead included) is reported as ``novel``.
 
 Nulls and corner cases: a null text is empty; texts are scanned whole, one at a time; rows that
 repeat a doc_id are scanned each; a null doc_id is carried; an empty table gives no rows. Other
@@ -34,7 +34,7 @@ KINDS = ("assign", "access", "hex", "novel")
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~-]{16,}")
 SENSITIVE = re.compile(r"key|secret|token|passw|pwd|auth|cred|bearer|private|session|signature|salt|login|api", re.ASCII | re.IGNORECASE)
-NEAR, AROUND, NOVELTY = 48, 1024, 0.8
+NEAR, AROUND, NOVELTY = 48, 1024, 1.15
 # Fixed words of code and configuration, which no secret consists of.
 IDENTIFIERS = """access account address api application array assert async attribute auth authorization await base64 boolean bucket buffer
 cache callback certificate class client cluster column config configuration connection const constructor container context controller
