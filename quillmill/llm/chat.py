@@ -9,8 +9,8 @@ Template: ``<s>`` once, then ``[INST] role [/INST] text</s>`` for each turn. Con
 inside roles and texts get a backslash after their first character and backslashes are doubled,
 so that a formatted conversation is read back exactly.
 
-Nulls and corner cases: null text and null role are empty; rows with equal turns are ordered by
-role, then text; a null conversation id is one conversation; an empty table gives no rows. A
+Nulls and corner cases: null text and null role are empty; null turns come
+first, rows with equal turns are ordered by role, then text; a null conversation id is one conversation; an empty table gives no rows. A
 conversation is one output row, so its turns meet in one task. Other columns are ignored.
 """
 
@@ -129,9 +129,9 @@ with t as (
   union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'
 )
 select conv_id, count(*) as n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
   coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
-  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
   (3 + sum(7 + length({_sql_escape("role")}) + 9 + length({_sql_escape("text")}) + 4))::bigint as formatted_chars
 from t group by conv_id
 """
