@@ -74,6 +74,11 @@ def load(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+def record(results: DataFrame, path: str) -> None:
+    """Appends (features, strategy, success) rows to a feedback table."""
+    results.select(*FEATURES, "strategy", "success").write.mode("append").parquet(path)
+
+
 def importances(model: PipelineModel) -> dict[str, float]:
     return dict(zip(FEATURES, model.stages[-1].featureImportances.toArray().tolist(), strict=True))
 

@@ -411,6 +411,19 @@ def spell_suggest(spark, sf_dir):
     return spelling.suggest(cores, _dictionary(spark, sf_dir))
 
 
+@query()
+def spell_suggest_aggressive(spark, sf_dir):
+    """Two edits with swaps: DuckDB's distance is the unrestricted one, so tests compare with plain Python."""
+    words = _english(spark, sf_dir).select(F.explode(spelling.tokens(F.col("text"))).alias("w")).where(spelling.eligible(F.col("w")))
+    cores = words.select(F.lower(spelling.affixes(F.col("w"))["core"]).alias("core")).where("core <> ''")
+    return spelling.suggest(cores, _dictionary(spark, sf_dir), 2)
+
+
+@query()
+def correct_with_dictionary(spark, sf_dir):
+    return spelling.correct_with_dictionary(_english(spark, sf_dir), _dictionary(spark, sf_dir))
+
+
 _RESTORE = "case when upper(m) = m and lower(m) <> m then upper(term) when regexp_matches(m, '^\\p{Lu}') then upper(substr(term, 1, 1)) || lower(substr(term, 2)) else term end"
 
 

@@ -98,6 +98,19 @@ def test_spelling(spark, tmp_path):
     assert [r.text for r in lines] == ["(the) FROM Hello", "from, rarre xx"]
 
 
+def test_two_edits_against_plain_python(spark):
+    terms = [("from", 900), ("form", 50), ("garden", 70), ("grade", 30), ("ab", 20), ("a", 15)]
+    cores = ["frorn", "gradne", "fomr", "ba", "xxxxxx", "agrden", "b", "garden"]
+    found = spelling.suggest(spark.createDataFrame([(c,) for c in cores], "core string"), spark.createDataFrame(terms, "term string, count long"), 2)
+    expected = {}
+    for c in cores:
+        near = [(spelling.edits(c, t), -n, t) for t, n in terms if spelling.edits(c, t) <= 2]
+        if near:
+            expected[c] = (min(near)[2], min(near)[0])
+    assert {r.core: (r.term, r.distance) for r in found.collect()} == expected
+    assert spelling.edits("gradne", "garden") == 2 and spelling.edits("ca", "abc") == 3
+
+
 EVENTS = [(1, 1, "ctrl_l", "press"), (1, 2, "T", "press"), (1, 3, "x", "press"), (1, 4, "ctrl_l", "release"), (1, 5, "t", "press"), (2, 1, "t", "press"), (2, 2, "ctrl_r", "press"), (2, 3, "t", "release"), (2, 4, "ctrl_r", "press")]
 
 
