@@ -5,9 +5,10 @@ in a universe of ``UNIVERSE`` slots, and pi orders the slots; coordinate k looks
 further on, circularly. With pi laid out twice in memory a shingle's values for all coordinates
 are one contiguous window, so a signature is the minimum over a few memory rows.
 
-Banding. ``BANDS`` bands of ``ROWS`` coordinates: a pair at similarity 0.85 shares no band with
-probability 1.4e-9. Documents with the same shingle set are one class; only its smallest doc_id
-goes on.
+Banding. At similarity 0.85, 45 bands of 7 coordinates (see ``banding``): a pair at the threshold
+shares no band with probability 4e-8. Documents with the same shingle set are one class; only its smallest doc_id
+goes on. The sets themselves are not kept: those of documents that share a bucket with another
+are made again from their texts.
 
 Verification without pairs of a whole group. In the first round each bucket names one hub (its
 smallest member by a hash) and members are compared with hubs: linear in the band rows. Verified
@@ -29,21 +30,28 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import Batcher, load, rows, stored, words_of
 
-UNIVERSE, BANDS, ROWS, SHINGLE = 1 << 20, 64, 8, 5
+UNIVERSE, SHINGLE = 1 << 20, 5
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, rows): a pair at the threshold shares no band with a probability under 1e-7."""
+    rows = 7 if percent >= 85 else 6 if percent >= 80 else 4
+    miss = 1 - (percent / 100) ** rows
+    return math.ceil(math.log(4e-8) / math.log(miss)), rows
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers (the finaliser of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * _M2
@@ -84,43 +92,53 @@ def shingle_set(words: list[bytes], width: int = SHINGLE) -> np.ndarray:
     return np.unique(acc)
 
 
-@lru_cache(maxsize=1)
-def _windows() -> np.ndarray:
+@lru_cache(maxsize=2)
+def _windows(size: int) -> np.ndarray:
     pi = np.random.default_rng(7).permutation(UNIVERSE).astype(np.uint32)
-    laid = np.concatenate([pi, pi[: BANDS * ROWS]])
-    return np.lib.stride_tricks.sliding_window_view(laid, BANDS * ROWS)
+    laid = np.concatenate([pi, pi[:size]])
+    return np.lib.stride_tricks.sliding_window_view(laid, size)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """BANDS * ROWS coordinates of a shingle set."""
-    windows, out = _windows(), np.full(BANDS * ROWS, np.uint32(0xFFFFFFFF))
+def signature(shingles: np.ndarray, size: int) -> np.ndarray:
+    """``size`` coordinates of a shingle set."""
+    windows, out = _windows(size), np.full(size, np.uint32(0xFFFFFFFF))
     slots = (mix(shingles ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(44)).astype(np.int64)
     for at in range(0, len(slots), 256):
         np.minimum(out, windows[slots[at : at + 256]].min(axis=0), out=out)
     return out
 
 
-def bands(sig: np.ndarray) -> np.ndarray:
+def bands(sig: np.ndarray, n: int) -> np.ndarray:
     """One 64-bit key a band."""
-    acc = np.arange(BANDS, dtype=np.uint64)
-    for row in sig.reshape(BANDS, ROWS).T:
+    acc = np.arange(n, dtype=np.uint64)
+    for row in sig.reshape(n, -1).T:
         acc = mix((acc + row) * _M1)
     return acc.view(np.int64)
 
 
-_SHINGLED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("shingles", pa.binary()), ("bands", pa.list_(pa.int64()))])
-_SHINGLED_SQL = "doc_id long, n_shingles long, set_a long, set_b long, shingles binary, bands array<long>"
+_BANDED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64()))])
+_BANDED_SQL = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
+_SET = pa.schema([("node", pa.int64()), ("n_shingles", pa.int64()), ("shingles", pa.binary())])
 
 
-def _shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _band(batches: Iterator[pa.RecordBatch], n: int, width: int) -> Iterator[pa.RecordBatch]:
     import xxhash
 
-    out = Batcher(_SHINGLED)
+    out = Batcher(_BANDED)
     for doc, text in rows(batches, "doc_id", "text"):
         found = shingle_set(words_of(text))
-        data = found.tobytes()
-        digest = np.frombuffer(xxhash.xxh3_128_digest(data), np.int64)
-        if out.add((doc, len(found), int(digest[0]), int(digest[1]), data, bands(signature(found)).tolist() if len(found) else []), len(data) + 1100):
+        digest = np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), np.int64)
+        if out.add((doc, len(found), int(digest[0]), int(digest[1]), bands(signature(found, n * width), n).tolist() if len(found) else []), 500):
+            yield out.take()
+    if out.rows:
+        yield out.take()
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out = Batcher(_SET)
+    for doc, text in rows(batches, "doc_id", "text"):
+        found = shingle_set(words_of(text))
+        if len(found) and out.add((doc, len(found), found.tobytes()), 8 * len(found)):
             yield out.take()
     if out.rows:
         yield out.take()
@@ -178,17 +196,18 @@ def components(links: DataFrame, labels: DataFrame) -> DataFrame:
 
 def near_groups(docs: DataFrame, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for ``docs`` (doc_id, text)."""
-    shingled = stored(docs.select("doc_id", "text").mapInArrow(_shingle, _SHINGLED_SQL), "near-shingles")
-    classes = shingled.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
-    known = stored(shingled.select("doc_id", "n_shingles", "set_a", "set_b").join(classes, ["set_a", "set_b"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "near-classes")
-    reps = known.where("rep = doc_id and n_shingles > 0").select(F.col("doc_id").alias("node")).distinct()
-    sets = shingled.where("n_shingles > 0").join(reps, F.col("doc_id") == F.col("node"), "left_semi").dropDuplicates(["doc_id", "set_a", "set_b"])
-    banded = sets.select(F.col("doc_id").alias("node"), F.explode("bands").alias("bucket"))
-    shared_buckets = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket")
-    buckets = stored(banded.join(shared_buckets, "bucket").distinct(), "near-buckets")
+    n, width = banding(percent)
+    banded = stored(docs.select("doc_id", "text").mapInArrow(partial(_band, n=n, width=width), _BANDED_SQL), "near-bands")
+    classes = banded.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
+    known = stored(banded.drop("bands").join(classes, ["set_a", "set_b"], "left").select("doc_id", "n_shingles", "set_a", "set_b", F.coalesce("rep", "doc_id").alias("rep")), "near-classes")
+    # One row of a class speaks for it; equal sets have equal bands.
+    spoken = known.where("rep = doc_id and n_shingles > 0").select("doc_id", "set_a", "set_b").distinct()
+    exploded = banded.join(spoken, ["doc_id", "set_a", "set_b"], "left_semi").select(F.col("doc_id").alias("node"), F.explode("bands").alias("bucket"))
+    shared_buckets = exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket")
+    buckets = stored(exploded.join(shared_buckets, "bucket").distinct(), "near-buckets")
     busy = buckets.select("node").distinct()
     # A repeated doc_id has several sets; each of them may prove a link of that document.
-    bodies = stored(sets.select(F.col("doc_id").alias("node"), "shingles", "n_shingles").join(busy, "node", "left_semi"), "near-sets")
+    bodies = stored(docs.select("doc_id", "text").join(busy, F.col("doc_id") == F.col("node"), "left_semi").mapInArrow(_sets, "node long, n_shingles long, shingles binary"), "near-sets")
     verify = _verifier(percent)
 
     def links(pairs: DataFrame) -> DataFrame:
@@ -227,5 +246,11 @@ def near_groups(docs: DataFrame, percent: int = 85) -> DataFrame:
     return known.join(final, known["doc_id"] == final["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def drop_near(docs: DataFrame, percent: int) -> DataFrame:
+    """``docs`` with one document of each group; rows that share its doc_id stay together."""
+    gone = near_groups(docs, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(load(spark, sf_dir, "documents"))
