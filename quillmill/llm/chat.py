@@ -9,9 +9,10 @@ Template: ``<s>`` once, then ``[INST] role [/INST] text</s>`` for each turn. Con
 inside roles and texts get a backslash after their first character and backslashes are doubled,
 so that a formatted conversation is read back exactly.
 
-Nulls and corner cases: null text and null role are empty; null turns come
-first, rows with equal turns are ordered by role, then text; a null conversation id is one conversation; an empty table gives no rows. A
-conversation is one output row, so its turns meet in one task. Other columns are ignored.
+Nulls and corner cases: null text and null role are empty; null turns come first, rows with equal
+turns are ordered by role, then text; a null conversation id is one conversation; an empty table
+gives no rows. A conversation is one output row, so its turns meet in one task. Other columns are
+ignored.
 """
 
 from __future__ import annotations

@@ -176,9 +176,10 @@ def train(docs: DataFrame, labels: DataFrame, *, most_docs: int = MOST_DOCS, hel
     """A classifier from ``labels`` (doc_id, quality) of documents outside the held-out fold."""
     usable = labels.select("doc_id", F.col("quality").cast("long").alias("quality")).where(F.col("quality").isin(0, 1) & (fold(F.col("doc_id")) != held_out_fold)).dropDuplicates()
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most_docs)
-    lessons = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text").mapInArrow(_lessons, "doc_id long, quality long, chunks array<binary>").collect()
-    # Repeated rows of an id may bring more rows than ids were chosen; the bound holds for them too.
-    lessons = sorted(lessons, key=lambda r: (r[0], r[1], r[2]))[: 2 * most_docs]
+    # Rows that repeat an id teach once, so what reaches the driver is bounded by ``most_docs``.
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    lessons = texts.mapInArrow(_lessons, "doc_id long, quality long, chunks array<binary>").collect()
+    lessons = sorted(lessons, key=lambda r: (r[0], r[1]))
     marks = np.array([r[1] for r in lessons], np.float32)
     if len(set(marks.tolist())) < 2:
         return Constant(float(marks[0]) if len(marks) else 0.5)
