@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from conftest import odd_documents
+from odd_tables import odd_documents
 from pyspark.sql import functions as F
 
 from quillmill.llm import chat, decontaminate, language_model, line_dedup, minhash, packing, quality_net, quality_rules, secrets, tokens
@@ -170,6 +170,21 @@ def test_near_chain_and_large_group(spark):
     assert {r.doc_id: r.component_id for r in minhash.near_groups(df, 85).collect()} == plain_components(rows, 85)
 
 
+def test_near_group_of_many_edits(spark):
+    """Copies of one base with up to twelve swaps: some alike, some not, links only between some."""
+    g = np.random.default_rng(4)
+    base, rows = [f"w{i}" for i in range(150)], []
+    for i in range(300):
+        words = list(base)
+        for at in g.integers(0, 149, int(g.integers(0, 13))):
+            words[at], words[at + 1] = words[at + 1], words[at]
+        rows.append((i, " ".join(words), None))
+    expected = plain_components(rows, 85)
+    assert 10 < len(set(expected.values())) < 290
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(5)
+    assert {r.doc_id: r.component_id for r in minhash.near_groups(df, 85).collect()} == expected
+
+
 def test_language_model(spark, small, docs):
     toks = {i: [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w] + [None] for i, t, _ in docs}
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in toks}

@@ -1,7 +1,7 @@
 """Every query on odd tables and on empty ones, with defined results."""
 
 import pytest
-from conftest import odd_documents
+from odd_tables import odd_documents
 
 from quillmill.llm.entry import oracle_sql, queries
 
