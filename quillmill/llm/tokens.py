@@ -1,9 +1,9 @@
 """Token ids: a word-cached encoder, and a chunked bit/byte-plane file format.
 
-Encoding. A text is cut where a non-space character meets white space; no pre-token of either
-tokenizer crosses such a cut, so a text's ids are its pieces' ids in order, and a piece that was
-seen before needs no second encoding. Texts with rarer white space take a slower cut or are
-encoded whole. The cache is bounded.
+Encoding. A text is cut where a non-space character meets a space or line break; no pre-token of
+either tokenizer crosses such a cut, so a text's ids are its pieces' ids in order, and a piece that
+was seen before needs no second encoding. Texts with other white space, or several in a row, are
+encoded whole where white space matters. The cache is bounded.
 
 File format. Rows of a Parquet dataset are chunks of whole documents (so a chunk is readable by
 itself and a lost task is simply run again by Spark's commit protocol): ids are cut into blocks
@@ -20,6 +20,7 @@ plus a chunk.
 from __future__ import annotations
 
 import re
+import string
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -33,51 +34,127 @@ from pyspark.sql import functions as F
 
 from .common import Batcher, load, rows, shared_path
 
-BLOCK_IDS, CHUNK_IDS, CACHED_PIECES = 16_384, 262_144, 400_000
+BLOCK_IDS, CHUNK_IDS, CACHED_PIECES, CACHED_WORDS = 16_384, 262_144, 150_000, 250_000
 #: White space other than the space and \n, and characters on which Python and the tokenizers may not agree.
-_RARE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿]")
-_PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+_RARE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+#: Punctuation that parts from a word before it; the apostrophe doesn't always.
+_TAIL = string.punctuation.replace("'", "")
 
 
-class _Pieces(dict):
-    def __init__(self, encode, prefix: str):
-        super().__init__()
-        self.encode, self.prefix = encode, prefix
+def _byte_chars() -> dict[int, int]:
+    """The characters by which byte-level models name bytes: printable ones themselves, others from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (b for b in range(256) if b not in printable)
+    return {b: 256 + i for i, b in enumerate(others)}
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHED_PIECES:
-            self.clear()
-        ids = self.encode(piece if piece[:1] == "\n" else self.prefix + piece, add_special_tokens=False).ids
-        if len(piece) > 64:
-            return array("I", ids).tobytes()
-        self[piece] = out = array("I", ids).tobytes()
-        return out
+
+_BYTE_CHARS = _byte_chars()
 
 
 class Encoder:
-    """A tokenizer's ids as little-endian 32-bit bytes."""
+    """A tokenizer's ids as little-endian 32-bit bytes.
+
+    The cache maps pieces to ids. A new piece that is a word with punctuation after it is the
+    word's ids and the punctuation's, which both pre-tokenizers part; a new word goes straight to
+    the tokenizer's model. All other new pieces of a text are encoded in one call, joined by a
+    separator that is a pre-token of its own whatever stands beside it.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: Such a tokenizer drops white space, so any piece between spaces stands for itself.
         self.drops_space = '"end_of_word_suffix":"</w>"' in self.tokenizer.to_str()
-        self.spaced, self.bare = _Pieces(self.tokenizer.encode, " "), _Pieces(self.tokenizer.encode, "")
+        self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
+        self.separator = " \x01 " if self.drops_space else "\n"
+        (self.cut,) = np.frombuffer(self.whole(self.separator), "<u4")
+        self.lead = b"" if self.drops_space else self.whole("\n")
+        self.known: dict[str, bytes] = {}
+        self.known_before: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
+        self.forget()
+
+    def forget(self) -> None:
+        """Starts a new generation: pieces that aren't met in it will be forgotten with the next."""
+        self.known_before, self.known = self.known, {}
+        self.known |= {"": b""} if self.drops_space else {"": self.whole(" "), "\n": self.lead}
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def word(self, word: str) -> bytes:
+        """The ids of letters only, perhaps after one space, which are one pre-token."""
+        if word.isascii():
+            octets = word.lower() if self.normalizer else word.replace(" ", "Ġ")
+        else:
+            plain = self.normalizer.normalize_str(word) if self.normalizer else word
+            if not plain.lstrip(" ").isalpha():
+                return self.whole(word)
+            octets = plain.encode().decode("latin-1").translate(_BYTE_CHARS)
+        return array("I", [t.id for t in self.model.tokenize(octets)]).tobytes()
+
+    def learn(self, pieces: list[str]) -> None:
+        """Cache new pieces; one that begins with \n is that and a piece without a space before it."""
+        odd, known, words, tails, before = [], self.known, self.words, self.tails, self.known_before.get
+        for p in pieces:
+            if (ids := before(p)) is not None:
+                known[p] = ids
+                continue
+            lead, body = (self.lead, p[1:]) if p[0] == "\n" else (b"", p)
+            core = body.rstrip(_TAIL)
+            if not core.isalpha():
+                odd.append(p)
+                continue
+            tail = body[len(core) :]
+            core = core if lead or self.drops_space else " " + core
+            if (ids := words.get(core)) is None:
+                if (ids := self.older.get(core)) is None:
+                    ids = self.word(core)
+                words[core] = ids
+                if len(words) > CACHED_WORDS:  # words not met for a generation are forgotten
+                    self.older, self.words = words, (words := {})
+            if (more := tails.get(tail)) is None:
+                if len(tails) > CACHED_PIECES:
+                    tails.clear()
+                more = tails[tail] = self.whole(tail) if tail else b""
+            known[p] = lead + ids + more
+        if not odd:
+            return
+        spaced = [p if self.drops_space else p[1:] if p[0] == "\n" else " " + p for p in odd]
+        ids = np.frombuffer(self.whole(self.separator.join(spaced)), "<u4")
+        ends = np.append(np.flatnonzero(ids == self.cut), len(ids))
+        if len(ends) != len(odd):  # a piece holds the separator
+            for p, text in zip(odd, spaced, strict=True):
+                known[p] = (self.lead if p[0] == "\n" else b"") + self.whole(text)
+            return
+        data, at = ids.tobytes(), 0
+        for p, end in zip(odd, (4 * ends).tolist(), strict=True):
+            known[p] = self.lead + data[at:end] if p[0] == "\n" else data[at:end]
+            at = end + 4
+
+    def pieces(self, pieces: list[str]) -> bytes:
+        known = self.known
+        try:
+            return b"".join(map(known.__getitem__, pieces))
+        except KeyError:
+            if len(known) > CACHED_PIECES:
+                self.forget()
+                known = self.known
+            self.learn(list({p for p in pieces if p not in known}))
+            return b"".join(map(known.__getitem__, pieces))
+
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
         if self.drops_space:
-            return b"".join(map(self.bare.__getitem__, text.replace("\n", " ").split(" ")))
-        if _RARE.search(text):
+            return self.pieces(text.replace("\n", " ").split(" "))
+        if _RARE.search(text) or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n":
             return self.whole(text)
-        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
-            return b"".join(map(self.bare.__getitem__, _PIECE.findall(text)))
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return self.bare[first] + b"".join(map(self.spaced.__getitem__, rest))
+        # The first piece is read as if a line break stood before it, whose id is then left out.
+        return self.pieces(("\n" + text).replace("\n", " \n").split(" ")[1:])[4:]
 
 
 @lru_cache(maxsize=4)
@@ -85,11 +162,16 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def to_planes(ids: np.ndarray, kind: str) -> list[bytes]:
-    """The compressed planes of one block."""
+@lru_cache(maxsize=1)
+def _zstd() -> tuple:
     import zstandard
 
-    squeeze = zstandard.ZstdCompressor(level=3).compress
+    return zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+
+
+def to_planes(ids: np.ndarray, kind: str) -> list[bytes]:
+    """The compressed planes of one block."""
+    squeeze = _zstd()[0].compress
     octets = np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T)
     if kind == "byte":
         return [squeeze(p.tobytes()) for p in octets]
@@ -97,9 +179,7 @@ def to_planes(ids: np.ndarray, kind: str) -> list[bytes]:
 
 
 def from_planes(planes: list[bytes], n: int, kind: str) -> np.ndarray:
-    import zstandard
-
-    open_ = zstandard.ZstdDecompressor().decompress
+    open_ = _zstd()[1].decompress
     if kind == "byte":
         octets = np.stack([np.frombuffer(open_(p), np.uint8) for p in planes])
     else:
