@@ -11,12 +11,15 @@ goes on. The sets themselves are not kept: those of documents that share a bucke
 are made again from their texts.
 
 Verification without pairs of a whole group. In the first round each bucket names one hub (its
-smallest member by a hash) and members are compared with hubs: linear in the band rows. Verified
-links merge classes into components. Later rounds look only at buckets that still hold more than
-one component, where every class outside the bucket's largest component is compared with the
-members of other components, in slices that grow fourfold: every candidate pair whose members
-are not already in one component is compared before the loop ends, so no link is lost. Links are
-confirmed on full shingle sets (64-bit hashes of the shingles).
+member of least hash) and members are compared with hubs: linear in the band rows. Verified links
+merge classes into components. What is left are pairs x, y of different components under one hub
+p. Their differences to the hub, x ^ p and y ^ p, must then overlap: if they didn't, both would be
+linked with p. So a prefix filter on the differences finds them: alike sets differ in at most
+(1 - t) / t of |x| shingles, hence x and y share one of the first so many plus one elements of
+their differences, ordered with those missing in p first, which are rare. These elements are new,
+small buckets; in them every class outside a bucket's largest component is compared with the
+members of other components, in slices that grow sixteenfold until all had their turn. No link
+between candidates is lost. Links are confirmed on full shingle sets (64-bit hashes of shingles).
 
 Components. Minimum-label propagation with pointer jumping on the verified links; every round is
 written to the shared folder.
@@ -152,15 +155,28 @@ def shared(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
 
 
-def _verifier(percent: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def differences(hub: int, x: np.ndarray, p: np.ndarray, percent: int) -> np.ndarray:
+    """Keys, within the hub's group, of the first elements of ``x ^ p``."""
+    new, gone = (u[~np.isin(u, v, assume_unique=True)] for u, v in ((x, p), (p, x)))
+    first = np.concatenate([new, gone])[: (100 - percent) * len(x) // percent + 1]
+    return mix(first ^ mix(np.array([hub], np.int64).view(np.uint64))).view(np.int64)
+
+
+_LINK_SQL = "a long, b long, linked boolean, keys array<long>"
+
+
+def _verifier(percent: int, hubs: bool):
+    """Whether a and b are linked; for hubs a, also the keys of b's differences."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Batcher(schema)
         for a, b, x, y in rows(batches, "a", "b", "x", "y"):
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
             both = shared(x, y)
-            if 100 * both >= percent * (len(x) + len(y) - both) and out.add((a, b)):
+            linked = 100 * both >= percent * (len(x) + len(y) - both)
+            keys = differences(a, y, x, percent).tolist() if hubs else []
+            if (linked or hubs) and out.add((a, b, linked, keys), 40 + 8 * len(keys)):
                 yield out.take()
         if out.rows:
             yield out.take()
@@ -208,39 +224,44 @@ def near_groups(docs: DataFrame, percent: int = 85) -> DataFrame:
     busy = buckets.select("node").distinct()
     # A repeated doc_id has several sets; each of them may prove a link of that document.
     bodies = stored(docs.select("doc_id", "text").join(busy, F.col("doc_id") == F.col("node"), "left_semi").mapInArrow(_sets, "node long, n_shingles long, shingles binary"), "near-sets")
-    verify = _verifier(percent)
 
-    def links(pairs: DataFrame) -> DataFrame:
-        fits = f"100 * least(nx, ny) >= {int(percent)} * greatest(nx, ny)"
+    def links(pairs: DataFrame, hubs: bool = False) -> DataFrame:
+        # Sets of too different sizes can't be alike; under a hub their differences are still needed.
+        fits = "true" if hubs else f"100 * least(nx, ny) >= {int(percent)} * greatest(nx, ny)"
         left = bodies.select(F.col("node").alias("a"), F.col("n_shingles").alias("nx"), F.col("shingles").alias("x"))
         right = bodies.select(F.col("node").alias("b"), F.col("n_shingles").alias("ny"), F.col("shingles").alias("y"))
-        sized = pairs.join(left.drop("x"), "a").join(right.drop("y"), "b").where(fits).select("a", "b").distinct()
-        return stored(sized.join(left, "a").join(right, "b").where(fits).select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "near-links")
+        sized = pairs if hubs else pairs.join(left.drop("x"), "a").join(right.drop("y"), "b").where(fits).select("a", "b").distinct()
+        return stored(sized.join(left, "a").join(right, "b").where(fits).select("a", "b", "x", "y").mapInArrow(_verifier(percent, hubs), _LINK_SQL), "near-links")
 
     # Rows that share a doc_id are one node whatever their texts; its classes start out linked.
     same_id = known.where("rep <> doc_id and n_shingles > 0").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
     nodes = known.where("n_shingles > 0 and doc_id is not null").select(F.col("doc_id").alias("node"), F.col("rep").alias("label")).groupBy("node").agg(F.min("label").alias("label"))
     nodes = stored(nodes, "near-labels")
     nodes = components(same_id, nodes)
-    hubs = buckets.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", "bucket").alias("rank"), "node"))["node"].alias("hub"))
-    first = buckets.join(hubs, "bucket").where("hub <> node").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
-    nodes = components(links(first), nodes)
-    done, upto = 0.0, 4.0
-    live = buckets
+    hubs = buckets.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node").alias("rank"), "node"))["node"].alias("a"))
+    first = links(buckets.join(hubs, "bucket").where("a <> node").select("a", F.col("node").alias("b")).distinct(), hubs=True)
+    nodes = components(first.where("linked").select("a", "b"), nodes)
+    # Only groups whose members are still in several components go on, by the keys of their differences.
+    placed = first.join(nodes.select(F.col("node").alias("b"), "label"), "b")
+    torn = placed.groupBy("a").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("a")
+    keyed = stored(first.join(torn, "a", "left_semi").select(F.col("b").alias("node"), F.explode("keys").alias("bucket")), "near-keys")
+    live = keyed.join(keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "bucket", "left_semi").distinct()
+    done, upto = 0.0, 8.0
     while True:
         tagged = live.join(nodes, "node")
         mixed = tagged.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-        spread = mixed.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "label"))["label"].alias("main"), F.sum("n").alias("size")).where("parts > 1 and size > 2")
+        spread = mixed.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "label"))["label"].alias("main"), F.sum("n").alias("size")).where("parts > 1")
         live = stored(tagged.join(spread, "bucket").select("bucket", "node", "label", "main", "size", (F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / float(1 << 30)).alias("place")), "near-live")
         if live.isEmpty():
             break
-        minor = live.where("label <> main").withColumn("turn", F.col("place") * F.col("size"))
-        turn = minor.where((F.col("turn") >= done) & (F.col("turn") < upto)).select("bucket", F.col("node").alias("a"), F.col("label").alias("la"))
-        pairs = turn.join(live.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb")), "bucket").where("la <> lb")
-        nodes = components(links(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), nodes)
+        turn = F.col("place") * F.col("size")
+        minor = live.where((F.col("label") != F.col("main")) & (turn >= done) & (turn < upto)).select("bucket", F.col("node").alias("a"), F.col("label").alias("la"))
+        pairs = minor.join(live.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb")), "bucket").where("la <> lb")
+        found = links(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        nodes = components(found.select("a", "b"), nodes)
         # A bucket is done when all its members have had their turn.
         live = live.where(F.col("size") > upto).select("bucket", "node")
-        done, upto = upto, upto * 4
+        done, upto = upto, upto * 16
     named = nodes.groupBy("label").agg(F.min("node").alias("component"))
     final = nodes.join(named, "label").select("node", "component")
     return known.join(final, known["doc_id"] == final["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
