@@ -10,7 +10,8 @@ exact binomial tail P(Bin(n, risk) <= k) tests the claim that the false rejectio
 Multiple testing: the level is split over all strata and signals (Bonferroni); along one signal
 cutoffs are tested from the most lenient to the strictest and the first failure ends the sequence
 (fixed-sequence testing), so the whole set of cutoffs holds with probability 1 - ``level``. A
-stratum with too few labels proves nothing and gets no cutoff. A document is kept if it passes
+stratum with too few labels proves nothing and gets no cutoff; ``uncertified`` names these strata
+and signals, and a larger ``risk`` certifies smaller strata. A document is kept if it passes
 the base rule and no certified cutoff of its stratum rejects it.
 
 Nulls and corner cases: a null text has no words (and fails the base rule); a null lang is a
@@ -100,11 +101,26 @@ def cutoffs(good: DataFrame, *, risk: float = RISK, level: float = LEVEL) -> Dat
     return chosen.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("signal", "cutoff"))).alias("cutoffs"))
 
 
-def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def good_only(counted: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``counted`` that all their labels call good."""
+    good_ids = labels.groupBy("doc_id").agg(F.min("quality").alias("low"), F.max("quality").alias("high")).where("low = 1 and high = 1").select("doc_id")
+    return counted.join(good_ids, "doc_id", "left_semi")
+
+
+def uncertified(docs: DataFrame, labels: DataFrame, *, risk: float = RISK, level: float = LEVEL) -> DataFrame:
+    """(stratum, n_good, signals) of ``docs``: the signals that no cutoff is certified for."""
+    seen = stored(counts(docs), "rules-counts")
+    good = good_only(seen, labels)
+    n_good = seen.select("stratum").distinct().join(good.groupBy("stratum").agg(F.count(F.lit(1)).alias("n_good")), "stratum", "left")
+    names = F.array(*(F.lit(name) for name, _, _ in SIGNALS))
+    missing = F.array_except(names, F.coalesce(F.map_keys("cutoffs"), F.array().cast("array<string>")))
+    return n_good.join(cutoffs(good, risk=risk, level=level), "stratum", "left").select("stratum", F.coalesce("n_good", F.lit(0)).alias("n_good"), missing.alias("signals")).where("size(signals) > 0")
+
+
+def judge(docs: DataFrame, labels: DataFrame, *, risk: float = RISK) -> DataFrame:
     """The counts of ``docs`` with ``base_failed``, ``kept`` and ``rejected_by`` (names of signals)."""
     seen = stored(counts(docs), "rules-counts")
-    good_ids = labels.groupBy("doc_id").agg(F.min("quality").alias("low"), F.max("quality").alias("high")).where("low = 1 and high = 1").select("doc_id")
-    certified = stored(cutoffs(seen.join(good_ids, "doc_id", "left_semi")), "rules-cutoffs")
+    certified = stored(cutoffs(good_only(seen, labels), risk=risk), "rules-cutoffs")
     # One row a stratum; sent to all executors only while there are few strata.
     if certified.count() <= MOST_BROADCAST_STRATA:
         certified = F.broadcast(certified)
