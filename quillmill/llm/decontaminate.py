@@ -7,8 +7,9 @@ joined with those of the benchmark items; windows that are mostly placeholders a
 since any table of numbers has them. Items with no usable window are looked for literally; items
 shorter than a window are one window.
 
-A passage of a document that matches an item is a run of matching windows in ascending order.
-Its slots are checked: one value of the item must stand for one value of the document throughout.
+A passage of a document that matches an item is a run of matching windows along a diagonal of
+(document, item) positions, or along several where words were put in or left out; a position of
+the document never stands for two of the item. Its slots are checked: one value of the item must stand for one value of the document throughout.
 A consistent passage that covers ``SHARE`` of the item's windows is a leak.
 
 Distribution: the benchmark is the small side. It is joined in blocks of at most about
@@ -129,7 +130,7 @@ class Index:
     """Windows of benchmark items, sorted by hash; ``modes`` are the (width, literal) in use."""
 
     def __init__(self, items: list[tuple[int | None, str | None]]):
-        found, self.items, self.slots, self.modes, self.width_of = [], [], [], set(), []
+        found, self.items, self.slots, self.modes, self.width_of, self.places = [], [], [], set(), [], []
         for item, text in items:
             template, literal, kinds, pieces, at = _PIECES.tokens(text or "")
             if not len(template):
@@ -145,6 +146,7 @@ class Index:
             self.slots.append({int(i): _EDGE.sub("", pieces[at[i]]).lower() for i in np.flatnonzero(kinds)})
             self.modes.add((width, salt))
             self.width_of.append(width)
+            self.places.append({p: k for k, p in enumerate(places.tolist())})
             found += [(h, number, p) for h, p in zip(hashes.tolist(), places.tolist(), strict=True)]
         found.sort()
         self.hashes = np.array([h for h, _, _ in found], np.uint64)
@@ -178,30 +180,56 @@ class Index:
             k = end
         return out
 
+    def _read(self, number: int, run: list[tuple], pieces: list[str], at: np.ndarray) -> tuple[dict[str, str] | None, set[int]]:
+        """What the item's values stand for in a run of hits, None if that differs, and the slots seen."""
+        width, slots = self.width_of[number], self.slots[number]
+        stands: dict[str, str] = {}
+        used, same = set(), True
+        for _, d, p in run:
+            for j in range(width):
+                if p + j not in used and (value := slots.get(p + j)) is not None:
+                    other = _EDGE.sub("", pieces[at[d + j]]).lower()
+                    same &= stands.setdefault(value, other) == other
+                    used.add(p + j)
+        return stands if same else None, used
+
     def _passages(self, number: int, hits: list[tuple], pieces: list[str], at: np.ndarray) -> Iterator[tuple]:
-        """(matched, slots, changed, consistent) of each run of hits in ascending order of the item."""
-        width, slots, length = self.width_of[number], self.slots[number], self.items[number][2]
-        run: list[tuple[int, int]] = []
-
-        def close() -> tuple:
-            stands: dict[str, str] = {}
-            consistent, used = True, set()
-            for d, p in run:
-                for j in range(width):
-                    if (value := slots.get(p + j)) is not None:
-                        other = _EDGE.sub("", pieces[at[d + j]]).lower()
-                        consistent &= stands.setdefault(value, other) == other
-                        used.add(p + j)
-            return len({p for _, p in run}), len(used), sum(a != b for a, b in stands.items()), consistent
-
-        for _, d, p in hits:
-            if run and (p <= run[-1][1] or d - run[-1][0] > length):
-                if d == run[-1][0]:
-                    continue
-                yield close()
-                run = []
-            run.append((d, p))
-        yield close()
+        """(matched, slots, changed, consistent) of runs of hits.
+
+        On one diagonal (d - p) a document position has one item position. Hits of a diagonal are
+        tried as one run; pieces of it without a gap are joined with pieces of other diagonals
+        (words put in or left out) by the longest run before them that they don't contradict.
+        """
+        length, places = self.items[number][2], self.places[number]
+        diagonals: dict[int, list[tuple]] = {}
+        for hit in hits:
+            diagonals.setdefault(hit[1] - hit[2], []).append(hit)
+        parts = []
+        for run in diagonals.values():
+            cuts = [0, *(k for k in range(1, len(run)) if places[run[k][2]] != places[run[k - 1][2]] + 1), len(run)]
+            if len(cuts) > 2:
+                stands, used = self._read(number, run, pieces, at)
+                yield len(run), len(used), sum(a != b for a, b in (stands or {}).items()), stands is not None
+            parts += [run[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        parts.sort(key=lambda run: run[0])
+        ends: list[tuple] = []  # (matched, last d, last p, stands, used, first d) of the best run to each part
+        first = 0
+        for run in parts:
+            (_, d, p), (_, last_d, last_p) = run[0], run[-1]
+            stands, used = self._read(number, run, pieces, at)
+            if stands is None:
+                yield len(run), len(used), 0, False
+                continue
+            while first < len(ends) and ends[first][5] < d - 2 * length:
+                first += 1
+            before = [e for e in ends[first:] if e[1] < d <= e[1] + length and e[2] < p]
+            matched = len(run)
+            for e in sorted(before, key=lambda e: -e[0]):
+                if all(e[3].get(a, b) == b for a, b in stands.items()):
+                    matched, stands, used = matched + e[0], e[3] | stands, e[4] | used
+                    break
+            ends.append((matched, last_d, last_p, stands, used, d))
+            yield matched, len(used), sum(a != b for a, b in stands.items()), True
 
 
 def leaked(hit: tuple) -> bool:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quillmill.llm import quality_rules
+from quillmill.llm import decontaminate, quality_rules
 
 
 def test_symbol_heavy_documents_by_risk(spark):
@@ -14,3 +14,19 @@ def test_symbol_heavy_documents_by_risk(spark):
     bad = labels.groupBy("doc_id").agg(F.max("quality").alias("high")).where("high = 0")
     heavy = quality_rules.judge(docs, labels, risk=0.02).join(bad, "doc_id", "left_semi").where("n_symbols > 0.05 * word_chars")
     assert heavy.count() == 303 and heavy.where("kept").isEmpty()
+
+
+SHOP = "In the shop Tom has 3 apples and Sue has 5 apples and Ann has 2 apples. How many apples do they have together?"
+PEARS = "At noon Tom buys 3 red apples and 4 pears, then Sue buys 5 red apples and 6 pears, then Ann buys 2 red apples and 9 pears."
+
+
+def test_items_with_parallel_clauses():
+    index = decontaminate.Index([(1, SHOP), (2, PEARS)])
+    for item, text, n in ((1, SHOP, 17), (2, PEARS, 21)):
+        (hit,) = [h for h in index.search(f"Some words before. {text} Some words after.") if h[0] == item]
+        assert hit[1:3] == (n, n) and hit[4] == 0 and decontaminate.leaked(hit)
+    changed = SHOP.replace("Tom", "Max").replace("3", "30").replace("2", "21")
+    (hit,) = index.search(f"{changed} {changed}")
+    assert hit[1:3] == (17, 17) and hit[4] == 3 and hit[5]
+    longer = PEARS.replace("then Sue", "and a little later that day Sue")
+    assert any(h[0] == 2 and decontaminate.leaked(h) for h in index.search(longer))
