@@ -2,7 +2,8 @@
 
 Tokens are white-space separated pieces without punctuation at their ends, lowered. Numbers,
 units and names (capitalised words inside a sentence) become typed placeholders; so a question
-whose parameters were exchanged keeps its template. Windows of ``WIDTH`` tokens are hashed and
+whose parameters were exchanged keeps its template. A capitalised word at a sentence's start may
+be a name or not: windows with one are looked for both ways. Windows of ``WIDTH`` tokens are hashed and
 joined with those of the benchmark items; windows that are mostly placeholders are not used,
 since any table of numbers has them. Items with no usable window are looked for literally; items
 shorter than a window are one window.
@@ -42,7 +43,6 @@ UNITS = frozenset("mm cm m km inch inches ft feet foot yard yards mile miles mg
 NUMBERS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
 
 _NUMBER = re.compile(r"[$€£+-]*\d[\d.,:/]*[a-zA-Z%°]{0,3}")
-_SPACE = re.compile(r"[^\S\n ]")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _M = np.uint64(0x9E3779B97F4A7C15)
 NUM, UNIT, NAME = 1, 2, 3
@@ -52,6 +52,10 @@ _KIND = mix(np.arange(1, 5, dtype=np.uint64) * _M)
 
 def classify(piece: str) -> tuple[str, int, int, bool]:
     """(literal, kind at a sentence's start, kind inside it, whether a sentence ends here)."""
+    if piece.isalpha() and piece.islower():  # most pieces
+        low = piece.lower()
+        kind = UNIT if low in UNITS else NUM if low in NUMBERS else 0
+        return low, kind, kind, False
     core = piece if piece.isalpha() else piece.rstrip(".,;:!?")
     if not core.isalpha():
         core = _EDGE.sub("", piece)
@@ -81,48 +85,75 @@ class Pieces:
         self.kind_start, self.kind_inside = np.zeros(self.ROOM, np.int8), np.zeros(self.ROOM, np.int8)
         self.ends = np.zeros(self.ROOM, bool)
 
-    def add(self, piece: str) -> int:
-        import xxhash
+    def add(self, pieces: list[str]) -> None:
+        from xxhash import xxh3_64_intdigest as digest
 
-        literal, first, inside, ends = classify(piece)
-        i = self.ids[piece] = len(self.ids)
-        self.literal[i] = xxhash.xxh3_64_intdigest(literal.encode("utf-8", "surrogatepass")) | 8 if literal else 0
-        self.start[i], self.inside[i] = (_KIND[k] if k else self.literal[i] for k in (first, inside))
-        self.kind_start[i], self.kind_inside[i], self.ends[i] = first, inside, ends
-        return i
+        new = [p for p in dict.fromkeys(pieces) if p not in self.ids]
+        at, end = len(self.ids), len(self.ids) + len(new)
+        self.ids.update(zip(new, range(at, end), strict=True))
+        literals, starts, insides, ends = zip(*map(classify, new), strict=True)
+        hashes = np.array([digest(x.encode("utf-8", "surrogatepass")) | 8 if x else 0 for x in literals], np.uint64)
+        self.literal[at:end], self.ends[at:end] = hashes, ends
+        for kinds, own, out in ((starts, self.kind_start, self.start), (insides, self.kind_inside, self.inside)):
+            own[at:end] = kinds
+            out[at:end] = np.where(own[at:end] == 0, hashes, _KIND[own[at:end]])
 
-    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
-        """(template hashes, literal hashes, slot kinds, pieces, each token's piece)."""
-        pieces = (_SPACE.sub(" ", text)).replace("\n", " \n ").split(" ")
+    def tokens(self, text: str) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray, tuple[np.ndarray, np.ndarray], list[str], np.ndarray]:
+        """(template hashes, literal hashes, slot kinds, pieces, each token's piece).
+
+        Templates and kinds are given twice: capitalised words at a sentence's start as words, and as names.
+        """
+        first_line, *lines = text.split("\n")
+        pieces = first_line.split()
+        for line in lines:
+            pieces.append("\n")
+            pieces += line.split()
         if len(self.ids) + len(pieces) > self.ROOM:
             self.reset()
             self.ROOM = max(self.ROOM, 2 * len(pieces))
             self.reset()
-        if "" in pieces:  # these must not count as the piece before a token
-            pieces = [p for p in pieces if p]
         ids = list(map(self.ids.get, pieces))
         if None in ids:
-            known, add = self.ids, self.add
-            ids = [known[p] if p in known else add(p) for p in pieces]
+            self.add(pieces)
+            ids = list(map(self.ids.get, pieces))
         ids = np.array(ids, np.int64)
         first = np.concatenate(([True], self.ends[ids[:-1]])) if len(ids) else np.zeros(0, bool)
-        template = np.where(first, self.start[ids], self.inside[ids])
-        kinds = np.where(first, self.kind_start[ids], self.kind_inside[ids])
         real = np.flatnonzero(self.literal[ids])
-        return template[real], self.literal[ids[real]], kinds[real], pieces, real
+        first, ids = first[real], ids[real]
+        named, named_kinds = self.inside[ids], self.kind_inside[ids]
+        template, kinds = np.where(first, self.start[ids], named), np.where(first, self.kind_start[ids], named_kinds)
+        return (template, named), self.literal[ids], (kinds, named_kinds), pieces, real
 
 
 def windows(tokens: np.ndarray, width: int, salt: int) -> np.ndarray:
     n = len(tokens) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    acc = np.full(n, np.uint64(width * 2 + salt))
-    for k in range(width):
-        acc *= _M
-        acc += tokens[k : k + n]
+    # Windows of a power of two by doubling, the rest a token at a time.
+    acc, size, factor = tokens, 1, _M
+    with np.errstate(over="ignore"):
+        while 2 * size <= width:
+            ahead = acc[size:]
+            acc = acc[: len(ahead)] * factor
+            acc += ahead
+            size, factor = 2 * size, factor * factor
+        acc = acc[:n].copy()
+        for k in range(size, width):
+            acc *= _M
+            acc += tokens[k : k + n]
+        start = np.uint64(width * 2 + salt)
+        for _ in range(width):
+            start = start * _M
+    acc += start
     return mix(acc)
 
 
+def _differing(templates: tuple[np.ndarray, np.ndarray], width: int) -> np.ndarray:
+    """Places of the windows in which the two templates differ."""
+    before = np.concatenate(([0], np.cumsum(templates[0] != templates[1])))
+    return np.flatnonzero(before[width:] > before[:-width])
+
+
 _PIECES = Pieces()
 
 
@@ -132,60 +163,79 @@ class Index:
     def __init__(self, items: list[tuple[int | None, str | None]]):
         found, self.items, self.slots, self.modes, self.width_of, self.places = [], [], [], set(), [], []
         for item, text in items:
-            template, literal, kinds, pieces, at = _PIECES.tokens(text or "")
-            if not len(template):
+            templates, literal, kinds, pieces, at = _PIECES.tokens(text or "")
+            if not len(literal):
                 continue
-            width = min(WIDTH, len(template))
-            plain = np.convolve(kinds == 0, np.ones(width, int), "valid")
-            good = np.flatnonzero(plain >= min(LITERALS, (width + 1) // 2))
+            width = min(WIDTH, len(literal))
+            good, named = (np.flatnonzero(np.convolve(k == 0, np.ones(width, int), "valid") >= min(LITERALS, (width + 1) // 2)) for k in kinds)
             salt = 0 if len(good) else 1
             places = good if len(good) else np.arange(len(literal) - width + 1)
-            hashes = windows(literal if salt else template, width, salt)[places]
+            hashes = windows(literal if salt else templates[0], width, salt)[places]
             number = len(self.items)
-            self.items.append((item, len(places), len(template)))
-            self.slots.append({int(i): _EDGE.sub("", pieces[at[i]]).lower() for i in np.flatnonzero(kinds)})
+            self.items.append((item, len(places), len(literal)))
+            self.slots.append([{int(i): _EDGE.sub("", pieces[at[i]]).lower() for i in np.flatnonzero(k)} for k in kinds])
             self.modes.add((width, salt))
             self.width_of.append(width)
             self.places.append({p: k for k, p in enumerate(places.tolist())})
-            found += [(h, number, p) for h, p in zip(hashes.tolist(), places.tolist(), strict=True)]
+            found += [(h, number, p, 0) for h, p in zip(hashes.tolist(), places.tolist(), strict=True)]
+            if not salt:
+                other = np.intersect1d(named, _differing(templates, width))
+                found += [(h, number, p, 1) for h, p in zip(windows(templates[1], width, 0)[other].tolist(), other.tolist(), strict=True)]
         found.sort()
-        self.hashes = np.array([h for h, _, _ in found], np.uint64)
-        self.owner = np.array([i for _, i, _ in found], np.int64)
-        self.place = np.array([p for _, _, p in found], np.int64)
+        self.hashes = np.array([h for h, _, _, _ in found], np.uint64)
+        self.owner, self.place, self.named = (np.array([f[k] for f in found], np.int64) for k in (1, 2, 3))
+        # Most windows of documents are no item's; a table of leading bits tells it of nearly all of them.
+        bits = min(24, max(16, (16 * len(found)).bit_length()))
+        self.shift, self.leading = np.uint64(64 - bits), np.zeros(1 << bits, bool)
+        self.leading[self.hashes >> self.shift] = True
 
     def search(self, text: str | None) -> list[tuple]:
         """(item_id, matched, windows, slots, changed, consistent) of the best passage for each item found."""
         if not text or not len(self.hashes):
             return []
-        template, literal, _, pieces, at = _PIECES.tokens(text)
-        hits = []
+        templates, literal, _, pieces, at = _PIECES.tokens(text)
+        hits: dict[tuple[int, int, int], int] = {}
         for width, salt in sorted(self.modes):
-            own = windows(literal if salt else template, width, salt)
-            lo = np.searchsorted(self.hashes, own)
-            there = np.flatnonzero(self.hashes[np.minimum(lo, len(self.hashes) - 1)] == own)
-            for d in there.tolist():
-                i = int(lo[d])
-                while i < len(self.hashes) and self.hashes[i] == own[d]:
-                    hits.append((int(self.owner[i]), d, int(self.place[i])))
-                    i += 1
-        hits.sort()
+            self._match(windows(literal if salt else templates[0], width, salt), None, hits)
+            if not salt and len(there := _differing(templates, width)):
+                self._match(windows(templates[1], width, 0)[there], there, hits)
+        found = sorted((*hit, named) for hit, named in hits.items())
         out, k = [], 0
-        while k < len(hits):
+        while k < len(found):
             end = k
-            while end < len(hits) and hits[end][0] == hits[k][0]:
+            while end < len(found) and found[end][0] == found[k][0]:
                 end += 1
-            number = hits[k][0]
-            best = max(self._passages(number, hits[k:end], pieces, at), key=lambda p: (p[3], p[0], -p[2]))
+            number, own = found[k][0], found[k:end]
+            passages = list(self._passages(number, own, pieces, at))
+            # A word that only looks like a name must not spoil what agrees without it.
+            if any(named for *_, named in own) and (plain := [hit for hit in own if not hit[3]]):
+                passages += self._passages(number, plain, pieces, at)
+            best = max(passages, key=lambda p: (p[3], p[0], -p[2]))
             out.append((self.items[number][0], best[0], self.items[number][1], best[1], best[2], best[3]))
             k = end
         return out
 
+    def _match(self, own: np.ndarray, at: np.ndarray | None, hits: dict[tuple[int, int, int], int]) -> None:
+        """Adds (item, document's place, item's place) of equal windows, and whether the item's one has names at starts."""
+        maybe = np.flatnonzero(self.leading[own >> self.shift])
+        if not len(maybe):
+            return
+        lo = np.searchsorted(self.hashes, own[maybe])
+        there = np.flatnonzero(self.hashes[np.minimum(lo, len(self.hashes) - 1)] == own[maybe])
+        for k in there.tolist():
+            i, h = int(lo[k]), own[maybe[k]]
+            d = int(maybe[k] if at is None else at[maybe[k]])
+            while i < len(self.hashes) and self.hashes[i] == h:
+                hit = int(self.owner[i]), d, int(self.place[i])
+                hits[hit] = min(hits.get(hit, 1), int(self.named[i]))
+                i += 1
+
     def _read(self, number: int, run: list[tuple], pieces: list[str], at: np.ndarray) -> tuple[dict[str, str] | None, set[int]]:
         """What the item's values stand for in a run of hits, None if that differs, and the slots seen."""
-        width, slots = self.width_of[number], self.slots[number]
+        width, slots = self.width_of[number], self.slots[number][any(named for *_, named in run)]
         stands: dict[str, str] = {}
         used, same = set(), True
-        for _, d, p in run:
+        for _, d, p, _ in run:
             for j in range(width):
                 if p + j not in used and (value := slots.get(p + j)) is not None:
                     other = _EDGE.sub("", pieces[at[d + j]]).lower()
@@ -215,7 +265,7 @@ class Index:
         ends: list[tuple] = []  # (matched, last d, last p, stands, used, first d) of the best run to each part
         first = 0
         for run in parts:
-            (_, d, p), (_, last_d, last_p) = run[0], run[-1]
+            (_, d, p, _), (_, last_d, last_p, _) = run[0], run[-1]
             stands, used = self._read(number, run, pieces, at)
             if stands is None:
                 yield len(run), len(used), 0, False

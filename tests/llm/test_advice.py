@@ -30,3 +30,18 @@ def test_items_with_parallel_clauses():
     assert hit[1:3] == (17, 17) and hit[4] == 3 and hit[5]
     longer = PEARS.replace("then Sue", "and a little later that day Sue")
     assert any(h[0] == 2 and decontaminate.leaked(h) for h in index.search(longer))
+
+
+def test_names_that_open_sentences():
+    item = "Tom has 3 apples. Sue has 5 apples. Ann eats 2 apples. How many apples are left?"
+    index = decontaminate.Index([(1, item)])
+    swap = lambda text, names: " ".join(names.get(w, w) for w in text.split(" "))
+    other = {"Tom": "Max", "Sue": "Eva", "Ann": "Kim"}
+    (hit,) = index.search(swap(item, other))
+    assert hit == (1, 10, 10, 7, 3, True)
+    assert decontaminate.leaked(index.search("Before it. Yesterday " + swap(item, other | {"3": "30", "5": "7"}))[0])
+    twice = decontaminate.Index([(2, "Tom walks to the old red barn. Tom takes some of the eggs to town. Tom sells them all.")])
+    text = "Max walks to the old red barn. {} takes some of the eggs to town. {} sells them all."
+    found = [max([h[1] for h in twice.search(text.format(a, b)) if h[5]], default=0) for a, b in (("Max", "Max"), ("Eva", "Kim"))]
+    assert found[0] == twice.items[0][1] and found[1] < found[0]
+    assert index.search(item.lower())[0][1] == 10
