@@ -6,6 +6,10 @@ its line): a compressor primed with the surrounding text, without the token, and
 dictionary of common identifiers shows how many more bytes the token costs. Names, paths and
 prose repeat what the dictionaries hold and cost little; a token that costs at least ``NOVELTY``
 times what random characters of its alphabet would (frame overhead included) is reported as ``novel``.
+That holds while the compressor stores characters as they are. Where it codes them, as in long
+tokens and small alphabets, even random ones cost less; so a token is ``novel`` as well if it
+costs at least ``LIKE_RANDOM`` of what random tokens of its length and its own characters cost
+in its place under the same compressor.
 
 Nulls and corner cases: a null text is empty; texts are scanned whole, one at a time; rows that
 repeat a doc_id are scanned each; a null doc_id is carried; an empty table gives no rows. Other
@@ -20,6 +24,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,6 +40,7 @@ KINDS = ("assign", "access", "hex", "novel")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~-]{16,}")
 SENSITIVE = re.compile(r"key|secret|token|passw|pwd|auth|cred|bearer|private|session|signature|salt|login|api", re.ASCII | re.IGNORECASE)
 NEAR, AROUND, NOVELTY = 48, 1024, 1.15
+LIKE_RANDOM, SAMPLES = 0.96, 5
 # Fixed words of code and configuration, which no secret consists of.
 IDENTIFIERS = """access account address api application array assert async attribute auth authorization await base64 boolean bucket buffer
 cache callback certificate class client cluster column config configuration connection const constructor container context controller
@@ -76,6 +82,24 @@ def novelty(token: str, around: str) -> float:
     return marginal_bytes(token, around) / (len(token) * math.log2(max(2, alphabet)) / 8)
 
 
+@lru_cache(maxsize=256)
+def _random_tokens(length: int, alphabet: str) -> list[str]:
+    """Fixed by length and alphabet, so that results don't depend on what was scanned before."""
+    seed = int.from_bytes(hashlib.sha256(f"{length}:{alphabet}".encode()).digest()[:8])
+    chars = np.frombuffer(alphabet.encode(), np.uint8)
+    return [chars[x].tobytes().decode() for x in np.random.default_rng(seed).integers(0, len(chars), (SAMPLES, length))]
+
+
+def is_novel(token: str, around: str) -> bool:
+    if novelty(token, around) >= NOVELTY:
+        return True
+    alphabet, own = "".join(sorted(set(token))), marginal_bytes(token, around)
+    # Random tokens hardly cost less than their characters' bits; most others need no comparison.
+    if 8 * own < 0.85 * len(token) * math.log2(max(2, len(alphabet))):
+        return False
+    return SAMPLES * own >= LIKE_RANDOM * sum(marginal_bytes(x, around) for x in _random_tokens(len(token), alphabet))
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the base matches, by start, then kind."""
     low = text.lower()
@@ -96,7 +120,7 @@ def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
         if not (any(map(str.isdigit, token)) and any(map(str.isalpha, token))) or any(s < b and a < e for s, _, e in base):
             continue
         line = text[max(0, a - NEAR) : a].rpartition("\n")[2]
-        if SENSITIVE.search(line) and novelty(token, text[max(0, a - AROUND) : a] + text[b : b + AROUND]) >= NOVELTY:
+        if SENSITIVE.search(line) and is_novel(token, text[max(0, a - AROUND) : a] + text[b : b + AROUND]):
             found.append((a, 3, b))
     return found
 

@@ -1,8 +1,12 @@
 """What a review found cut short."""
 
+import random
+import string
+
+import pytest
 from pyspark.sql import functions as F
 
-from quillmill.llm import decontaminate, quality_rules
+from quillmill.llm import decontaminate, quality_rules, secrets
 
 
 def test_symbol_heavy_documents_by_risk(spark):
@@ -45,3 +49,26 @@ def test_names_that_open_sentences():
     found = [max([h[1] for h in twice.search(text.format(a, b)) if h[5]], default=0) for a, b in (("Max", "Max"), ("Eva", "Kim"))]
     assert found[0] == twice.items[0][1] and found[1] < found[0]
     assert index.search(item.lower())[0][1] == 10
+
+
+ALPHABETS = {
+    "base64": string.ascii_letters + string.digits + "+/", "base62": string.ascii_letters + string.digits, "base36": string.ascii_lowercase + string.digits,
+    "base32": string.ascii_uppercase + "234567", "hex": "0123456789ABCDEF",
+}
+
+
+@pytest.mark.parametrize("kind", sorted(ALPHABETS))
+def test_random_tokens_of_any_length_are_novel(kind):
+    g = random.Random(5)
+    for n in (16, 32, 64, 100, 200, 400, 1500, 4000):
+        for _ in range(10):
+            token = "A2" + "".join(g.choices(ALPHABETS[kind], k=n - 2))
+            text = f"The service reads this file at start.\nauth header = {token}\nend of it\n"
+            assert [text[a:b] for a, _, b in secrets.novel_spans(text, [])] == [token]
+
+
+def test_long_names_are_not_novel():
+    g, words = random.Random(5), secrets.IDENTIFIERS.split()[:-6]
+    for n in (4, 10, 40, 400):
+        text = f"auth header = {'_'.join(g.choices(words, k=n))}_v2\n"
+        assert secrets.novel_spans(text, []) == []
