@@ -17,9 +17,9 @@ p. Their differences to the hub, x ^ p and y ^ p, must then overlap: if they did
 linked with p. So a prefix filter on the differences finds them: alike sets differ in at most
 (1 - t) / t of |x| shingles, hence x and y share one of the first so many plus one elements of
 their differences, ordered with those missing in p first, which are rare. These elements are new,
-small buckets; in them every class outside a bucket's largest component is compared with the
-members of other components, in slices that grow sixteenfold until all had their turn. No link
-between candidates is lost. Links are confirmed on full shingle sets (64-bit hashes of shingles).
+small buckets; in them every class outside the component of a bucket's anchor, a fixed member, is
+compared with the members of other components, in slices that grow sixteenfold until all had their
+turn. No link between candidates is lost. Links are confirmed on full shingle sets (64-bit hashes of shingles).
 
 Components. Minimum-label propagation with pointer jumping on the verified links; every round is
 written to the shared folder.
@@ -34,7 +34,7 @@ columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
 
 import numpy as np
@@ -210,6 +210,32 @@ def components(links: DataFrame, labels: DataFrame) -> DataFrame:
     return labels
 
 
+def link_within(live: DataFrame, nodes: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``nodes`` (node, label) after merging along all ``links`` between members of a bucket of ``live`` (bucket, node)."""
+    # A bucket's anchor is a member of its largest component. Only members of the anchor's component
+    # are excused at their turn; components never part, so all that are ever excused end up in one.
+    live = live.withColumn("anchor", F.lit(None).cast("long"))
+    done, upto = 0.0, 8.0
+    while True:
+        tagged = live.join(nodes, "node")
+        held = F.coalesce(F.max(F.col("node") == F.col("anchor")), F.lit(False))
+        mixed = tagged.groupBy("bucket", "label").agg(held.alias("held"), F.count(F.lit(1)).alias("n"), F.min("node").alias("least"), F.max("anchor").alias("anchor"))
+        main = F.max(F.struct("held", "n", "label", "least"))
+        spread = mixed.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), main["label"].alias("main"), F.coalesce(F.max("anchor"), main["least"]).alias("anchor"), F.sum("n").alias("size")).where("parts > 1")
+        live = stored(tagged.drop("anchor").join(spread, "bucket").select("bucket", "node", "label", "main", "anchor", "size", (F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / float(1 << 30)).alias("place")), "near-live")
+        if live.isEmpty():
+            break
+        turn = F.col("place") * F.col("size")
+        minor = live.where((F.col("label") != F.col("main")) & (turn >= done) & (turn < upto)).select("bucket", F.col("node").alias("a"), F.col("label").alias("la"))
+        pairs = minor.join(live.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb")), "bucket").where("la <> lb")
+        found = links(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        nodes = components(found.select("a", "b"), nodes)
+        # A bucket is done when all its members have had their turn.
+        live = live.where(F.col("size") > upto).select("bucket", "node", "anchor")
+        done, upto = upto, upto * 16
+    return nodes
+
+
 def near_groups(docs: DataFrame, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for ``docs`` (doc_id, text)."""
     n, width = banding(percent)
@@ -246,22 +272,7 @@ def near_groups(docs: DataFrame, percent: int = 85) -> DataFrame:
     torn = placed.groupBy("a").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("a")
     keyed = stored(first.join(torn, "a", "left_semi").select(F.col("b").alias("node"), F.explode("keys").alias("bucket")), "near-keys")
     live = keyed.join(keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "bucket", "left_semi").distinct()
-    done, upto = 0.0, 8.0
-    while True:
-        tagged = live.join(nodes, "node")
-        mixed = tagged.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-        spread = mixed.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "label"))["label"].alias("main"), F.sum("n").alias("size")).where("parts > 1")
-        live = stored(tagged.join(spread, "bucket").select("bucket", "node", "label", "main", "size", (F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / float(1 << 30)).alias("place")), "near-live")
-        if live.isEmpty():
-            break
-        turn = F.col("place") * F.col("size")
-        minor = live.where((F.col("label") != F.col("main")) & (turn >= done) & (turn < upto)).select("bucket", F.col("node").alias("a"), F.col("label").alias("la"))
-        pairs = minor.join(live.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb")), "bucket").where("la <> lb")
-        found = links(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        nodes = components(found.select("a", "b"), nodes)
-        # A bucket is done when all its members have had their turn.
-        live = live.where(F.col("size") > upto).select("bucket", "node")
-        done, upto = upto, upto * 16
+    nodes = link_within(live, nodes, links)
     named = nodes.groupBy("label").agg(F.min("node").alias("component"))
     final = nodes.join(named, "label").select("node", "component")
     return known.join(final, known["doc_id"] == final["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

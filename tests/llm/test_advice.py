@@ -6,7 +6,7 @@ import string
 import pytest
 from pyspark.sql import functions as F
 
-from quillmill.llm import decontaminate, quality_rules, secrets
+from quillmill.llm import decontaminate, minhash, quality_rules, secrets
 
 
 def test_symbol_heavy_documents_by_risk(spark):
@@ -72,3 +72,18 @@ def test_long_names_are_not_novel():
     for n in (4, 10, 40, 400):
         text = f"auth header = {'_'.join(g.choices(words, k=n))}_v2\n"
         assert secrets.novel_spans(text, []) == []
+
+
+def test_bucket_whose_largest_component_changes(spark):
+    """x is excused as the largest component, later y as a member of a new one; they are linked."""
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
+    turns = [(r.id, r.turn) for r in spark.range(100).select("id", (12 * place).alias("turn")).collect()]
+    early, late = [i for i, t in turns if t < 8], [i for i, t in turns if t >= 8]
+    x, u, y = early[-1], early[0], late[0]
+    members = [u, y, x, *[i for i in early[1:-1] + late[1:] if i < x][:9]]
+    true = spark.createDataFrame([tuple(sorted(p)) for p in ((u, y), (x, y))], "a long, b long")
+    live = spark.createDataFrame([(1, i) for i in members], "bucket long, node long")
+    nodes = spark.createDataFrame([(i, i) for i in members], "node long, label long")
+    got = {r.node: r.label for r in minhash.link_within(live, nodes, lambda pairs: pairs.join(true, ["a", "b"])).collect()}
+    low = min(u, y, x)
+    assert got == {i: low if i in (u, y, x) else i for i in members} and len(got) == 12
