@@ -205,8 +205,7 @@ def collect_variants(spark, sf_dir):
 
 @query()
 def variant_agreement(spark, sf_dir):
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    return recognise.variants(items).select(F.col("doc_id").alias("item_id"), ensemble.agreement(F.col("variants")).alias("agreement"))
+    return recognise.variants(table(spark, sf_dir, "documents")).select("doc_id", ensemble.agreement(F.col("variants")).alias("agreement"))
 
 
 @query(f"""

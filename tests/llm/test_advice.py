@@ -2,11 +2,16 @@
 
 import random
 import string
+from difflib import SequenceMatcher
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
 
+from quillmill import queries as engine
 from quillmill.llm import decontaminate, minhash, quality_rules, secrets
+from quillmill.operators import ensemble
+from quillmill.plans import recognise
 
 
 def test_symbol_heavy_documents_by_risk(spark):
@@ -87,3 +92,14 @@ def test_bucket_whose_largest_component_changes(spark):
     got = {r.node: r.label for r in minhash.link_within(live, nodes, lambda pairs: pairs.join(true, ["a", "b"])).collect()}
     low = min(u, y, x)
     assert got == {i: low if i in (u, y, x) else i for i in members} and len(got) == 12
+
+
+def test_agreement_of_documents(spark, small):
+    mean = lambda vs: sum(SequenceMatcher(None, a or "", b or "").ratio() for a, b in combinations(vs, 2)) / 3
+    docs, items = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "benchmark"))
+    got = {r.doc_id: r.agreement for r in engine.variant_agreement(spark, small).collect()}
+    assert set(got) == {r.doc_id for r in docs.select("doc_id").collect()}
+    some = recognise.variants(docs.where("doc_id % 10 = 0 or length(text) > 5000")).collect()
+    assert some and all(got[r.doc_id] == mean(r.variants) for r in some)
+    golden = recognise.variants(items.select(F.col("item_id").alias("doc_id"), "text")).select("variants", ensemble.agreement(F.col("variants")).alias("a")).collect()
+    assert golden and all(r.a == mean(r.variants) for r in golden)
