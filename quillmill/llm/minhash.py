@@ -6,20 +6,24 @@ further on, circularly. With pi laid out twice in memory a shingle's values for
 are one contiguous window, so a signature is the minimum over a few memory rows.
 
 Banding. At similarity 0.85, 45 bands of 7 coordinates (see ``banding``): a pair at the threshold
-shares no band with probability 4e-8. Documents with the same shingle set are one class; only its smallest doc_id
-goes on. The sets themselves are not kept: those of documents that share a bucket with another
-are made again from their texts.
-
-Verification without pairs of a whole group. In the first round each bucket names one hub (its
-member of least hash) and members are compared with hubs: linear in the band rows. Verified links
-merge classes into components. What is left are pairs x, y of different components under one hub
-p. Their differences to the hub, x ^ p and y ^ p, must then overlap: if they didn't, both would be
-linked with p. So a prefix filter on the differences finds them: alike sets differ in at most
-(1 - t) / t of |x| shingles, hence x and y share one of the first so many plus one elements of
-their differences, ordered with those missing in p first, which are rare. These elements are new,
-small buckets; in them every class outside the component of a bucket's anchor, a fixed member, is
-compared with the members of other components, in slices that grow sixteenfold until all had their
-turn. No link between candidates is lost. Links are confirmed on full shingle sets (64-bit hashes of shingles).
+shares no band with probability 4e-8. Documents with the same shingle set are one class; only its
+smallest doc_id goes on. The sets themselves are not kept: those of documents that share a bucket
+with another are made again from their texts.
+
+Verification without pairs of a whole group. Each bucket names one hub, a document that shares
+many buckets with others (``hub_pairs``); its members are compared with the hub on full shingle
+sets, in salted streams that never gather a group. Verified links merge classes into components.
+
+What is left are pairs x, y of different components under one hub p. They need no full sets: with
+X = x ^ p and Y = y ^ p, x ^ y is X ^ Y, so sizes and the small sets X and Y decide exactly. x and y
+are linked only if |X ^ Y| <= a, the share of |x| + |y| that the threshold leaves, so X and Y share
+(|X| + |Y| - a) / 2 elements at least, and by the prefix principle one among the first
+(|X| - |Y| + a) / 2 + 1 of X and the first (|Y| - |X| + a) / 2 + 1 of Y in any common order. The order
+takes elements that only one component has first (they join nothing and are not even joined on),
+then by their number of owners, rarest first; what all copies of a text have lost or gained comes
+last and is hardly ever reached. Elements that too many documents have within their prefix are not paired
+up: their owners form a new, smaller group around one of them, by differences to it (X ^ Q), and are
+treated in the same way (``across_components``). No link between candidates is lost.
 
 Components. Minimum-label propagation with pointer jumping on the verified links; every round is
 written to the shared folder.
@@ -27,24 +31,27 @@ written to the shared folder.
 Nulls and corner cases: a null text is empty; a document without words has an empty set and is
 linked with nothing; fewer words than ``SHINGLE`` make one shingle; rows that repeat a doc_id are
 one document if their sets agree (a link joins them in any case, as they share the id); a null
-doc_id is a class of its own rows, its component null; an empty table gives no rows. Other
-columns are ignored.
+doc_id is a class of its own rows, its component null and ``kept`` true; an empty table gives no
+rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import Batcher, load, rows, stored, words_of
+from .common import Batcher, load, rows, shuffle_partitions, stored, words_of
 
 UNIVERSE, SHINGLE = 1 << 20, 5
+#: Members that share one copy of their hub in a stream, and how many documents may lead an element's pairs before a group of its own is made.
+STREAM, MOST_LEADERS = 128, 64
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -121,9 +128,6 @@ def bands(sig: np.ndarray, n: int) -> np.ndarray:
 
 _BANDED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64()))])
 _BANDED_SQL = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
-_SET = pa.schema([("node", pa.int64()), ("n_shingles", pa.int64()), ("shingles", pa.binary())])
-
-
 def _band(batches: Iterator[pa.RecordBatch], n: int, width: int) -> Iterator[pa.RecordBatch]:
     import xxhash
 
@@ -137,51 +141,52 @@ def _band(batches: Iterator[pa.RecordBatch], n: int, width: int) -> Iterator[pa.
         yield out.take()
 
 
+_STREAM = pa.schema([("ga", pa.int64()), ("gb", pa.int64()), ("salt", pa.int64()), ("node", pa.int64()), ("sid", pa.int64()), ("first", pa.bool_()), ("wanted", pa.bool_()), ("shingles", pa.binary())])
+_STREAM_SQL = "ga long, gb long, salt long, node long, sid long, first boolean, wanted boolean, shingles binary"
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    out = Batcher(_SET)
-    for doc, text in rows(batches, "doc_id", "text"):
-        found = shingle_set(words_of(text))
-        if len(found) and out.add((doc, len(found), found.tobytes()), 8 * len(found)):
+    """The texts of rows as shingle sets; a repeated doc_id has several texts, of which ``sid`` names one."""
+    import xxhash
+
+    out, last, data, digest = Batcher(_STREAM), None, b"", 0
+    for text, *row in rows(batches, "text", "ga", "gb", "salt", "node", "sid", "first", "wanted"):
+        if text != last:
+            last, data = text, shingle_set(words_of(text)).tobytes()
+            digest = int(np.frombuffer(xxhash.xxh3_128_digest(data), np.int64)[0])
+        if digest == row[4] and out.add((*row, data), len(data) + 64):
             yield out.take()
     if out.rows:
         yield out.take()
 
 
-def shared(a: np.ndarray, b: np.ndarray) -> int:
-    """Size of the intersection of two sorted sets."""
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.searchsorted(b, a)
-    return int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
-
+def _absent(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The elements of a sorted set that another hasn't."""
+    return a[b[np.minimum(np.searchsorted(b, a), len(b) - 1)] != a] if len(b) else a
 
-def differences(hub: int, x: np.ndarray, p: np.ndarray, percent: int) -> np.ndarray:
-    """Keys, within the hub's group, of the first elements of ``x ^ p``."""
-    new, gone = (u[~np.isin(u, v, assume_unique=True)] for u, v in ((x, p), (p, x)))
-    first = np.concatenate([new, gone])[: (100 - percent) * len(x) // percent + 1]
-    return mix(first ^ mix(np.array([hub], np.int64).view(np.uint64))).view(np.int64)
 
+_HUB = pa.schema([("ga", pa.int64()), ("gb", pa.int64()), ("node", pa.int64()), ("sid", pa.int64()), ("n", pa.int64()), ("d", pa.int64()), ("linked", pa.bool_()), ("diff", pa.list_(pa.int64()))])
+_HUB_SQL = "ga long, gb long, node long, sid long, n long, d long, linked boolean, diff array<long>"
 
-_LINK_SQL = "a long, b long, linked boolean, keys array<long>"
 
-
-def _verifier(percent: int, hubs: bool):
-    """Whether a and b are linked; for hubs a, also the keys of b's differences."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_()), ("keys", pa.list_(pa.int64()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Batcher(schema)
-        for a, b, x, y in rows(batches, "a", "b", "x", "y"):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = shared(x, y)
-            linked = 100 * both >= percent * (len(x) + len(y) - both)
-            keys = differences(a, y, x, percent).tolist() if hubs else []
-            if (linked or hubs) and out.add((a, b, linked, keys), 40 + 8 * len(keys)):
-                yield out.take()
-        if out.rows:
+def _against_hubs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Members compared with the hub whose row comes before theirs; differences only where they are wanted."""
+    out, hub, last = Batcher(_HUB), np.empty(0, np.uint64), None
+    for ga, gb, node, sid, first, wanted, data in rows(batches, "ga", "gb", "node", "sid", "first", "wanted", "shingles"):
+        if last == (ga, gb, first, node, sid):  # the same document, given twice
+            continue
+        own, last = np.frombuffer(data, np.uint64), (ga, gb, first, node, sid)
+        if first:
+            hub = own
+            continue
+        new, gone = _absent(own, hub), _absent(hub, own)
+        both = len(own) - len(new)
+        linked = 100 * both >= percent * (len(own) + len(hub) - both)
+        diff = np.concatenate([new, gone]).view(np.int64).tolist() if wanted else []
+        if (linked or wanted) and out.add((ga, gb, node, sid, len(own), len(new) + len(gone), linked, diff), 64 + 8 * len(diff)):
             yield out.take()
-
-    return run
+    if out.rows:
+        yield out.take()
 
 
 def components(links: DataFrame, labels: DataFrame) -> DataFrame:
@@ -194,7 +199,7 @@ def components(links: DataFrame, labels: DataFrame) -> DataFrame:
     edges = stored(at.select(F.greatest("la", "lb").alias("u"), F.least("la", "lb").alias("v")).distinct(), "near-edges")
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        up = both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("p"))
+        up = stored(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("p")), "near-up")
         for _ in range(2):
             up = up.alias("x").join(up.alias("y"), F.col("x.p") == F.col("y.u"), "left").select("x.u", F.coalesce("y.p", "x.p").alias("p"))
         up = stored(up, "near-pointers")
@@ -210,71 +215,117 @@ def components(links: DataFrame, labels: DataFrame) -> DataFrame:
     return labels
 
 
-def link_within(live: DataFrame, nodes: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``nodes`` (node, label) after merging along all ``links`` between members of a bucket of ``live`` (bucket, node)."""
-    # A bucket's anchor is a member of its largest component. Only members of the anchor's component
-    # are excused at their turn; components never part, so all that are ever excused end up in one.
-    live = live.withColumn("anchor", F.lit(None).cast("long"))
-    done, upto = 0.0, 8.0
+def hub_pairs(buckets: DataFrame) -> DataFrame:
+    """(ga, gb, node, sid, members) for ``buckets`` (bucket, node, sid, size): who is compared with which hub (ga, gb).
+
+    A hub should be alike to many, so that differences to it are small: first the member that
+    meets most others over all its buckets, then the best of the hubs that the bucket's members
+    have elsewhere. So the buckets of one group of copies agree on a hub.
+    """
+    degree = buckets.groupBy("node", "sid").agg(F.sum("size").alias("degree"))
+    best = lambda *c: F.max(F.struct(*c)).alias("h")
+    nearest = stored(buckets.join(degree, ["node", "sid"]).groupBy("bucket").agg(best("degree", "node", "sid")), "near-nearest")
+    theirs = buckets.join(nearest, "bucket").groupBy("node", "sid").agg(best("h.degree", "h.node", "h.sid"))
+    chosen = stored(buckets.join(theirs, ["node", "sid"]).groupBy("bucket").agg(best("h.degree", "h.node", "h.sid")), "near-chosen")
+    pairs = buckets.join(chosen, "bucket").select(F.col("h.node").alias("ga"), F.col("h.sid").alias("gb"), "node", "sid").where("ga <> node or gb <> sid").distinct()
+    pairs = stored(pairs, "near-pairs")
+    return pairs.join(stored(pairs.groupBy("ga", "gb").agg(F.count(F.lit(1)).alias("members")), "near-members"), ["ga", "gb"])
+
+
+def against_hubs(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` of hub_pairs with sizes, verdicts and, in groups of two or more members, differences to the hub."""
+    salt = F.pmod(F.xxhash64("node", "sid"), F.ceil(F.col("members") / STREAM)).alias("salt")
+    dealt = stored(pairs.select("ga", "gb", salt, "node", "sid", F.lit(False).alias("first"), (F.col("members") > 1).alias("wanted")), "near-dealt")
+    heads = dealt.select("ga", "gb", "salt").distinct().select("ga", "gb", "salt", F.col("ga").alias("node"), F.col("gb").alias("sid"), F.lit(True).alias("first"), F.lit(False).alias("wanted"))
+    # The same kind of join at every size: what is sent for few documents to all executors grows with the input.
+    texts = docs.select("doc_id", "text").join(dealt.unionByName(heads).hint("merge"), F.col("doc_id") == F.col("node"))
+    sets = texts.mapInArrow(_sets, _STREAM_SQL).repartition(shuffle_partitions(docs.sparkSession), "ga", "gb", "salt")
+    streams = sets.sortWithinPartitions("ga", "gb", "salt", F.desc("first"), "node", "sid")
+    return streams.drop("salt").mapInArrow(partial(_against_hubs, percent=percent), _HUB_SQL)
+
+
+def across_components(live: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """``nodes`` (node, label) after merging along all links between members of a group of ``live``.
+
+    ``live``: ga, gb (the group), node, sid, n (set size), d and diff (difference to the group's hub).
+    """
+    spare = f"(100 - {int(percent)}) / (100 + {int(percent)})"
+    group, owner = ["ga", "gb"], ["ga", "gb", "node", "sid"]
     while True:
-        tagged = live.join(nodes, "node")
-        held = F.coalesce(F.max(F.col("node") == F.col("anchor")), F.lit(False))
-        mixed = tagged.groupBy("bucket", "label").agg(held.alias("held"), F.count(F.lit(1)).alias("n"), F.min("node").alias("least"), F.max("anchor").alias("anchor"))
-        main = F.max(F.struct("held", "n", "label", "least"))
-        spread = mixed.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), main["label"].alias("main"), F.coalesce(F.max("anchor"), main["least"]).alias("anchor"), F.sum("n").alias("size")).where("parts > 1")
-        live = stored(tagged.drop("anchor").join(spread, "bucket").select("bucket", "node", "label", "main", "anchor", "size", (F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / float(1 << 30)).alias("place")), "near-live")
+        # Groups whose members are still in several components; ``main`` is the largest of these.
+        labelled = live.join(nodes, "node")
+        parts = labelled.groupBy(*group, "label").agg(F.count(F.lit(1)).alias("members"), F.min("d").alias("least"), F.max("n").alias("most"))
+        main = parts.groupBy(*group).agg(F.max(F.struct("members", "label"))["label"].alias("main"), F.min("least").alias("least"), F.max("most").alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+        other = parts.join(main.select(*group, "main"), group).where("label <> main").groupBy(*group).agg(F.min("least").alias("least_other"))
+        torn = main.join(other, group).drop("parts")
+        live = stored(labelled.join(stored(torn, "near-torn"), group), "near-live")
         if live.isEmpty():
-            break
-        turn = F.col("place") * F.col("size")
-        minor = live.where((F.col("label") != F.col("main")) & (turn >= done) & (turn < upto)).select("bucket", F.col("node").alias("a"), F.col("label").alias("la"))
-        pairs = minor.join(live.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb")), "bucket").where("la <> lb")
-        found = links(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        nodes = components(found.select("a", "b"), nodes)
-        # A bucket is done when all its members have had their turn.
-        live = live.where(F.col("size") > upto).select("bucket", "node", "anchor")
-        done, upto = upto, upto * 16
-    return nodes
+            return nodes
+        # Elements that members of several components have; all others of a member come before them.
+        owned = live.select(*owner, "label", F.explode("diff").alias("element"))
+        mixed = owned.groupBy(*group, "element").agg(F.count(F.lit(1)).alias("owners"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").drop("low", "high")
+        hits = owned.join(stored(mixed, "near-mixed"), [*group, "element"]).drop("label")
+        each = Window.partitionBy(*owner)
+        ranked = hits.withColumn("nth", F.row_number().over(each.orderBy("owners", "element"))).withColumn("hits", F.count(F.lit(1)).over(each))
+        sized = ranked.join(live.drop("diff"), owner).withColumn("rank", F.expr("d - hits + nth - 1"))
+        # ``spread`` is the most that x and a linked y may differ by, ``floor`` the least d of its possible partners.
+        sized = sized.withColumn("spread", F.expr(f"floor((n + least(n * 100 / {int(percent)}, most)) * {spare} + 1e-9)"))
+        sized = sized.withColumn("floor", F.expr("greatest(d - spread, if(label = main, least_other, least))"))
+        sized = sized.where("rank <= (d - floor + spread) / 2").withColumn("leads", F.expr("rank <= (d - greatest(d, floor) + spread) / 2"))
+        keyed = stored(sized.select(*owner, "element", "label", "n", "d", "rank", "leads"), "near-keys")
+        key = [*group, "element"]
+        keys = keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("owners"), F.sum(F.col("leads").cast("int")).alias("leaders"), F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct("d", "node", "sid")).alias("q"))
+        keys = stored(keys.where("low <> high and leaders > 0").drop("low", "high"), "near-key-sizes")
+        few = keyed.join(keys.where(F.col("leaders") <= MOST_LEADERS).select(*key, F.ceil(F.col("owners") / STREAM).alias("slots")), key)
+        i, j = (few.select(*key, "slots", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "sid", "label", "n", "d", "rank", "leads"))) for k in "ij")
+        i = i.where("leads_i").withColumn("slot", F.explode(F.expr("sequence(0L, slots - 1)"))).drop("slots")
+        j = j.withColumn("slot", F.expr("pmod(xxhash64(node_j, sid_j), slots)")).drop("slots")
+        allowed = f"floor((n_i + n_j) * {spare})"
+        near = f"""label_i <> label_j and (d_i < d_j or d_i = d_j and (node_i < node_j or node_i = node_j and sid_i < sid_j)) and d_j - d_i <= {allowed}
+            and rank_i <= (d_i - d_j + {allowed}) / 2 and rank_j <= (d_j - d_i + {allowed}) / 2"""
+        pairs = i.join(j, [*key, "slot"]).where(near).groupBy("node_i", "sid_i", "node_j", "sid_j").agg(F.min(F.struct(*group)).alias("g")).select("g.*", "node_i", "sid_i", "node_j", "sid_j")
+        x, y = (live.select(*group, *(F.col(c).alias(f"{c}_{k}") for c in ("node", "sid", "n", "diff"))) for k in "ij")
+        checked = pairs.join(x, [*group, "node_i", "sid_i"]).join(y, [*group, "node_j", "sid_j"])
+        apart = "(size(diff_i) + size(diff_j) - 2 * size(array_intersect(diff_i, diff_j)))"
+        # Both sets together have (n_i + n_j + apart) / 2 elements, and share apart less.
+        alike = f"100 * (n_i + n_j - {apart}) >= {int(percent)} * (n_i + n_j + {apart})"
+        links = checked.where(alike).select(F.col("node_i").alias("a"), F.col("node_j").alias("b"))
+        many = keys.where(F.col("leaders") > MOST_LEADERS)
+        if many.isEmpty():
+            return components(links, nodes)
+        inner = many.select(*key, F.xxhash64(*key).alias("na"), F.xxhash64(F.lit(1), *key).alias("nb"), F.col("q.node").alias("qn"), F.col("q.sid").alias("qs"))
+        hubs = live.select(*group, F.col("node").alias("qn"), F.col("sid").alias("qs"), F.col("n").alias("q_size"), F.col("diff").alias("q_diff"))
+        centre = inner.join(hubs, [*group, "qn", "qs"])
+        members = keyed.select(*owner, "element").join(live.select(*owner, "n", "diff"), owner).join(centre, key).where("node <> qn or sid <> qs")
+        apart = F.array_union(F.array_except("diff", "q_diff"), F.array_except("q_diff", "diff"))
+        deeper = stored(members.select(F.col("na").alias("ga"), F.col("nb").alias("gb"), "node", "sid", "n", apart.alias("diff"), "qn", "q_size").withColumn("d", F.size("diff").cast("long")), "near-inner")
+        more = deeper.where(f"100 * (n + q_size - d) >= {int(percent)} * (n + q_size + d)").select(F.col("node").alias("a"), F.col("qn").alias("b"))
+        nodes = components(links.unionByName(more), nodes)
+        live = deeper.select(*owner, "n", "d", "diff")
 
 
 def near_groups(docs: DataFrame, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for ``docs`` (doc_id, text)."""
     n, width = banding(percent)
     banded = stored(docs.select("doc_id", "text").mapInArrow(partial(_band, n=n, width=width), _BANDED_SQL), "near-bands")
-    classes = banded.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
-    known = stored(banded.drop("bands").join(classes, ["set_a", "set_b"], "left").select("doc_id", "n_shingles", "set_a", "set_b", F.coalesce("rep", "doc_id").alias("rep")), "near-classes")
+    classes = banded.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"))
+    classes = stored(classes.where("size > 1").drop("size"), "near-classes")
+    classed = banded.join(classes, ["set_a", "set_b"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    known = stored(classed.select("doc_id", "n_shingles", F.col("set_a").alias("sid"), "rep"), "near-known")
     # One row of a class speaks for it; equal sets have equal bands.
-    spoken = known.where("rep = doc_id and n_shingles > 0").select("doc_id", "set_a", "set_b").distinct()
-    exploded = banded.join(spoken, ["doc_id", "set_a", "set_b"], "left_semi").select(F.col("doc_id").alias("node"), F.explode("bands").alias("bucket"))
-    shared_buckets = exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket")
-    buckets = stored(exploded.join(shared_buckets, "bucket").distinct(), "near-buckets")
-    busy = buckets.select("node").distinct()
-    # A repeated doc_id has several sets; each of them may prove a link of that document.
-    bodies = stored(docs.select("doc_id", "text").join(busy, F.col("doc_id") == F.col("node"), "left_semi").mapInArrow(_sets, "node long, n_shingles long, shingles binary"), "near-sets")
-
-    def links(pairs: DataFrame, hubs: bool = False) -> DataFrame:
-        # Sets of too different sizes can't be alike; under a hub their differences are still needed.
-        fits = "true" if hubs else f"100 * least(nx, ny) >= {int(percent)} * greatest(nx, ny)"
-        left = bodies.select(F.col("node").alias("a"), F.col("n_shingles").alias("nx"), F.col("shingles").alias("x"))
-        right = bodies.select(F.col("node").alias("b"), F.col("n_shingles").alias("ny"), F.col("shingles").alias("y"))
-        sized = pairs if hubs else pairs.join(left.drop("x"), "a").join(right.drop("y"), "b").where(fits).select("a", "b").distinct()
-        return stored(sized.join(left, "a").join(right, "b").where(fits).select("a", "b", "x", "y").mapInArrow(_verifier(percent, hubs), _LINK_SQL), "near-links")
-
+    exploded = classed.where("rep = doc_id and n_shingles > 0").select(F.col("doc_id").alias("node"), F.col("set_a").alias("sid"), F.explode("bands").alias("bucket"))
+    sizes = stored(exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "near-sizes")
+    buckets = stored(exploded.join(sizes, "bucket").distinct(), "near-buckets")
+    first = stored(against_hubs(hub_pairs(buckets), docs, percent), "near-first")
     # Rows that share a doc_id are one node whatever their texts; its classes start out linked.
     same_id = known.where("rep <> doc_id and n_shingles > 0").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
     nodes = known.where("n_shingles > 0 and doc_id is not null").select(F.col("doc_id").alias("node"), F.col("rep").alias("label")).groupBy("node").agg(F.min("label").alias("label"))
-    nodes = stored(nodes, "near-labels")
-    nodes = components(same_id, nodes)
-    hubs = buckets.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node").alias("rank"), "node"))["node"].alias("a"))
-    first = links(buckets.join(hubs, "bucket").where("a <> node").select("a", F.col("node").alias("b")).distinct(), hubs=True)
-    nodes = components(first.where("linked").select("a", "b"), nodes)
-    # Only groups whose members are still in several components go on, by the keys of their differences.
-    placed = first.join(nodes.select(F.col("node").alias("b"), "label"), "b")
-    torn = placed.groupBy("a").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("a")
-    keyed = stored(first.join(torn, "a", "left_semi").select(F.col("b").alias("node"), F.explode("keys").alias("bucket")), "near-keys")
-    live = keyed.join(keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "bucket", "left_semi").distinct()
-    nodes = link_within(live, nodes, links)
-    named = nodes.groupBy("label").agg(F.min("node").alias("component"))
-    final = nodes.join(named, "label").select("node", "component")
+    nodes = components(same_id, stored(nodes, "near-labels"))
+    nodes = components(first.where("linked").select(F.col("ga").alias("a"), F.col("node").alias("b")), nodes)
+    live = first.where("size(diff) > 0").select("ga", "gb", "node", "sid", "n", "d", "diff")
+    nodes = across_components(live, nodes, percent)
+    # Labels are the least doc_ids of classes, so a component's label is its least doc_id.
+    final = nodes.select("node", F.col("label").alias("component"))
     return known.join(final, known["doc_id"] == final["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

@@ -185,6 +185,47 @@ def test_near_group_of_many_edits(spark):
     assert {r.doc_id: r.component_id for r in minhash.near_groups(df, 85).collect()} == expected
 
 
+def edited_families(seed):
+    """Copies, copies of copies, cut ones and joined ones of a few bases: chains, stars and near misses."""
+    g, texts = np.random.default_rng(seed), []
+    vocabulary = [f"v{i}" for i in range(40)]
+    for _ in range(3):
+        family = [[f"w{g.integers(500)}" for _ in range(int(g.integers(60, 160)))]]
+        for _ in range(70):
+            words = list(family[0] if g.random() < 0.6 else family[g.integers(len(family))])
+            for _ in range(int(g.integers(0, 7))):
+                at = int(g.integers(len(words)))
+                kind = g.integers(3)
+                words[at : at + 1] = [] if kind == 0 else [vocabulary[g.integers(40)]] if kind == 1 else [words[at], vocabulary[g.integers(40)]]
+            if g.random() < 0.25:
+                words = words[: int(len(words) * g.uniform(0.6, 1))]
+            family.append(words)
+        texts += family
+    return [(i, " ".join(words), None) for i, words in enumerate(texts)]
+
+
+@pytest.mark.parametrize(("percent", "leaders", "seed"), [(85, 64, 1), (85, 2, 2), (80, 64, 3), (80, 1, 4), (80, 3, 5)])
+def test_near_families(spark, monkeypatch, percent, leaders, seed):
+    """Few leaders and short streams, so that groups are made within groups, several levels deep."""
+    monkeypatch.setattr(minhash, "MOST_LEADERS", leaders)
+    monkeypatch.setattr(minhash, "STREAM", 8)
+    rows = edited_families(seed)
+    expected = plain_components(rows, percent)
+    assert 20 < len(set(expected.values())) < len(rows) - 20
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(5)
+    assert {r.doc_id: r.component_id for r in minhash.near_groups(df, percent).collect()} == expected
+
+
+def test_cut_copies_hang_together(spark, monkeypatch):
+    """Ever longer beginnings of one text: the ends are joined only through those between."""
+    monkeypatch.setattr(minhash, "MOST_LEADERS", 2)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(words[: 60 + 6 * i]), None) for i in range(40)]
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in minhash.near_groups(df, 85).collect()}
+    assert got == plain_components(rows, 85) and set(got.values()) == {0}
+
+
 def test_language_model(spark, small, docs):
     toks = {i: [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w] + [None] for i, t, _ in docs}
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in toks}
