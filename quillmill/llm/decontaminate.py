@@ -3,23 +3,28 @@
 Tokens are white-space separated pieces without punctuation at their ends, lowered. Numbers,
 units and names (capitalised words inside a sentence) become typed placeholders; so a question
 whose parameters were exchanged keeps its template. A capitalised word at a sentence's start may
-be a name or not: windows with one are looked for both ways. Windows of ``WIDTH`` tokens are hashed and
-joined with those of the benchmark items; windows that are mostly placeholders are not used,
+be a name or not: windows with one are looked for both ways. Windows of ``WIDTH`` tokens are hashed
+and joined with those of the benchmark items; windows that are mostly placeholders are not used,
 since any table of numbers has them. Items with no usable window are looked for literally; items
 shorter than a window are one window.
 
 A passage of a document that matches an item is a run of matching windows along a diagonal of
 (document, item) positions, or along several where words were put in or left out; a position of
-the document never stands for two of the item. Its slots are checked: one value of the item must stand for one value of the document throughout.
-A consistent passage that covers ``SHARE`` of the item's windows is a leak.
+the document never stands for two of the item. Its slots are checked: one value of the item must
+stand for one value of the document throughout, and one name or unit of the document for one of the
+item (two parameters may well be given the same number). A consistent passage that covers
+``SHARE`` of the item's windows is a leak.
 
-Distribution: the benchmark is the small side. It is joined in blocks of at most about
-``BLOCK_TOKENS`` tokens, each broadcast after a check of the count, one pass over the documents a
-block; any number of blocks gives the same result as one.
+Distribution: both sides become rows of (window hash, position); one pass over the documents,
+whatever the size of the benchmark. A bitmap of the benchmark's hashes (``MOST_BITS`` at most, sent
+to all executors) holds back windows of documents that can't match, so that hardly more than true
+hits are shuffled; what it lets through by chance falls in the join on the whole hash. The join is salted, as
+a passage may stand in very many documents (and Spark may split it further). Hits meet by document and item; nothing else is gathered.
 
 Nulls and corner cases: null or empty texts match nothing; items without a token are never found;
-a null item_id or doc_id is carried as it is; items that repeat are reported each; rows that
-repeat a doc_id are searched each; empty tables give no rows. ``drop_leaks`` carries all columns.
+a null item_id or doc_id is carried as it is; rows with the same id and text are one item, or one
+document; rows that only share an id are told apart by their text; empty tables give no rows.
+``drop_leaks`` carries all columns.
 """
 
 from __future__ import annotations
@@ -33,10 +38,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Batcher, load, rows
+from .common import Batcher, load, rows, stored
 from .minhash import mix
 
-WIDTH, SHARE, LITERALS, BLOCK_TOKENS = 8, 0.4, 4, 1 << 20
+WIDTH, SHARE, LITERALS = 8, 0.4, 4
+#: Logarithms of the least and most bits of the benchmark's bitmap (32 MB at most), and parts into which the rows of one window are dealt.
+LEAST_BITS, MOST_BITS, SALTS = 16, 28, 4
 
 # Unit names and number words that the placeholders stand for.
 UNITS = frozenset("mm cm m km inch inches ft feet foot yard yards mile miles mg g kg lb lbs oz ton tons ml l litre litres liter liters gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years usd eur gbp dollar dollars euro euros cent cents percent % mph kmh kph v volt volts w kw watt watts hz khz mhz ghz kb mb gb tb degrees celsius fahrenheit".split())
@@ -44,6 +51,8 @@ NUMBERS = frozenset("zero one two three four five six seven eight nine ten eleve
 
 _NUMBER = re.compile(r"[$€£+-]*\d[\d.,:/]*[a-zA-Z%°]{0,3}")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+#: Stands for a line break among the pieces, which ends a sentence and is no token; a private character, on which no white space rule bears.
+BREAK = " \ue000 "
 _M = np.uint64(0x9E3779B97F4A7C15)
 NUM, UNIT, NAME = 1, 2, 3
 #: What the placeholders contribute to a window's hash, by kind.
@@ -59,7 +68,7 @@ def classify(piece: str) -> tuple[str, int, int, bool]:
     core = piece if piece.isalpha() else piece.rstrip(".,;:!?")
     if not core.isalpha():
         core = _EDGE.sub("", piece)
-    ends = piece[-1:] in "\n.!?:;" or piece.rstrip("\"')]")[-1:] in (".", "!", "?")
+    ends = piece[-1:] in ".!?:;" or piece == BREAK.strip() or piece.rstrip("\"')]")[-1:] in (".", "!", "?")
     low = core.lower()
     if not core:
         return ("%", UNIT, UNIT, ends) if "%" in piece else ("", 0, 0, ends)
@@ -74,7 +83,7 @@ def classify(piece: str) -> tuple[str, int, int, bool]:
 class Pieces:
     """A bounded table of the pieces seen so far, for vectorised lookups."""
 
-    ROOM = 1 << 18
+    ROOM = 1 << 19
 
     def __init__(self) -> None:
         self.reset()
@@ -103,20 +112,16 @@ class Pieces:
 
         Templates and kinds are given twice: capitalised words at a sentence's start as words, and as names.
         """
-        first_line, *lines = text.split("\n")
-        pieces = first_line.split()
-        for line in lines:
-            pieces.append("\n")
-            pieces += line.split()
+        pieces = text.replace("\n", BREAK).split()
         if len(self.ids) + len(pieces) > self.ROOM:
             self.reset()
             self.ROOM = max(self.ROOM, 2 * len(pieces))
             self.reset()
-        ids = list(map(self.ids.get, pieces))
-        if None in ids:
+        try:
+            ids = np.fromiter(map(self.ids.__getitem__, pieces), np.int64, len(pieces))
+        except KeyError:
             self.add(pieces)
-            ids = list(map(self.ids.get, pieces))
-        ids = np.array(ids, np.int64)
+            ids = np.fromiter(map(self.ids.__getitem__, pieces), np.int64, len(pieces))
         first = np.concatenate(([True], self.ends[ids[:-1]])) if len(ids) else np.zeros(0, bool)
         real = np.flatnonzero(self.literal[ids])
         first, ids = first[real], ids[real]
@@ -157,182 +162,224 @@ def _differing(templates: tuple[np.ndarray, np.ndarray], width: int) -> np.ndarr
 _PIECES = Pieces()
 
 
-class Index:
-    """Windows of benchmark items, sorted by hash; ``modes`` are the (width, literal) in use."""
-
-    def __init__(self, items: list[tuple[int | None, str | None]]):
-        found, self.items, self.slots, self.modes, self.width_of, self.places = [], [], [], set(), [], []
-        for item, text in items:
-            templates, literal, kinds, pieces, at = _PIECES.tokens(text or "")
-            if not len(literal):
-                continue
-            width = min(WIDTH, len(literal))
-            good, named = (np.flatnonzero(np.convolve(k == 0, np.ones(width, int), "valid") >= min(LITERALS, (width + 1) // 2)) for k in kinds)
-            salt = 0 if len(good) else 1
-            places = good if len(good) else np.arange(len(literal) - width + 1)
-            hashes = windows(literal if salt else templates[0], width, salt)[places]
-            number = len(self.items)
-            self.items.append((item, len(places), len(literal)))
-            self.slots.append([{int(i): _EDGE.sub("", pieces[at[i]]).lower() for i in np.flatnonzero(k)} for k in kinds])
-            self.modes.add((width, salt))
-            self.width_of.append(width)
-            self.places.append({p: k for k, p in enumerate(places.tolist())})
-            found += [(h, number, p, 0) for h, p in zip(hashes.tolist(), places.tolist(), strict=True)]
-            if not salt:
-                other = np.intersect1d(named, _differing(templates, width))
-                found += [(h, number, p, 1) for h, p in zip(windows(templates[1], width, 0)[other].tolist(), other.tolist(), strict=True)]
-        found.sort()
-        self.hashes = np.array([h for h, _, _, _ in found], np.uint64)
-        self.owner, self.place, self.named = (np.array([f[k] for f in found], np.int64) for k in (1, 2, 3))
-        # Most windows of documents are no item's; a table of leading bits tells it of nearly all of them.
-        bits = min(24, max(16, (16 * len(found)).bit_length()))
-        self.shift, self.leading = np.uint64(64 - bits), np.zeros(1 << bits, bool)
-        self.leading[self.hashes >> self.shift] = True
-
-    def search(self, text: str | None) -> list[tuple]:
-        """(item_id, matched, windows, slots, changed, consistent) of the best passage for each item found."""
-        if not text or not len(self.hashes):
-            return []
+def value_of(piece: str) -> str:
+    return _EDGE.sub("", piece).lower()
+
+
+_SLOT = pa.list_(pa.struct([("at", pa.int32()), ("value", pa.string()), ("kind", pa.int8()), ("always", pa.bool_())]))
+_ITEM = pa.schema([("hash", pa.int64()), ("item_id", pa.int64()), ("item", pa.int64()), ("p", pa.int32()), ("nth", pa.int32()), ("named", pa.bool_()), ("width", pa.int32()), ("literal", pa.bool_()), ("n_windows", pa.int64()), ("n_tokens", pa.int64()), ("slots", _SLOT)])
+_ITEM_SQL = "hash long, item_id long, item long, p int, nth int, named boolean, width int, literal boolean, n_windows long, n_tokens long, slots array<struct<at: int, value: string, kind: tinyint, always: boolean>>"
+
+
+def item_windows(item_id: int | None, item: int, text: str | None) -> Iterator[tuple]:
+    """Rows of ``_ITEM``: the windows by which an item is found, its usable ones numbered, with their slots."""
+    templates, literal, kinds, pieces, at = _PIECES.tokens(text or "")
+    if not len(literal):
+        return
+    width = min(WIDTH, len(literal))
+    good, named = (np.flatnonzero(np.convolve(k == 0, np.ones(width, int), "valid") >= min(LITERALS, (width + 1) // 2)) for k in kinds)
+    salt = 0 if len(good) else 1
+    places = good if len(good) else np.arange(len(literal) - width + 1)
+    nth = {p: k for k, p in enumerate(places.tolist())}
+    found = list(zip(windows(literal if salt else templates[0], width, salt)[places].tolist(), places.tolist(), [False] * len(places), strict=True))
+    if not salt:
+        other = [p for p in np.intersect1d(named, _differing(templates, width)).tolist() if p in nth]
+        found += zip(windows(templates[1], width, 0)[other].tolist(), other, [True] * len(other), strict=True)
+    values = {int(i): (value_of(pieces[at[i]]), int(kinds[1][i]), bool(kinds[0][i])) for i in np.flatnonzero(kinds[1])}
+    for h, p, is_named in found:
+        slots = [dict(zip(("at", "value", "kind", "always"), (j, *values[p + j]), strict=True)) for j in range(width) if p + j in values]
+        yield int(np.uint64(h).view(np.int64)), item_id, item, p, nth[p], is_named, width, bool(salt), len(places), len(literal), slots
+
+
+def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out = Batcher(_ITEM)
+    for item_id, item, text in rows(batches, "item_id", "item", "text"):
+        for row in item_windows(item_id, item, text):
+            if out.add(row, 400):
+                yield out.take()
+    if out.rows:
+        yield out.take()
+
+
+class Filter:
+    """Which leading bits of a hash any item's window has; ``modes`` are the (width, literal) in use."""
+
+    def __init__(self, bits: int, bitmaps: list[tuple[int, bytes]], modes: list[tuple[int, bool]]):
+        self.shift, self.modes = np.uint64(64 - bits), sorted(modes)
+        packed = np.zeros((1 << bits) >> 3, np.uint8)
+        for bucket, bitmap in bitmaps:
+            at = (bucket - 1) * 4096
+            packed[at : at + 4096] = np.frombuffer(bitmap, np.uint8)[: len(packed) - at]
+        #: A byte for each bit is quicker to look up, as long as it is not too long.
+        self.plain = bits <= 24
+        self.table = np.unpackbits(packed, bitorder="little").view(bool) if self.plain else packed
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        top = hashes >> self.shift
+        if self.plain:
+            return np.flatnonzero(self.table[top])
+        return np.flatnonzero((self.table[top >> np.uint64(3)] >> (top & np.uint64(7)).astype(np.uint8)) & 1)
+
+    def hits(self, text: str | None) -> Iterator[tuple[int, int, list[str]]]:
+        """(hash, place, its pieces) of the windows of a text that may be an item's."""
+        if not text or not self.modes:
+            return
         templates, literal, _, pieces, at = _PIECES.tokens(text)
-        hits: dict[tuple[int, int, int], int] = {}
-        for width, salt in sorted(self.modes):
-            self._match(windows(literal if salt else templates[0], width, salt), None, hits)
+        for width, salt in self.modes:
+            own = windows(literal if salt else templates[0], width, int(salt))
+            found = [(own, p, p) for p in self.places(own).tolist()]
             if not salt and len(there := _differing(templates, width)):
-                self._match(windows(templates[1], width, 0)[there], there, hits)
-        found = sorted((*hit, named) for hit, named in hits.items())
-        out, k = [], 0
-        while k < len(found):
-            end = k
-            while end < len(found) and found[end][0] == found[k][0]:
-                end += 1
-            number, own = found[k][0], found[k:end]
-            passages = list(self._passages(number, own, pieces, at))
-            # A word that only looks like a name must not spoil what agrees without it.
-            if any(named for *_, named in own) and (plain := [hit for hit in own if not hit[3]]):
-                passages += self._passages(number, plain, pieces, at)
-            best = max(passages, key=lambda p: (p[3], p[0], -p[2]))
-            out.append((self.items[number][0], best[0], self.items[number][1], best[1], best[2], best[3]))
-            k = end
-        return out
-
-    def _match(self, own: np.ndarray, at: np.ndarray | None, hits: dict[tuple[int, int, int], int]) -> None:
-        """Adds (item, document's place, item's place) of equal windows, and whether the item's one has names at starts."""
-        maybe = np.flatnonzero(self.leading[own >> self.shift])
-        if not len(maybe):
-            return
-        lo = np.searchsorted(self.hashes, own[maybe])
-        there = np.flatnonzero(self.hashes[np.minimum(lo, len(self.hashes) - 1)] == own[maybe])
-        for k in there.tolist():
-            i, h = int(lo[k]), own[maybe[k]]
-            d = int(maybe[k] if at is None else at[maybe[k]])
-            while i < len(self.hashes) and self.hashes[i] == h:
-                hit = int(self.owner[i]), d, int(self.place[i])
-                hits[hit] = min(hits.get(hit, 1), int(self.named[i]))
-                i += 1
-
-    def _read(self, number: int, run: list[tuple], pieces: list[str], at: np.ndarray) -> tuple[dict[str, str] | None, set[int]]:
-        """What the item's values stand for in a run of hits, None if that differs, and the slots seen."""
-        width, slots = self.width_of[number], self.slots[number][any(named for *_, named in run)]
-        stands: dict[str, str] = {}
-        used, same = set(), True
-        for _, d, p, _ in run:
-            for j in range(width):
-                if p + j not in used and (value := slots.get(p + j)) is not None:
-                    other = _EDGE.sub("", pieces[at[d + j]]).lower()
-                    same &= stands.setdefault(value, other) == other
-                    used.add(p + j)
-        return stands if same else None, used
-
-    def _passages(self, number: int, hits: list[tuple], pieces: list[str], at: np.ndarray) -> Iterator[tuple]:
-        """(matched, slots, changed, consistent) of runs of hits.
-
-        On one diagonal (d - p) a document position has one item position. Hits of a diagonal are
-        tried as one run; pieces of it without a gap are joined with pieces of other diagonals
-        (words put in or left out) by the longest run before them that they don't contradict.
-        """
-        length, places = self.items[number][2], self.places[number]
-        diagonals: dict[int, list[tuple]] = {}
-        for hit in hits:
-            diagonals.setdefault(hit[1] - hit[2], []).append(hit)
-        parts = []
-        for run in diagonals.values():
-            cuts = [0, *(k for k in range(1, len(run)) if places[run[k][2]] != places[run[k - 1][2]] + 1), len(run)]
-            if len(cuts) > 2:
-                stands, used = self._read(number, run, pieces, at)
-                yield len(run), len(used), sum(a != b for a, b in (stands or {}).items()), stands is not None
-            parts += [run[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-        parts.sort(key=lambda run: run[0])
-        ends: list[tuple] = []  # (matched, last d, last p, stands, used, first d) of the best run to each part
-        first = 0
-        for run in parts:
-            (_, d, p, _), (_, last_d, last_p, _) = run[0], run[-1]
-            stands, used = self._read(number, run, pieces, at)
-            if stands is None:
-                yield len(run), len(used), 0, False
-                continue
-            while first < len(ends) and ends[first][5] < d - 2 * length:
-                first += 1
-            before = [e for e in ends[first:] if e[1] < d <= e[1] + length and e[2] < p]
-            matched = len(run)
-            for e in sorted(before, key=lambda e: -e[0]):
-                if all(e[3].get(a, b) == b for a, b in stands.items()):
-                    matched, stands, used = matched + e[0], e[3] | stands, e[4] | used
-                    break
-            ends.append((matched, last_d, last_p, stands, used, d))
-            yield matched, len(used), sum(a != b for a, b in stands.items()), True
-
-
-def leaked(hit: tuple) -> bool:
-    return hit[5] and hit[1] >= SHARE * hit[2]
-
-
-def blocks(benchmark: DataFrame, tokens: int = BLOCK_TOKENS) -> Iterator[Index]:
-    """The benchmark (item_id, text) as indexes of bounded size."""
-    total = benchmark.agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), " ")))).first()[0] or 0
-    n = -(-total // tokens) or 1
-    for k in range(n):
-        part = benchmark.select("item_id", "text")
-        if n > 1:
-            part = part.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield Index(sorted(map(tuple, part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")))
-
-
-_LEAK = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_matched", pa.int64()), ("n_windows", pa.int64()), ("n_slots", pa.int64()), ("n_changed", pa.int64()), ("consistent", pa.bool_())])
-_LEAK_SQL = "doc_id long, item_id long, n_matched long, n_windows long, n_slots long, n_changed long, consistent boolean"
-
-
-def _find(batches: Iterator[pa.RecordBatch], index) -> Iterator[pa.RecordBatch]:
-    out = Batcher(_LEAK)
-    for doc, text in rows(batches, "doc_id", "text"):
-        for hit in index.value.search(text):
-            if leaked(hit) and out.add((doc, *hit)):
+                own = windows(templates[1], width, 0)[there]
+                found += [(own, k, there[k]) for k in self.places(own).tolist()]
+            for hashes, k, p in found:
+                yield int(hashes[k].view(np.int64)), int(p), [pieces[k] for k in at[p : p + width].tolist()]
+
+
+def item_table(benchmark: DataFrame) -> tuple[DataFrame, Filter]:
+    """The windows of ``benchmark`` (item_id, text), and the filter that a pass over documents needs."""
+    items = benchmark.select("item_id", F.xxhash64("text").alias("item"), "text").where("text is not null").distinct()
+    items = stored(items.mapInArrow(_items, _ITEM_SQL), "leak-items")
+    n = items.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, (128 * n).bit_length()))
+    top = (F.shiftrightunsigned("hash", 64 - bits) + 1).alias("top")
+    # Bitmaps of 4 KB for 32,768 bits each: at most 2 ** MOST_BITS bits in all come to the driver.
+    bitmaps = items.select(top).groupBy(F.bitmap_bucket_number("top").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("top")).alias("bitmap")).collect()
+    modes = [(r.width, r.literal) for r in items.select("width", "literal").distinct().collect()]
+    return items, Filter(bits, [(r.bucket, bytes(r.bitmap)) for r in bitmaps], modes)
+
+
+_HIT = pa.schema([("hash", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("d", pa.int32()), ("pieces", pa.list_(pa.string()))])
+
+
+def _hits(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    out = Batcher(_HIT)
+    for doc, key, text in rows(batches, "doc_id", "text_key", "text"):
+        for h, d, pieces in shared.value.hits(text):
+            if out.add((h, doc, key, d, pieces), 200):
                 yield out.take()
     if out.rows:
         yield out.take()
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """A row for each document and the benchmark item that it leaks."""
-    sc, out = docs.sparkSession.sparkContext, None
-    for index in blocks(benchmark):
-        found = docs.select("doc_id", "text").mapInArrow(partial(_find, index=sc.broadcast(index)), _LEAK_SQL)
-        out = found if out is None else out.unionByName(found)
-    return out
+def _read(run: list[tuple]) -> tuple[tuple[dict, dict] | None, set[int]]:
+    """What the item's values stand for in a run of hits (and names and units of the document for), None if that differs, and the slots seen."""
+    named = any(hit[2] for hit in run)
+    stands: dict[str, str] = {}
+    back: dict[str, str] = {}
+    used, same = set(), True
+    for _, p, _, _, pieces, slots in run:
+        for at, value, kind, always in slots:
+            if (always or named) and p + at not in used:
+                other = value_of(pieces[at])
+                same &= stands.setdefault(value, other) == other
+                if kind != NUM:
+                    same &= back.setdefault(other, value) == value
+                used.add(p + at)
+    return (stands, back) if same else None, used
+
+
+def _changed(stands: dict[str, str]) -> int:
+    return sum(a != b for a, b in stands.items())
+
+
+def _agree(one: dict[str, str], other: dict[str, str]) -> bool:
+    return all(one.get(a, b) == b for a, b in other.items())
+
+
+def passages(hits: list[tuple], length: int) -> Iterator[tuple]:
+    """(matched, slots, changed, consistent) of runs of hits (d, p, named, nth, pieces, slots), sorted.
+
+    On one diagonal (d - p) a document position has one item position. Hits of a diagonal are
+    tried as one run; pieces of it without a gap are joined with pieces of other diagonals
+    (words put in or left out) by the longest run before them that they don't contradict.
+    """
+    diagonals: dict[int, list[tuple]] = {}
+    for hit in hits:
+        diagonals.setdefault(hit[0] - hit[1], []).append(hit)
+    parts = []
+    for run in diagonals.values():
+        cuts = [0, *(k for k in range(1, len(run)) if run[k][3] != run[k - 1][3] + 1), len(run)]
+        if len(cuts) > 2:
+            found, used = _read(run)
+            yield len(run), len(used), _changed(found[0]) if found else 0, found is not None
+        parts += [run[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+    parts.sort(key=lambda run: run[0][:2])
+    ends: list[tuple] = []  # (matched, last d, last p, stands, back, used, first d) of the best run to each part
+    first = 0
+    for run in parts:
+        (d, p), (last_d, last_p) = run[0][:2], run[-1][:2]
+        found, used = _read(run)
+        if found is None:
+            yield len(run), len(used), 0, False
+            continue
+        stands, back = found
+        while first < len(ends) and ends[first][6] < d - 2 * length:
+            first += 1
+        before = [e for e in ends[first:] if e[1] < d <= e[1] + length and e[2] < p]
+        matched = len(run)
+        for e in sorted(before, key=lambda e: -e[0]):
+            if _agree(e[3], stands) and _agree(e[4], back):
+                matched, stands, back, used = matched + e[0], e[3] | stands, e[4] | back, e[5] | used
+                break
+        ends.append((matched, last_d, last_p, stands, back, used, d))
+        yield matched, len(used), _changed(stands), True
+
+
+def best_passage(hits: list[tuple], length: int) -> tuple:
+    """The best of the passages that some hits (d, p, named, nth, pieces, slots) of a document and an item make."""
+    own: dict[tuple[int, int], tuple] = {}
+    for hit in hits:  # where a window matches both ways, the plain one is taken
+        if (at := hit[:2]) not in own or not hit[2]:
+            own[at] = hit
+    hits = [own[at] for at in sorted(own)]
+    found = list(passages(hits, length))
+    # A word that only looks like a name must not spoil what agrees without it.
+    if any(hit[2] for hit in hits) and (plain := [hit for hit in hits if not hit[2]]):
+        found += passages(plain, length)
+    return max(found, key=lambda p: (p[3], p[0], -p[2]))
+
+
+def leaked(matched: int, n_windows: int, consistent: bool) -> bool:
+    return consistent and matched >= SHARE * n_windows
+
+
+_LEAK = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("item_id", pa.int64()), ("n_matched", pa.int64()), ("n_windows", pa.int64()), ("n_slots", pa.int64()), ("n_changed", pa.int64()), ("consistent", pa.bool_())])
+_LEAK_SQL = "doc_id long, text_key long, item_id long, n_matched long, n_windows long, n_slots long, n_changed long, consistent boolean"
+
+
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out = Batcher(_LEAK)
+    for doc, key, item_id, n_windows, n_tokens, hits in rows(batches, "doc_id", "text_key", "item_id", "n_windows", "n_tokens", "hits"):
+        hits = [(h["d"], h["p"], h["named"], h["nth"], h["pieces"], [(s["at"], s["value"], s["kind"], s["always"]) for s in h["slots"]]) for h in hits]
+        matched, n_slots, changed, consistent = best_passage(hits, n_tokens)
+        if leaked(matched, n_windows, consistent) and out.add((doc, key, item_id, matched, n_windows, n_slots, changed, consistent)):
+            yield out.take()
+    if out.rows:
+        yield out.take()
+
 
+def _leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``find_leaks`` with ``text_key``, the hash that tells texts of one doc_id apart."""
+    items, held = item_table(benchmark)
+    shared = docs.sparkSession.sparkContext.broadcast(held)
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    hits = texts.mapInArrow(partial(_hits, shared=shared), "hash long, doc_id long, text_key long, d int, pieces array<string>")
+    hits = hits.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(SALTS)))
+    salted = items.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    met = hits.join(salted, ["hash", "salt"]).groupBy("doc_id", "text_key", "item_id", "item", "n_windows", "n_tokens")
+    return met.agg(F.collect_set(F.struct("d", "p", "named", "nth", "pieces", "slots")).alias("hits")).mapInArrow(_judge, _LEAK_SQL)
 
-def _clean(batches: Iterator[pa.RecordBatch], index, text_at: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            yield part.filter(pa.array([not any(map(leaked, index.value.search(t))) for t in part.column(text_at).to_pylist()], pa.bool_()))
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """A row for each document and the benchmark item that it leaks."""
+    return _leaks(docs, benchmark).drop("text_key")
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text") -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that leak an item."""
-    sc, schema, at = docs.sparkSession.sparkContext, docs.schema, docs.columns.index(text_col)
-    for index in blocks(benchmark):
-        docs = docs.mapInArrow(partial(_clean, index=sc.broadcast(index), text_at=at), schema)
-    return docs
+    found = _leaks(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), benchmark)
+    found = found.select(F.col("doc_id").alias("_leak_doc"), F.col("text_key").alias("_leak_text")).distinct()
+    return docs.join(found, F.col(id_col).eqNullSafe(F.col("_leak_doc")) & (F.xxhash64(text_col) == F.col("_leak_text")), "left_anti")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

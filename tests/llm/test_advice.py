@@ -6,6 +6,7 @@ from difflib import SequenceMatcher
 from itertools import combinations
 
 import pytest
+from plain_leaks import leaks, search
 from pyspark.sql import functions as F
 
 from quillmill import queries as engine
@@ -30,30 +31,38 @@ PEARS = "At noon Tom buys 3 red apples and 4 pears, then Sue buys 5 red apples a
 
 
 def test_items_with_parallel_clauses():
-    index = decontaminate.Index([(1, SHOP), (2, PEARS)])
+    items = [(1, SHOP), (2, PEARS)]
     for item, text, n in ((1, SHOP, 17), (2, PEARS, 21)):
-        (hit,) = [h for h in index.search(f"Some words before. {text} Some words after.") if h[0] == item]
-        assert hit[1:3] == (n, n) and hit[4] == 0 and decontaminate.leaked(hit)
+        (hit,) = [h for h in search(items, f"Some words before. {text} Some words after.") if h[0] == item]
+        assert hit[1:3] == (n, n) and hit[4] == 0 and decontaminate.leaked(hit[1], hit[2], hit[5])
     changed = SHOP.replace("Tom", "Max").replace("3", "30").replace("2", "21")
-    (hit,) = index.search(f"{changed} {changed}")
+    (hit,) = search(items, f"{changed} {changed}")
     assert hit[1:3] == (17, 17) and hit[4] == 3 and hit[5]
     longer = PEARS.replace("then Sue", "and a little later that day Sue")
-    assert any(h[0] == 2 and decontaminate.leaked(h) for h in index.search(longer))
+    assert [h[0] for h in leaks(items, longer)] == [2]
 
 
 def test_names_that_open_sentences():
     item = "Tom has 3 apples. Sue has 5 apples. Ann eats 2 apples. How many apples are left?"
-    index = decontaminate.Index([(1, item)])
     swap = lambda text, names: " ".join(names.get(w, w) for w in text.split(" "))
     other = {"Tom": "Max", "Sue": "Eva", "Ann": "Kim"}
-    (hit,) = index.search(swap(item, other))
+    (hit,) = search([(1, item)], swap(item, other))
     assert hit == (1, 10, 10, 7, 3, True)
-    assert decontaminate.leaked(index.search("Before it. Yesterday " + swap(item, other | {"3": "30", "5": "7"}))[0])
-    twice = decontaminate.Index([(2, "Tom walks to the old red barn. Tom takes some of the eggs to town. Tom sells them all.")])
+    assert leaks([(1, item)], "Before it. Yesterday " + swap(item, other | {"3": "30", "5": "7"}))
+    twice = [(2, "Tom walks to the old red barn. Tom takes some of the eggs to town. Tom sells them all.")]
     text = "Max walks to the old red barn. {} takes some of the eggs to town. {} sells them all."
-    found = [max([h[1] for h in twice.search(text.format(a, b)) if h[5]], default=0) for a, b in (("Max", "Max"), ("Eva", "Kim"))]
-    assert found[0] == twice.items[0][1] and found[1] < found[0]
-    assert index.search(item.lower())[0][1] == 10
+    found = [max([h[1] for h in search(twice, text.format(a, b)) if h[5]], default=0) for a, b in (("Max", "Max"), ("Eva", "Kim"))]
+    assert found[0] == search(twice, twice[0][1])[0][2] and found[1] < found[0]
+    assert search([(1, item)], item.lower())[0][1] == 10
+
+
+def test_names_stand_for_one_name_each():
+    """Two names of the item as one of the document is another question; numbers may coincide."""
+    item = "In the small shop Tom gives 3 of the apples to Sue and then Sue gives 5 of the pears back to Tom again"
+    swap = lambda **to: " ".join(to.get(w, w) for w in item.replace("3", "Three").replace("5", "Five").split(" "))
+    assert search([(1, item)], swap(Tom="Max", Sue="Eva"))[0][5]
+    assert not leaks([(1, item)], swap(Tom="Max", Sue="Max"))
+    assert leaks([(1, item)], swap(Tom="Max", Sue="Eva", Three="4", Five="4"))
 
 
 ALPHABETS = {

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from odd_tables import odd_documents
+from plain_leaks import leaks, search
 from pyspark.sql import functions as F
 
 from quillmill.llm import chat, decontaminate, language_model, line_dedup, minhash, packing, quality_net, quality_rules, secrets, tokens
@@ -329,18 +330,57 @@ def test_leaks(spark, small, docs):
     assert got >= whole and len(got - whole) <= 0.1 * len(got) + 1
 
 
+ANNA = "Anna walks 12 km to the old market and then 12 km back home, how many km does Anna walk?"
+
+
 def test_templates(spark):
-    item = "Anna walks 12 km to the old market and then 12 km back home, how many km does Anna walk?"
-    same = "Before. " + item.replace("12", "35").replace("Anna", "Peter") + " After."
-    broken = item.replace("12", "35", 1)
-    index = decontaminate.Index([(7, item), (8, None), (9, "1 2 3 4 5 6 7 8 9")])
-    (hit,) = index.search(same)
-    assert hit[0] == 7 and hit[4] >= 1 and decontaminate.leaked(hit)
-    assert not any(map(decontaminate.leaked, index.search(broken)))
-    assert [h[0] for h in index.search("x 1 2 3 4 5 6 7 8 9 y")] == [9] and not index.search("5 5 5 5 5 5 5 5 5 5")
-    assert not index.search(None) and not index.search("nothing like it at all in this text of some words")
-    bench = spark.createDataFrame([(7, item), (9, "1 2 3 4 5 6 7 8 9")], "item_id long, text string")
-    df = spark.createDataFrame([(1, same, "x"), (2, "clean", "y"), (3, "a 1 2 3 4 5 6 7 8 9", None)], "doc_id long, text string, extra string")
-    few = [len(b.items) for b in decontaminate.blocks(bench, tokens=5)]
-    assert sum(few) == 2 and len(few) > 1
-    assert [r.doc_id for r in decontaminate.drop_leaks(df, bench).collect()] == [2]
+    same = "Before. " + ANNA.replace("12", "35").replace("Anna", "Peter") + " After."
+    broken = ANNA.replace("12", "35", 1)
+    items = [(7, ANNA), (8, None), (9, "1 2 3 4 5 6 7 8 9")]
+    (hit,) = search(items, same)
+    assert hit[0] == 7 and hit[4] >= 1 and leaks(items, same)
+    assert not leaks(items, broken)
+    assert [h[0] for h in search(items, "x 1 2 3 4 5 6 7 8 9 y")] == [9] and not search(items, "5 5 5 5 5 5 5 5 5 5")
+    assert not search(items, None) and not search(items, "nothing like it at all in this text of some words")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame([(1, same, "x"), (2, "clean", "y"), (3, "a 1 2 3 4 5 6 7 8 9", None), (None, same, "z"), (4, None, "w"), (1, "clean twin", "v")], "doc_id long, text string, extra string")
+    assert [r.extra for r in decontaminate.drop_leaks(df, bench).orderBy("extra").collect()] == ["v", "w", "y"]
+
+
+def exchanged(g, text):
+    """``text`` with numbers and names exchanged throughout, some words put in, perhaps cut."""
+    names = {n: str(g.integers(2, 99)) for n in set(re.findall(r"\d+", text))} | {n: f"N{'abcdefgh'[g.integers(8)]}" for n in set(re.findall(r"(?<=[a-z] )[A-Z][a-z]+", text))}
+    words = [names.get(w, w) for w in text.split(" ")]
+    if g.random() < 0.4:
+        at = int(g.integers(len(words)))
+        words[at:at] = ["and", "so"]
+    return " ".join(words[: len(words) if g.random() < 0.6 else max(3, len(words) // 2)])
+
+
+@pytest.mark.parametrize("plain", [True, False])
+def test_leaks_by_comparing_all_windows(spark, monkeypatch, plain):
+    """All documents and items against one another, some re-parameterised, with a crowded and a packed bitmap."""
+    monkeypatch.setattr(decontaminate, "MOST_BITS", 8 if plain else 25)
+    monkeypatch.setattr(decontaminate, "LEAST_BITS", 8 if plain else 25)
+    g = np.random.default_rng(3)
+    shop = ["In the shop Tom has 3 apples and Sue has 5 apples and Ann has 2 apples. How many have they?", "Tom pays 7 dollars for a kg of red plums. Tom sells them for 9 dollars each day.", ANNA, "1 2 3 4 5 6 7 8 9", "short one", "", None]
+    items = [(k if k else None, t) for k, t in enumerate(shop)] + [(2, shop[2])]
+    texts = [shop[k % 4] for k in range(8)] + [exchanged(g, shop[int(g.integers(3))]) for _ in range(60)]
+    texts += [f"Some words first. {exchanged(g, shop[0])} {exchanged(g, shop[2])}\nand others" for _ in range(20)] + ["", None, "clean words only here", "this is a short one too"]
+    docs = [(i if i % 9 else None, t) for i, t in enumerate(texts)]
+    expected = Counter((i, *h) for i, t in set(docs) for h in leaks(sorted(set(items), key=str), t))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    names = ("doc_id", "item_id", "n_matched", "n_windows", "n_slots", "n_changed", "consistent")
+    got = Counter(tuple(r[n] for n in names) for r in decontaminate.find_leaks(df, bench).collect())
+    assert got == expected and 40 < len(got)
+
+
+@pytest.mark.parametrize("which", ["odd", "small"])
+def test_leaks_of_tables(spark, request, which):
+    sf_dir = request.getfixturevalue(which)
+    docs, items = ([tuple(r) for r in spark.read.parquet(f"{sf_dir}/{t}.parquet").select(i, "text").distinct().collect()] for t, i in (("documents", "doc_id"), ("benchmark", "item_id")))
+    if which == "small":  # comparing all windows takes long; the longest texts are left to the test of contained items
+        docs = [d for d in docs if len(d[1] or "") < 1500]
+    ids = {d[0] for d in docs}
+    got = Counter((r.doc_id, r.item_id, r.n_matched) for r in queries()["op10_decontaminate"](spark, sf_dir).collect() if r.doc_id in ids)
+    assert got == Counter((i, h[0], h[1]) for i, t in docs for h in leaks(items, t))
