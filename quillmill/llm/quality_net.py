@@ -1,23 +1,25 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
-A document's UTF-8 bytes are cut into chunks of ``CHUNK`` bytes that overlap by a filter's width
+A document's UTF-8 bytes are cut into chunks of ``CHUNK`` positions that overlap by a filter's width
 less one, so no position of the whole document is missed. Each of ``FILTERS`` learned filters
-looks at ``WIDTH`` embedded bytes; a chunk keeps each filter's maximum. Filters over bytes can't
-see that a word repeats, so a chunk has one more input: its strongest echo, the largest share of
-bytes that equal the byte ``lag`` places before, over the ``LAGS``. The largest and the mean chunk
-value of every filter and of the echo go through one logistic layer: one probability a document.
+looks at ``WIDTH`` embedded bytes; a chunk keeps each filter's maximum, and ``UNITS`` learned units
+combine a chunk's maxima. Chunks are short: one in which little but the same word occurs lacks most
+maxima that prose has, which a unit can tell. The largest and the mean of every unit over the chunks
+go through one logistic layer: one probability a document.
 
-Since inputs are bytes, a filter's response is a sum of table rows; scoring uses tables of byte
-pairs, three lookups a position.
+Since inputs are bytes, a filter's response is a sum of table rows; tables of byte pairs make it
+three look-ups a position. Short documents are scored together in one array, long ones in slices.
 
-Training: at most ``MOST_DOCS`` labelled documents (smallest hashes of the id) of the training
-folds, and of each at most ``MOST_CHUNKS`` chunks, evenly spaced over the whole text. This bound
-is for learning only; scoring reads every byte. Adam, fixed seed, rows in a fixed order.
+Training: labelled rows of the training folds in the order of a hash of the id, at most
+``MOST_DOCS`` and as many as have ``MOST_BYTES`` together, with the whole text of each. This bound is for
+learning only; scoring reads every byte. ``STEPS`` steps of Adam on ``BATCH`` documents each
+whatever the number of rows, fixed seed, rows in a fixed order.
 
 Nulls and corner cases: a null or empty text is scored as ``WIDTH`` zero bytes; rows without a
 label, or whose label is not 0 or 1, teach nothing; without any usable labels, or with one class
-only, the score is that class's rate (0.5 without labels); repeated rows get equal scores; a null
-doc_id is held out; an empty table gives no rows. Other columns are never read.
+only, the score is that class's rate (0.5 without labels); rows that repeat an id teach once (the
+smallest text); repeated rows get equal scores; a null doc_id is held out; an empty table gives no
+rows. Other columns are never read.
 """
 
 from __future__ import annotations
@@ -30,11 +32,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Batcher, load, rows
+from .common import load, stored
 
-WIDTH, FILTERS, EMBED, CHUNK = 6, 16, 8, 1024
-LAGS, POOLED = range(2, 20), FILTERS + 1
-MOST_DOCS, MOST_CHUNKS, EPOCHS, BATCH, RATE = 5000, 16, 14, 64, 0.01
+WIDTH, FILTERS, EMBED, CHUNK, UNITS = 6, 24, 8, 128, 16
+MOST_DOCS, MOST_BYTES, STEPS, BATCH, RATE = 5000, 24 << 20, 500, 48, 0.01
+#: Chunks that are looked at in one array.
+SLICE = 256
 
 
 def octets(text: str | None) -> np.ndarray:
@@ -42,25 +45,30 @@ def octets(text: str | None) -> np.ndarray:
     return np.frombuffer(data.ljust(WIDTH, b"\0"), np.uint8)
 
 
-def chunk_starts(n: int) -> range:
-    """Starts of the chunks that cover all ``n - WIDTH + 1`` positions."""
-    return range(0, n - WIDTH + 1, CHUNK)
-
-
-def echo(chunk: np.ndarray) -> float:
-    """The largest share, over the lags, of bytes equal to the one a lag before."""
-    return max((np.count_nonzero(chunk[lag:] == chunk[:-lag]) / (len(chunk) - lag) for lag in LAGS if len(chunk) >= 3 * lag), default=0.0)
+def chunked(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(all bytes in one array, first and last-but-one position of each chunk, first chunk of each document)."""
+    at, starts, ends, first = 0, [], [], []
+    for data in docs:
+        n = len(data) - WIDTH + 1
+        own = np.arange(0, n, CHUNK)
+        first.append(sum(map(len, starts)))
+        starts.append(own + at)
+        ends.append(np.minimum(own + CHUNK, n) + at)
+        at += len(data)
+    return np.concatenate(docs), np.concatenate(starts), np.concatenate(ends), np.array(first)
 
 
 class Net:
-    """Parameters: ``embed`` (256, E), ``filters`` (WIDTH, E, F), ``bias`` (F), ``out`` (2 * POOLED), ``base``."""
+    """Parameters: ``embed`` (256, E), ``filters`` (WIDTH, E, F), ``bias`` (F), ``units`` (F, U), ``offset`` (U), ``out`` (2 U), ``base``."""
 
     def __init__(self, seed: int = 11):
         g = np.random.default_rng(seed)
         self.embed = g.normal(0, 0.5, (256, EMBED)).astype(np.float32)
         self.filters = g.normal(0, 0.3, (WIDTH, EMBED, FILTERS)).astype(np.float32)
         self.bias = np.zeros(FILTERS, np.float32)
-        self.out = g.normal(0, 0.1, 2 * POOLED).astype(np.float32)
+        self.units = g.normal(0, 0.25, (FILTERS, UNITS)).astype(np.float32)
+        self.offset = np.full(UNITS, 0.1, np.float32)
+        self.out = g.normal(0, 0.1, 2 * UNITS).astype(np.float32)
         self.base = np.zeros(1, np.float32)
         self.pairs: list[np.ndarray] | None = None
 
@@ -68,76 +76,89 @@ class Net:
         return self.__dict__ | {"pairs": None}
 
     def parameters(self) -> list[np.ndarray]:
-        return [self.embed, self.filters, self.bias, self.out, self.base]
-
-    def tables(self) -> np.ndarray:
-        return np.einsum("be,kef->kbf", self.embed, self.filters)
+        return [self.embed, self.filters, self.bias, self.units, self.offset, self.out, self.base]
 
     def pair_tables(self) -> list[np.ndarray]:
         if self.pairs is None:
-            t = self.tables()
+            t = np.einsum("be,kef->kbf", self.embed, self.filters)
             self.pairs = [(t[k][:, None, :] + t[k + 1][None, :, :]).reshape(-1, FILTERS) for k in range(0, WIDTH, 2)]
         return self.pairs
 
-    def features(self, data: np.ndarray) -> np.ndarray:
-        """The largest and the mean chunk maximum of each filter."""
-        pair = (data[:-1].astype(np.uint16) << 8) | data[1:]
-        tables, n, tops, echoes = self.pair_tables(), len(data), [], []
-        for at in chunk_starts(n):
-            end = min(at + CHUNK, n - WIDTH + 1)
-            heard = tables[0].take(pair[at:end], axis=0)
-            for k in range(1, WIDTH // 2):
-                heard += tables[k].take(pair[at + 2 * k : end + 2 * k], axis=0)
-            tops.append(heard.max(axis=0))
-            echoes.append(echo(data[at : at + CHUNK + WIDTH - 1]))
-        tops = np.column_stack([np.maximum(np.stack(tops) + self.bias, 0), np.array(echoes, np.float32)])
-        return np.concatenate([tops.max(axis=0), tops.mean(axis=0)])
-
-    def probability(self, data: np.ndarray) -> float:
-        z = float(self.features(data) @ self.out + self.base[0])
-        return float(1 / (1 + np.exp(-z))) if z >= 0 else float(np.exp(z) / (1 + np.exp(z)))
-
-    def gradients(self, batch: list[tuple[list[np.ndarray], np.ndarray]], labels: np.ndarray) -> list[np.ndarray]:
-        tables = self.tables()
-        d_tables, d_bias, d_out, d_base = np.zeros_like(tables), np.zeros_like(self.bias), np.zeros_like(self.out), np.zeros_like(self.base)
+    def heard(self, data: np.ndarray) -> np.ndarray:
+        """Each filter's response at each position."""
+        pair, n = (data[:-1].astype(np.uint16) << 8) | data[1:], len(data) - WIDTH + 1
+        tables = self.pair_tables()
+        out = tables[0].take(pair[:n], axis=0)
+        for k in range(1, WIDTH // 2):
+            out += tables[k].take(pair[2 * k : n + 2 * k], axis=0)
+        return out
+
+    def tops(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Each chunk's maximum of each filter, ``SLICE`` chunks at a time."""
+        out = []
+        for at in range(0, len(starts), SLICE):
+            a, b = starts[at : at + SLICE], ends[at : at + SLICE]
+            heard = self.heard(data[a[0] : b[-1] + WIDTH - 1])
+            # Between the end of a chunk and the start of the next lie positions across two documents.
+            bounds = np.stack([a, b], axis=1).ravel()[:-1] - a[0]
+            out.append(np.maximum.reduceat(heard, bounds, axis=0)[::2])
+        return np.concatenate(out)
+
+    def excited(self, tops: np.ndarray) -> np.ndarray:
+        """Each chunk's units."""
+        return np.maximum(np.maximum(tops + self.bias, 0) @ self.units + self.offset, 0)
+
+    def seen(self, excited: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The inputs of the last layer for each document: largest and mean value of each unit."""
+        n = np.diff(np.append(first, len(excited)))[:, None]
+        return np.hstack([np.maximum.reduceat(excited, first, axis=0), np.add.reduceat(excited, first, axis=0) / n])
+
+    def probabilities(self, docs: list[np.ndarray]) -> np.ndarray:
+        data, starts, ends, first = chunked(docs)
+        z = self.seen(self.excited(self.tops(data, starts, ends)), first).astype(np.float64) @ self.out + self.base[0]
+        return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+
+    def gradients(self, docs: list[np.ndarray], labels: np.ndarray) -> list[np.ndarray]:
+        data, starts, ends, first = chunked(docs)
         f = np.arange(FILTERS)
-        for (chunks, echoes), y in zip(batch, labels, strict=True):
-            tops, where = [], []
-            for c in chunks:
-                heard = sum(tables[k].take(c[k : len(c) - WIDTH + 1 + k], axis=0) for k in range(WIDTH))
-                at = heard.argmax(axis=0)
-                tops.append(heard[at, f])
-                where.append(at)
-            raw = np.stack(tops) + self.bias
-            tops = np.column_stack([np.maximum(raw, 0), echoes])
-            seen = np.concatenate([tops.max(axis=0), tops.mean(axis=0)])
-            g = (1 / (1 + np.exp(-np.clip(seen @ self.out + self.base[0], -30, 30))) - y) / len(batch)
-            d_out += g * seen
-            d_base += g
-            d_tops = np.repeat((g * self.out[POOLED:-1] / len(chunks))[None], len(chunks), axis=0)
-            d_tops[tops.argmax(axis=0)[:-1], f] += g * self.out[:FILTERS]
-            d_tops *= raw > 0
-            d_bias += d_tops.sum(axis=0)
-            for c, at, d in zip(chunks, where, d_tops, strict=True):
-                for k in range(WIDTH):
-                    np.add.at(d_tables[k], (c[at + k], f), d)
-        return [np.einsum("kbf,kef->be", d_tables, self.filters), np.einsum("be,kbf->kef", self.embed, d_tables), d_bias, d_out, d_base]
-
-    def fit(self, texts: list[list[np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 5) -> Net:
-        docs = [(chunks, np.array([echo(c) for c in chunks], np.float32)) for chunks in texts]
+        tops, where = np.empty((len(starts), FILTERS), np.float32), np.empty((len(starts), FILTERS), np.int64)
+        for at in range(0, len(starts), SLICE):
+            a, b = starts[at : at + SLICE], ends[at : at + SLICE]
+            heard = self.heard(data[a[0] : b[-1] + WIDTH - 1])
+            for k, (x, y) in enumerate(zip((a - a[0]).tolist(), (b - a[0]).tolist(), strict=True), at):
+                best = heard[x:y].argmax(axis=0) + x
+                tops[k], where[k] = heard[best, f], best + a[0]
+        excited = self.excited(tops)
+        seen = self.seen(excited, first)
+        g = ((1 / (1 + np.exp(-np.clip(seen @ self.out + self.base[0], -30, 30))) - labels) / len(docs)).astype(np.float32)
+        n = np.diff(np.append(first, len(tops)))
+        of = np.repeat(np.arange(len(docs)), n)
+        d_units = (g / n)[of][:, None] * self.out[None, UNITS:]
+        # The largest value of a unit in a document: its first chunk that reaches it.
+        for i, (a, m) in enumerate(zip(first.tolist(), n.tolist(), strict=True)):
+            d_units[a + excited[a : a + m].argmax(axis=0), np.arange(UNITS)] += g[i] * self.out[:UNITS]
+        d_units *= excited > 0
+        clipped = np.maximum(tops + self.bias, 0)
+        d_tops = (d_units @ self.units.T) * (clipped > 0)
+        d_tables = np.empty((WIDTH, 256, FILTERS), np.float32)
+        for k in range(WIDTH):
+            flat = data[where + k].astype(np.int64) * FILTERS + f
+            d_tables[k] = np.bincount(flat.ravel(), d_tops.ravel(), 256 * FILTERS).reshape(256, FILTERS)
+        return [np.einsum("kbf,kef->be", d_tables, self.filters), np.einsum("be,kbf->kef", self.embed, d_tables), d_tops.sum(axis=0), clipped.T @ d_units, d_units.sum(axis=0), g @ seen, g.sum(keepdims=True)]
+
+    def fit(self, docs: list[np.ndarray], labels: np.ndarray, steps: int = STEPS, seed: int = 5) -> Net:
         g = np.random.default_rng(seed)
         self.base[0] = np.log((labels.sum() + 1) / (len(labels) - labels.sum() + 1))
-        m, v, t = [np.zeros_like(p) for p in self.parameters()], [np.zeros_like(p) for p in self.parameters()], 0
-        rounds = max(epochs, -(-600 * BATCH // len(docs)) if len(docs) < 2000 else 0)
-        for e in range(rounds):
-            rate, order = RATE * (1 - e / rounds), g.permutation(len(docs))
-            for at in range(0, len(order), BATCH):
-                own, t = order[at : at + BATCH], t + 1
-                for p, d, a, b in zip(self.parameters(), self.gradients([docs[i] for i in own], labels[own]), m, v, strict=True):
-                    a += 0.1 * (d - a)
-                    b += 0.001 * (d * d - b)
-                    p -= rate * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.999**t)) + 1e-8)
-        self.pairs = None
+        m, v, order = [np.zeros_like(p) for p in self.parameters()], [np.zeros_like(p) for p in self.parameters()], np.empty(0, np.int64)
+        for t in range(1, steps + 1):
+            while len(order) < BATCH:
+                order = np.append(order, g.permutation(len(docs)))
+            own, order, rate = order[:BATCH], order[BATCH:], RATE * (1 - (t - 1) / steps)
+            for p, d, a, b in zip(self.parameters(), self.gradients([docs[i] for i in own], labels[own]), m, v, strict=True):
+                a += 0.1 * (d - a)
+                b += 0.001 * (d * d - b)
+                p -= rate * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.999**t)) + 1e-8)
+            self.pairs = None
         return self
 
 
@@ -147,52 +168,47 @@ class Constant:
     def __init__(self, rate: float):
         self.rate = rate
 
-    def probability(self, data: np.ndarray) -> float:
-        return self.rate
+    def probabilities(self, docs: list[np.ndarray]) -> np.ndarray:
+        return np.full(len(docs), self.rate)
 
 
 def fold(doc_id: Column, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-_LESSON = pa.schema([("doc_id", pa.int64()), ("quality", pa.int64()), ("chunks", pa.list_(pa.binary()))])
-
-
-def _lessons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    out = Batcher(_LESSON)
-    for doc, quality, text in rows(batches, "doc_id", "quality", "text"):
-        data = octets(text)
-        starts = chunk_starts(len(data))
-        if len(starts) > MOST_CHUNKS:
-            starts = [starts[i] for i in np.linspace(0, len(starts) - 1, MOST_CHUNKS).astype(int)]
-        chunks = [data[a : a + CHUNK + WIDTH - 1].tobytes() for a in starts]
-        if out.add((doc, quality, chunks), 1100 * len(chunks)):
-            yield out.take()
-    if out.rows:
-        yield out.take()
-
-
-def train(docs: DataFrame, labels: DataFrame, *, most_docs: int = MOST_DOCS, held_out_fold: int = 0) -> Net | Constant:
+def train(docs: DataFrame, labels: DataFrame, *, most_docs: int = MOST_DOCS, most_bytes: int = MOST_BYTES, held_out_fold: int = 0) -> Net | Constant:
     """A classifier from ``labels`` (doc_id, quality) of documents outside the held-out fold."""
     usable = labels.select("doc_id", F.col("quality").cast("long").alias("quality")).where(F.col("quality").isin(0, 1) & (fold(F.col("doc_id")) != held_out_fold)).dropDuplicates()
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most_docs)
-    # Rows that repeat an id teach once, so what reaches the driver is bounded by ``most_docs``.
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
-    lessons = texts.mapInArrow(_lessons, "doc_id long, quality long, chunks array<binary>").collect()
-    lessons = sorted(lessons, key=lambda r: (r[0], r[1]))
-    marks = np.array([r[1] for r in lessons], np.float32)
+    chosen = usable.withColumn("place", F.xxhash64("doc_id")).orderBy("place", "doc_id", "quality").limit(most_docs)
+    # Rows that repeat an id teach once, so what reaches the driver is bounded.
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("place", "doc_id", "quality").agg(F.coalesce(F.min("text"), F.lit("")).alias("text"))
+    lessons = stored(texts.withColumn("size", F.octet_length("text").cast("long")), "net-lessons")
+    kept, left = [], most_bytes
+    for place, doc, size in lessons.select("place", "doc_id", "size").distinct().orderBy("place", "doc_id").collect():
+        left -= size
+        if left >= 0 or not kept:
+            kept.append(place)
+    lessons = lessons.where(F.col("place") <= kept[-1]).orderBy("place", "doc_id", "quality").select("quality", "text").collect() if kept else []
+    marks = np.array([r.quality for r in lessons], np.float32)
     if len(set(marks.tolist())) < 2:
         return Constant(float(marks[0]) if len(marks) else 0.5)
-    return Net().fit([[np.frombuffer(c, np.uint8) for c in r[2]] for r in lessons], marks)
-
+    return Net().fit([octets(r.text) for r in lessons], marks)
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Net | Constant, columns: list[str], text_col: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
-            scores = [model.probability(octets(t)) for t in part.column(text_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(scores, pa.float64())], names=[*columns, "_score"])
+            scores, group, size = [], [], 0
+            for text in part.column(text_col).to_pylist():
+                group.append(octets(text))
+                size += len(group[-1])
+                if size >= SLICE * CHUNK:
+                    scores.append(model.probabilities(group))
+                    group, size = [], 0
+            if group:
+                scores.append(model.probabilities(group))
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(np.concatenate(scores), pa.float64())], names=[*columns, "_score"])
 
 
 def score(docs: DataFrame, model: Net | Constant, *, columns: list[str], text_col: str = "text") -> DataFrame:
