@@ -11,6 +11,12 @@ tokens and small alphabets, even random ones cost less; so a token is ``novel``
 costs at least ``LIKE_RANDOM`` of what random tokens of its length and its own characters cost
 in its place under the same compressor.
 
+Every candidate is measured, whatever its characters. But the compressor stores a short run of new
+letters as it is, be it a word or not. A token that could be a word (letters only, none but the
+first a capital) is therefore measured once more, behind the letters of its surroundings and of
+the dictionary in random order: there it pays for letters by their frequency, and must cost
+at least ``UNLIKE_WORD`` of what random letters cost.
+
 Nulls and corner cases: a null text is empty; texts are scanned whole, one at a time; rows that
 repeat a doc_id are scanned each; a null doc_id is carried; an empty table gives no rows. Other
 columns are ignored. Offsets are code points, ends exclusive.
@@ -40,7 +46,8 @@ KINDS = ("assign", "access", "hex", "novel")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~-]{16,}")
 SENSITIVE = re.compile(r"key|secret|token|passw|pwd|auth|cred|bearer|private|session|signature|salt|login|api", re.ASCII | re.IGNORECASE)
 NEAR, AROUND, NOVELTY = 48, 1024, 1.15
-LIKE_RANDOM, SAMPLES = 0.96, 5
+LIKE_RANDOM, UNLIKE_WORD, SAMPLES = 0.96, 0.87, 5
+WORD = re.compile("[A-Za-z][a-z]+")
 # Fixed words of code and configuration, which no secret consists of.
 IDENTIFIERS = """access account address api application array assert async attribute auth authorization await base64 boolean bucket buffer
 cache callback certificate class client cluster column config configuration connection const constructor container context controller
@@ -63,6 +70,7 @@ def _identifiers() -> bytes:
 
 
 def _packed(body: bytes, primer: bytes) -> int:
+    """Size of ``body`` compressed with what ``primer`` holds at hand."""
     import zstandard
 
     words = zstandard.ZstdCompressionDict(primer, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -70,7 +78,7 @@ def _packed(body: bytes, primer: bytes) -> int:
 
 
 def marginal_bytes(token: str, around: str) -> int:
-    """What ``token`` adds to a frame primed with identifiers and its surroundings."""
+    """What ``token`` adds to a frame primed with identifiers and its surroundings, which end with the text before it."""
     primer = _identifiers() + b"\n" + around.encode("utf-8", "surrogatepass")
     tail = around[-32:].encode("utf-8", "surrogatepass")
     return _packed(tail + token.encode(), primer) - _packed(tail, primer)
@@ -90,7 +98,23 @@ def _random_tokens(length: int, alphabet: str) -> list[str]:
     return [chars[x].tobytes().decode() for x in np.random.default_rng(seed).integers(0, len(chars), (SAMPLES, length))]
 
 
+def like_a_word(token: str, around: str) -> bool:
+    """Whether letters cost clearly less than random ones by the letter frequencies around them."""
+    import zstandard
+
+    common = np.frombuffer(_identifiers() + around.encode("utf-8", "surrogatepass"), np.uint8)
+    common = np.random.default_rng(len(common)).permutation(common).tobytes()
+    # Several orders of a token's letters, none of which matches another, tell its cost to less than a byte.
+    orders = np.random.default_rng(len(token)).permuted(np.tile(np.arange(len(token)), (8, 1)), axis=1).ravel()
+    packed = lambda x: len(zstandard.ZstdCompressor(level=9, write_content_size=False).compress(common + x))
+    nothing = packed(b"")
+    own, *others = (packed(np.frombuffer(x.lower().encode(), np.uint8)[orders].tobytes()) - nothing for x in (token, *_random_tokens(len(token), "abcdefghijklmnopqrstuvwxyz")))
+    return SAMPLES * own < UNLIKE_WORD * sum(others)
+
+
 def is_novel(token: str, around: str) -> bool:
+    if WORD.fullmatch(token) and like_a_word(token, around):
+        return False
     if novelty(token, around) >= NOVELTY:
         return True
     alphabet, own = "".join(sorted(set(token))), marginal_bytes(token, around)
@@ -113,14 +137,16 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Incompressible tokens in sensitive contexts that overlap no base span."""
-    found = []
+    """Incompressible tokens in sensitive contexts that overlap no base span; ``base`` is sorted."""
+    found, at, reach = [], 0, 0
     for m in CANDIDATE.finditer(text):
         token, (a, b) = m.group(), m.span()
-        if not (any(map(str.isdigit, token)) and any(map(str.isalpha, token))) or any(s < b and a < e for s, _, e in base):
+        while at < len(base) and base[at][0] < b:
+            at, reach = at + 1, max(reach, base[at][2])
+        if reach > a:
             continue
         line = text[max(0, a - NEAR) : a].rpartition("\n")[2]
-        if SENSITIVE.search(line) and is_novel(token, text[max(0, a - AROUND) : a] + text[b : b + AROUND]):
+        if SENSITIVE.search(line) and is_novel(token, text[b : b + AROUND] + text[max(0, a - AROUND) : a]):
             found.append((a, 3, b))
     return found
 
