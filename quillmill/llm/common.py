@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import string
 import tempfile
 import uuid
@@ -30,11 +31,14 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_path(spark: SparkSession, what: str) -> str:
     """A new path in the folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where that setting is missing, as in tests, a temporary folder is set in its place.
+    Where no such folder is named, one is only made up for a local master, whose executors are
+    the driver itself; on a cluster that is an error.
     """
     bounded_batches(spark)
     base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="quillmill-")
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir()

@@ -43,11 +43,11 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     )
 
 
-def _hot(docs: DataFrame, min_chars: int, ranges: int) -> DataFrame | None:
-    """Hot lines with their first (largest) document, or None if there are none."""
+def _hot(docs: DataFrame, min_chars: int, min_docs: int, ranges: int) -> DataFrame | None:
+    """Hot lines (in ``min_docs`` documents at least) with their first (largest) document, or None if there are none."""
     spark = docs.sparkSession
     sample = _lines(docs.where(F.pmod(F.xxhash64("row"), F.lit(SAMPLE_OF)) == 0), min_chars).groupBy("h1", "h2").agg(F.countDistinct("doc").alias("n"), F.count(F.lit(1)).alias("rows"))
-    heavy = sample.where(F.col("n") >= SAMPLED_AT_LEAST).orderBy(F.desc("rows")).limit(8 * ranges).select("h1", "h2").collect()
+    heavy = sample.where(F.col("n") >= max(SAMPLED_AT_LEAST, min_docs)).orderBy(F.desc("rows")).limit(8 * ranges).select("h1", "h2").collect()
     if not heavy:
         return None
     keys = spark.createDataFrame([tuple(r) for r in heavy], "h1 long, h2 long")
@@ -57,13 +57,11 @@ def _hot(docs: DataFrame, min_chars: int, ranges: int) -> DataFrame | None:
 
 def dropped_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, ranges: int | None = None) -> DataFrame:
     """(doc, row, pos) of each line to drop; ``row`` is the hash that ties it to its text."""
-    if min_docs > SAMPLED_AT_LEAST:
-        raise ValueError(f"min_docs above {SAMPLED_AT_LEAST} isn't supported")
     spark = docs.sparkSession
     ranges = ranges or shuffle_partitions(spark)
     docs = _identified(docs, id_col, text_col)
     lines = _lines(docs, min_chars)
-    hot = _hot(docs, min_chars, ranges)
+    hot = _hot(docs, min_chars, int(min_docs), ranges)
     of_hash = F.shiftright(F.shiftrightunsigned("h1", 33) * ranges, 31).cast("int")
     if hot is None:
         lines = lines.withColumn("hot", F.lit(False)).withColumn("range", of_hash)
@@ -75,11 +73,15 @@ def dropped_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
             .withColumn("range", F.when(F.col("hot"), F.pmod(F.xxhash64("row"), F.lit(ranges)).cast("int")).otherwise(of_hash))
         )
     group = Window.partitionBy("range", "h1", "h2")
+    # A range's rows stream by hash, then document, then position: the first row of a hash is its first occurrence.
+    ordered = group.orderBy(F.desc_nulls_last("doc"), "pos")
+    another = F.when(F.row_number().over(ordered) == 1, 0).when(F.lag("doc").over(ordered).eqNullSafe(F.col("doc")), 0).otherwise(1)
     return (
         lines.repartitionById(ranges, "range")
-        .withColumn("nth_doc", F.dense_rank().over(group.orderBy(F.desc_nulls_last("doc"))))
-        .withColumn("n_docs", F.max("nth_doc").over(group))
-        .where(f"hot or (nth_doc > 1 and n_docs >= {int(min_docs)})")
+        .withColumn("another", another)
+        .withColumn("before", F.sum("another").over(ordered))
+        .withColumn("n_docs", F.sum("another").over(group) + 1)
+        .where(f"hot or (before > 0 and n_docs >= {int(min_docs)})")
         .select("doc", "row", "pos")
     )
 
