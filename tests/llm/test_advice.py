@@ -17,13 +17,16 @@ from quillmill.plans import recognise
 
 def test_symbol_heavy_documents_by_risk(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
-    short = {r.stratum: (r.n_good, set(r.signals)) for r in quality_rules.uncertified(docs, labels).collect()}
+    short = {r.stratum: (r.n_good, set(r.signals)) for r in quality_rules.uncertified(docs, labels, risk=0.0025).collect()}
     every = {s for s, _, _ in quality_rules.SIGNALS}
     assert short == {"en": (2076, every), "de": (507, every), "fr": (505, every), "es": (321, every)}
-    assert quality_rules.uncertified(docs, labels, risk=0.02).isEmpty()
-    bad = labels.groupBy("doc_id").agg(F.max("quality").alias("high")).where("high = 0")
-    heavy = quality_rules.judge(docs, labels, risk=0.02).join(bad, "doc_id", "left_semi").where("n_symbols > 0.05 * word_chars")
+    assert quality_rules.uncertified(docs, labels).isEmpty()
+    judged = quality_rules.judge(docs, labels)
+    by = labels.groupBy("doc_id").agg(F.max("quality").alias("high"))
+    heavy = judged.join(by.where("high = 0"), "doc_id", "left_semi").where("n_symbols > 0.05 * word_chars")
     assert heavy.count() == 303 and heavy.where("kept").isEmpty()
+    good = judged.join(by.where("high = 1"), "doc_id", "left_semi").where("not base_failed")
+    assert good.where("not kept").count() <= 0.02 * good.count()
 
 
 SHOP = "In the shop Tom has 3 apples and Sue has 5 apples and Ann has 2 apples. How many apples do they have together?"
@@ -81,6 +84,37 @@ def test_random_tokens_of_any_length_are_novel(kind):
             assert [text[a:b] for a, _, b in secrets.novel_spans(text, [])] == [token]
 
 
+def test_tokens_of_letters_or_digits_only():
+    """Every candidate is measured; what could be a word must cost more than the letters around it do."""
+    g = random.Random(7)
+    for letters, n, least in ((string.ascii_lowercase, 28, 90), (string.ascii_uppercase, 28, 95), (string.ascii_letters, 24, 99), (string.digits, 24, 99), (string.ascii_lowercase, 200, 99)):
+        found = 0
+        for _ in range(100):
+            token = "".join(g.choices(letters, k=n))
+            text = f"The service reads this file at start.\nauth bearer {token}\nend of it\n"
+            found += [text[a:b] for a, _, b in secrets.novel_spans(text, [])] == [token]
+        assert found >= least, (letters, n)
+    words = "internationalisation responsibilities characterisation uncharacteristically misunderstanding telecommunications Straightforwardness recommendations acknowledgement implementations"
+    assert [w for w in words.split() if secrets.novel_spans(f"the key {w} stands here among other words of the text", [])] == []
+
+
+def test_text_before_a_token_is_what_it_follows(monkeypatch):
+    seen = []
+    monkeypatch.setattr(secrets, "is_novel", lambda token, around: seen.append((token, around)))
+    secrets.novel_spans("auth header = " + "A2" * 12 + " and after", [])
+    assert seen == [("A2" * 12, " and afterauth header = ")]
+
+
+def test_candidates_beside_base_spans():
+    g, spans, text = random.Random(3), [], ""
+    for k in range(60):
+        token = "".join(g.choices(string.ascii_letters + string.digits, k=30))
+        spans += [(len(text), 0, len(text) + 44)] if k % 3 == 0 else []
+        text += f"the auth key {token} \n"
+    shown = {text[a:b] for a, _, b in secrets.novel_spans(text, spans)}
+    assert len(shown) == 40 and not any(s < text.index(t) + 30 and text.index(t) < e for t in shown for s, _, e in spans)
+
+
 def test_long_names_are_not_novel():
     g, words = random.Random(5), secrets.IDENTIFIERS.split()[:-6]
     for n in (4, 10, 40, 400):

@@ -262,6 +262,17 @@ def test_line_dedup_with_hot_lines(spark, monkeypatch):
     assert [tuple(x) for x in maps.keep] == [(0, 1), (3, None)]
 
 
+@pytest.mark.parametrize("min_docs", [2, 40])
+def test_line_dedup_with_any_number_of_documents(spark, monkeypatch, min_docs):
+    monkeypatch.setattr(line_dedup, "SAMPLE_OF", 2)
+    lines = {n: f"this line stands in {n} documents of all" for n in (1, 2, 39, 40, 41, 90)}
+    rows = [(i, "\n".join([t for n, t in lines.items() if i < n] * 2 + ["end"])) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    dropped = {n: n - 1 if n >= min_docs else 0 for n in lines}
+    got = {r.doc_id: r._n_dropped for r in line_dedup.dedup_lines(df, min_docs=min_docs).collect()}
+    assert got == {i: 2 * sum(i < d for d in dropped.values()) for i in range(100)}
+
+
 def test_reply_trees(spark):
     rows = [(1, 1, None, "user", "q", 0.0), (1, 2, 1, "assistant", "a", 1.0), (1, 3, 1, "assistant", "b", 5.0), (1, 4, 3, "user", "more", 0.0), (1, 5, 4, "assistant", "c", 0.0), (2, 9, 77, "user", "orphan", None)]
     df = spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double")
@@ -296,29 +307,64 @@ def test_quality_net_on_held_out(spark):
     assert len(got) > 50 and sum(r.predicted == r.quality for r in got) >= 0.9 * len(got)
 
 
+def plain_probability(net, data):
+    """The network by plain loops over chunks, filters and positions."""
+    q, best = quality_net, []
+    embedded = net.embed.astype(np.float64)[data]
+    for a in range(0, len(data) - q.WIDTH + 1, q.CHUNK):
+        places = range(a, min(a + q.CHUNK, len(data) - q.WIDTH + 1))
+        heard = [max(sum(float(embedded[p + k] @ net.filters[k, :, f]) for k in range(q.WIDTH)) for p in places) for f in range(q.FILTERS)]
+        kept = [max(x + float(b), 0.0) for x, b in zip(heard, net.bias, strict=True)]
+        best.append([max(sum(x * float(w) for x, w in zip(kept, net.units[:, u], strict=True)) + float(net.offset[u]), 0.0) for u in range(q.UNITS)])
+    inputs = [max(c) for c in zip(*best, strict=True)] + [sum(c) / len(c) for c in zip(*best, strict=True)]
+    return 1 / (1 + math.exp(-sum(x * float(w) for x, w in zip(inputs, net.out, strict=True)) - float(net.base[0])))
+
+
+def test_scores_are_those_of_a_plain_convolution(spark, small, odd, monkeypatch):
+    """Short texts are scored together, long ones in slices; a trained network, whole texts, many lengths."""
+    monkeypatch.setattr(quality_net, "SLICE", 4)
+    frames = [spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text").where("text is null or length(text) < 2500") for path in (small, odd)]
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    model = quality_net.train(frames[0], labels)
+    shown = frames[0].orderBy("doc_id").limit(25).unionByName(frames[1].limit(8)).unionByName(spark.createDataFrame([(900 + n, "ab c" * n) for n in (0, 1, 2, 31, 32, 33, 64, 65, 130)], "doc_id long, text string"))
+    got = quality_net.score(shown.repartition(3), model, columns=["doc_id", "text"]).collect()
+    assert len(got) == 42
+    for r in got:
+        assert math.isclose(r._score, plain_probability(model, quality_net.octets(r.text)), rel_tol=1e-3, abs_tol=1e-5)
+
+
+def test_lessons_are_bounded_by_rows_and_bytes(spark, small, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(quality_net.Net, "fit", lambda self, docs, marks: seen.update(n=len(docs), size=sum(map(len, docs))) or self)
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    quality_net.train(docs, labels)
+    whole = dict(seen)
+    quality_net.train(docs, labels, most_bytes=whole["size"] // 2)
+    assert 0.2 * whole["n"] < seen["n"] < whole["n"] and seen["size"] <= whole["size"] // 2
+    quality_net.train(docs, labels, most_docs=20)
+    assert 10 < seen["n"] <= 20
+
+
 def test_gradients():
     net = quality_net.Net()
     g = np.random.default_rng(1)
-    batch = [([g.integers(0, 256, 40).astype(np.uint8), g.integers(0, 256, 30).astype(np.uint8)], np.array([0.2, 0.3], np.float32)) for _ in range(3)]
+    batch = [g.integers(0, 256, n).astype(np.uint8) for n in (300, 40, 700)]
     y = np.array([0, 1, 1], np.float32)
 
     def loss():
-        out = 0.0
-        for (chunks, echoes), t in zip(batch, y, strict=True):
-            tables = net.tables()
-            tops = np.stack([sum(tables[k][c[k : len(c) - quality_net.WIDTH + 1 + k]] for k in range(quality_net.WIDTH)).max(axis=0) for c in chunks])
-            tops = np.column_stack([np.maximum(tops + net.bias, 0), echoes])
-            z = np.concatenate([tops.max(axis=0), tops.mean(axis=0)]) @ net.out + net.base[0]
-            out += np.log1p(np.exp(z)) - t * z
-        return out / len(batch)
+        net.pairs = None
+        p = net.probabilities(batch)
+        return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
 
     for p, d in zip(net.parameters(), net.gradients(batch, y), strict=True):
+        assert p.shape == d.shape
         at = np.unravel_index(np.abs(d).argmax(), d.shape)
         p[at] += 1e-3
         up = loss()
         p[at] -= 2e-3
         down = loss()
         p[at] += 1e-3
+        net.pairs = None
         assert abs((up - down) / 2e-3 - d[at]) < 0.05 * abs(d[at]) + 1e-3
 
 
