@@ -1,32 +1,44 @@
 """LM scoring: a log-bilinear neural model in numpy, trained by noise-contrastive estimation.
 
-Counts. Word counts and counts of adjacent classes are taken from every training document by
-map-side tables that Spark merges; nothing is sampled. The ``CLASSES`` most frequent tokens
-(bounded) are classes of the model, all others share one class. Class pairs are at most
-``CLASSES ** 2`` numbers, however large the corpus.
-
-Model. log p(next class | previous class) is bilinear: q[next] . (C r[previous]) + b[next],
-normalised over all classes by one batched matrix product. Noise-contrastive estimation against
-the unigram distribution fits it to the pair counts, the noise term in closed form rather than
-by drawing. A word outside the model's classes has its class's probability times its smoothed
-share among such words, all unseen words together having one such share; so the probabilities of
-all known words and of "unseen" sum to 1 after any context.
+Counts. Token counts are taken from every training document by map-side tables that Spark merges;
+nothing is sampled.
+
+Vocabulary. Every word has a leaf of the model: the most frequent ones a leaf each, all others share
+``SHARED`` leaves by a hash, in which a word has its smoothed share (all unseen words of a leaf together
+have one such share). Leaves lie in classes by frequency: the ``SINGLE`` most frequent tokens are
+classes themselves, the others form classes of ``MEMBERS`` leaves. So
+p(word | context) = p(class | context) p(leaf | class, context) p(word | leaf), and the probabilities
+of all known words and of the unseen ones sum to 1 after any context.
+
+Model. The context vector is h = sum over the ``CONTEXT`` previous tokens of r[token] P[position], with
+a matrix for each position; class and leaf are log-bilinear in it: exp(s[class] . h + b) normalised over
+all classes, exp(q[leaf] . h + b) over the members of a class, each by batched matrix products. Before
+a text's first token stands the end token.
+
+Training. Every training document is read once, in ``ROUNDS`` rounds that share the documents by a hash.
+In a round each task starts from the current model and takes steps of noise-contrastive estimation
+through its documents, for classes against noise from their counts and for leaves against noise
+from their class's counts; what the tasks learned is averaged, each row by how often it was met. A
+task sends its changes in pieces of bounded size that are summed in streams; one model (a few MB)
+comes to the driver in each round, whatever the corpus.
 
 Scoring. The ``KNOWN`` most frequent tokens travel to the executors with their counts (bounded:
 ``KNOWN`` entries of at most ``LONGEST`` bytes, longer words being named by a digest). Words
 beyond these are counted for each document and joined with the counts of all words by a shuffle.
 
 Nulls and corner cases: a null or empty text is its end token; a null doc_id is a training
-document; without training documents every token is unknown and classes are equally likely;
-repeated rows are documents of their own; an empty table gives no rows. Other columns are ignored.
+document; without training documents every token is unknown and all classes and leaves are equally
+likely; repeated rows are documents of their own; an empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +46,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Batcher, load, rows, stored, words_of
+from .common import Batcher, load, rows, shuffle_partitions, stored, words_of
 from .quality_net import fold
 
-CLASSES, KNOWN, LONGEST, DIMENSIONS, STEPS, NOISE = 768, 100_000, 48, 32, 150, 10
-#: The end token holds white space, which no word can; classes 0 and 1 are the end and all other words.
-END, REST = b"\n", 1
+KNOWN, LONGEST = 100_000, 48
+#: Classes of one token, other classes and their leaves, and the leaves at the end that words share by a hash.
+SINGLE, CLASSES, MEMBERS, SHARED = 32, 128, 128, 2048
+DIMENSIONS, CONTEXT, ROUNDS = 16, 3, 2
+BATCH, NOISE, LEAF_NOISE, RATE = 4096, 32, 1, 0.08
+#: Pieces in which a task's changes of the model travel.
+PIECES = 64
+#: The end token holds white space, which no word can; it is the first leaf.
+END = b"\n"
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -71,85 +89,257 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], classes: dict[bytes, int], n_classes: int) -> Iterator[pa.RecordBatch]:
-    """Counts of (previous, next) classes; a text's first token follows the end token."""
-    total, held = np.zeros(n_classes * n_classes, np.int64), []
-    get = classes.get
+class Model:
+    """Parameters: ``r`` (leaf, D), ``positions`` (CONTEXT * D, D), ``s`` (class, D + 1) and ``q`` (leaf, D + 1) with biases last.
+
+    ``counts`` are the tokens of each leaf in training; leaves of a class stand together, so ``starts`` bounds them.
+    """
+
+    def __init__(self, counts: np.ndarray, seed: int = 3):
+        g, n = np.random.default_rng(seed), len(counts)
+        self.starts = np.append(np.arange(SINGLE), np.arange(SINGLE, n + 1, MEMBERS)).astype(np.int64)
+        self.class_of = np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts)).astype(np.int64)
+        mass = counts + 0.5
+        self.leaf_share = mass / np.add.reduceat(mass, self.starts[:-1])[self.class_of]
+        self.class_share = np.add.reduceat(mass, self.starts[:-1]) / mass.sum()
+        #: Cumulated shares, for drawing leaves of a class: class c has the values from c to c + 1.
+        self.upto = np.cumsum(self.leaf_share)
+        self.r = g.normal(0, 0.3, (n, DIMENSIONS)).astype(np.float32)
+        decay = [np.eye(DIMENSIONS) / (k + 1) for k in range(CONTEXT)]
+        self.positions = np.concatenate(decay).astype(np.float32)
+        self.s = np.hstack([np.zeros((len(self.class_share), DIMENSIONS)), np.log(self.class_share)[:, None]]).astype(np.float32)
+        self.q = np.hstack([np.zeros((n, DIMENSIONS)), np.log(self.leaf_share)[:, None]]).astype(np.float32)
+
+    def parameters(self) -> list[np.ndarray]:
+        return [self.r, self.positions, self.s, self.q]
+
+    def contexts(self, context: np.ndarray) -> np.ndarray:
+        """h with a last 1 for the bias, for the leaves (n, CONTEXT) before each token, the nearest first."""
+        h = self.r[context].reshape(len(context), -1) @ self.positions
+        return np.hstack([h, np.ones((len(h), 1), np.float32)])
+
+    def log_probabilities(self, context: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        """ln p(leaf | context), normalised over all classes and over all leaves of the class."""
+        h, of = self.contexts(context), self.class_of[leaf]
+        out = np.einsum("nd,nd->n", h, self.s[of]).astype(np.float64)
+        for at in range(0, len(h), BATCH):
+            out[at : at + BATCH] -= _log_sum(h[at : at + BATCH], self.s)
+        order = np.argsort(of, kind="stable")
+        order = order[np.searchsorted(of[order], SINGLE) :]
+        if len(order):
+            out[order] += np.einsum("nd,nd->n", h[order], self.q[leaf[order]])
+            cuts = np.flatnonzero(np.diff(of[order])) + 1
+            for own in np.split(order, cuts):
+                c = of[own[0]]
+                out[own] -= _log_sum(h[own], self.q[self.starts[c] : self.starts[c + 1]])
+        return out
 
-    def add() -> None:
-        np.add(total, np.bincount(np.concatenate(held), minlength=len(total)), out=total)
-        held.clear()
 
-    size = 0
+def _log_sum(h: np.ndarray, rows_: np.ndarray) -> np.ndarray:
+    """ln of the sum of exponentials of all scores, in double precision where single would overflow."""
+    scores = h @ rows_.T
+    if scores.max(initial=0) > 80:
+        top = scores.max(axis=1, keepdims=True).astype(np.float64)
+        return (top + np.log(np.exp(scores - top).sum(axis=1, keepdims=True)))[:, 0]
+    return np.log(np.exp(scores, out=scores) @ np.ones(scores.shape[1], np.float32)).astype(np.float64)
+
+
+def _sum_by(ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct ids, sum of their rows, their number)."""
+    order = np.argsort(ids.astype(np.uint16) if ids.max() < 1 << 16 else ids, kind="stable")
+    own = ids[order]
+    first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+    return own[first], np.add.reduceat(values[order], first, axis=0), np.diff(np.append(first, len(own)))
+
+
+def _certain(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+class Learner:
+    """Noise-contrastive steps from a model, and how often each row of its parameters was met."""
+
+    def __init__(self, model: Model, seed: int):
+        self.model, self.g = model, np.random.default_rng(seed)
+        self.now = [p.copy() for p in model.parameters()]
+        self.met = [np.zeros(len(p), np.float32) for p in self.now]
+        self.squares = [np.full(len(p), 1e-8, np.float32) for p in self.now]
+
+    def _move(self, k: int, ids: np.ndarray, gradient: np.ndarray, times: np.ndarray) -> None:
+        """AdaGrad with one scale for each row, so that frequent and rare rows both move."""
+        self.met[k][ids] += times
+        self.squares[k][ids] += (gradient * gradient).mean(axis=1)
+        self.now[k][ids] -= RATE * gradient / np.sqrt(self.squares[k][ids])[:, None]
+
+    def step(self, context: np.ndarray, leaf: np.ndarray) -> None:
+        m, (r, positions, s, q) = self.model, self.now
+        x = r[context].reshape(len(context), -1)
+        h = np.hstack([x @ positions, np.ones((len(x), 1), np.float32)])
+        # Classes: noise shared by the batch, drawn from their counts.
+        of = m.class_of[leaf]
+        noise = self.g.choice(len(m.class_share), NOISE, p=m.class_share)
+        weight = np.log(NOISE * m.class_share).astype(np.float32)
+        right = _certain(np.einsum("nd,nd->n", h, s[of]) - weight[of]) - 1
+        wrong = _certain(h @ s[noise].T - weight[noise])
+        d_h = right[:, None] * s[of] + wrong @ s[noise]
+        ids, gradient, times = _sum_by(np.concatenate([of, noise]), np.concatenate([right[:, None] * h, wrong.T @ h]))
+        # Leaves: noise of their own class, for those that aren't alone in it.
+        many = np.flatnonzero(of >= SINGLE)
+        if len(many):
+            c, own = of[many], h[many]
+            drawn = np.searchsorted(m.upto, c[:, None] + self.g.random((len(c), LEAF_NOISE)))
+            drawn = np.clip(drawn, m.starts[c][:, None], m.starts[c + 1][:, None] - 1)
+            all_leaves = np.hstack([leaf[many][:, None], drawn])
+            taken = q[all_leaves]
+            d = _certain(np.einsum("nd,nkd->nk", own, taken) - np.log(LEAF_NOISE * m.leaf_share[all_leaves]).astype(np.float32))
+            d[:, 0] -= 1
+            d = d.astype(np.float32)
+            d_h[many] += np.einsum("nk,nkd->nd", d, taken)
+            self._move(3, *_sum_by(all_leaves.ravel(), (d[:, :, None] * own[:, None, :]).reshape(-1, own.shape[1])))
+        self._move(2, ids, gradient, times)
+        d_h = d_h[:, :-1]
+        d_x = (d_h @ positions.T).reshape(-1, DIMENSIONS)
+        self._move(1, np.arange(len(positions)), x.T @ d_h, np.full(len(positions), len(x), np.float32))
+        self._move(0, *_sum_by(context.ravel(), d_x))
+
+    def changes(self) -> np.ndarray:
+        """Weighted changes and weights of all rows, in one array."""
+        out = [np.hstack([(now - was) * met[:, None], met[:, None]]).ravel() for now, was, met in zip(self.now, self.model.parameters(), self.met, strict=True)]
+        return np.concatenate(out).astype(np.float32)
+
+
+def apply_changes(model: Model, total: np.ndarray) -> None:
+    """Moves a model by the mean change of each row, weighted by how often tasks met it."""
+    at = 0
+    for p in model.parameters():
+        size = len(p) * (p.shape[1] + 1)
+        part = total[at : at + size].reshape(len(p), -1)
+        p += (part[:, :-1] / np.maximum(part[:, -1:], 1)).astype(np.float32)
+        at += size
+
+
+class Vocabulary:
+    """Numbers of the known tokens (the end first, then by frequency), and everyone's leaf."""
+
+    def __init__(self, known: list[bytes]):
+        self.ids = {t: i for i, t in enumerate(known)}
+        self.own, self.sharing = SINGLE + CLASSES * MEMBERS - SHARED, SHARED
+        self.leaf = np.array([i if i < self.own else self.shared(t) for i, t in enumerate(known)], np.int64)
+
+    def shared(self, token: bytes) -> int:
+        return self.own + zlib.crc32(token) % self.sharing
+
+    def read(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers (those beyond the known ones: their count) and leaves."""
+        far = len(self.ids)
+        ids = np.fromiter(map(self.ids.get, tokens, repeat(far)), np.int64, len(tokens))
+        leaf = self.leaf[np.minimum(ids, far - 1)]
+        for i in np.flatnonzero(ids == far).tolist():
+            leaf[i] = self.shared(tokens[i])
+        return ids, leaf
+
+
+def contexts_of(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(leaves before, leaf) of every token of some texts, given by their leaves."""
+    padded = np.concatenate([x for leaf in texts for x in (np.zeros(CONTEXT, np.int64), leaf)])
+    ends = np.cumsum([CONTEXT + len(x) for x in texts])
+    at = np.concatenate([np.arange(e - len(x), e) for e, x in zip(ends.tolist(), texts, strict=True)])
+    return np.stack([padded[at - k] for k in range(1, CONTEXT + 1)], axis=1), padded[at]
+
+
+_CHANGE = pa.schema([("piece", pa.int32()), ("changes", pa.binary())])
+
+
+def _learn(batches: Iterator[pa.RecordBatch], shared, round_: int) -> Iterator[pa.RecordBatch]:
+    vocabulary, model = shared.value
+    learner, held, size = Learner(model, TaskContext.get().partitionId() * ROUNDS + round_), [], 0
+
+    def steps(last: bool) -> list[np.ndarray]:
+        context, leaf = contexts_of(held)
+        whole = len(leaf) if last else len(leaf) // BATCH * BATCH
+        # Positions are dealt over the batches, so that none consists of one text.
+        order = learner.g.permutation(len(leaf))
+        for at in range(0, whole, BATCH):
+            learner.step(context[order[at : at + BATCH]], leaf[order[at : at + BATCH]])
+        return []
+
     for (text,) in rows(batches, "text"):
-        ids = np.array([0, *(get(w, REST) for w in tokens_of(text))], np.int64)
-        held.append(ids[:-1] * n_classes + ids[1:])
-        size += len(ids)
-        if size > 500_000:
-            add()
-            size = 0
+        held.append(vocabulary.read(tokens_of(text))[1])
+        size += len(held[-1])
+        if size >= 16 * BATCH:
+            held, size = steps(True), 0
     if held:
-        add()
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["pair", "n"])
-
-
-def fit_bilinear(pairs: np.ndarray, dimensions: int = DIMENSIONS, steps: int = STEPS, noise: int = NOISE, seed: int = 3) -> np.ndarray:
-    """Natural-log probabilities (previous, next) of a log-bilinear model of a table of pair counts."""
-    n = len(pairs)
-    g = np.random.default_rng(seed)
-    unigram = (pairs.sum(axis=0) + 0.5) / (pairs.sum() + 0.5 * n)
-    seen = pairs.sum(axis=1, keepdims=True)
-    counts = (pairs / max(1, pairs.sum())).astype(np.float32)
-    weight = (seen / max(1, pairs.sum())).astype(np.float32)
-    r, q, c, b = g.normal(0, 0.1, (n, dimensions)), g.normal(0, 0.1, (n, dimensions)), np.eye(dimensions), np.log(unigram)
-    theta = [x.astype(np.float32) for x in (r, q, c, b)]
-    shift = (np.log(noise) + np.log(unigram)).astype(np.float32)
-    noisy = (noise * weight * unigram).astype(np.float32)
-    m, v = [np.zeros_like(x) for x in theta], [np.zeros_like(x) for x in theta]
-    for t in range(1, steps + 1):
-        r, q, c, b = theta
-        there = r @ c
-        p = 1 / (1 + np.exp(-np.clip(there @ q.T + b - shift, -30, 30)))
-        d = noisy * p - counts * (1 - p)
-        d_there = d @ q
-        for x, grad, a, s in zip(theta, (d_there @ c.T, d.T @ there, r.T @ d_there, d.sum(axis=0)), m, v, strict=True):
-            a += 0.1 * (grad - a)
-            s += 0.01 * (grad * grad - s)
-            x -= 0.05 * (1 - t / (steps + 1)) * (a / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-12)
-    r, q, c, b = theta
-    scores = ((r @ c) @ q.T + b).astype(np.float64)
-    top = scores.max(axis=1, keepdims=True)
-    return scores - top - np.log(np.exp(scores - top).sum(axis=1, keepdims=True))
-
-
-_SCORED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("model", pa.float64()), ("n_rest", pa.int64()), ("rest_logs", pa.float64()), ("tail", pa.list_(pa.struct([("token", pa.binary()), ("times", pa.int32())])))])
-_SCORED_SQL = "row long, doc_id long, n_tokens long, n_known long, logs double, model double, n_rest long, rest_logs double, tail array<struct<token: binary, times: int>>"
-
-
-def _score(batches: Iterator[pa.RecordBatch], known: dict[bytes, int], counts: np.ndarray, n_classes: int, log10: np.ndarray) -> Iterator[pa.RecordBatch]:
+        steps(True)
+    if learner.met[1].any():
+        for k, piece in enumerate(np.array_split(learner.changes(), PIECES)):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([piece.tobytes()], pa.binary())], schema=_CHANGE)
+
+
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for piece, changes in rows(batches, "piece", "changes"):
+        own = np.frombuffer(changes, np.float32)
+        total[piece] = total[piece] + own if piece in total else own.astype(np.float64)
+    for piece, own in total.items():
+        yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([own.astype(np.float32).tobytes()], pa.binary())], schema=_CHANGE)
+
+
+def train(training: DataFrame, vocabulary: Vocabulary, counts: np.ndarray) -> Model:
+    """A model of all texts of ``training``; ``counts`` are the tokens of each leaf."""
+    spark, model = training.sparkSession, Model(counts)
+    for k in range(ROUNDS):
+        shared = spark.sparkContext.broadcast((vocabulary, model))
+        own = training.select("text").where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == k)
+        learned = own.mapInArrow(partial(_learn, shared=shared, round_=k), "piece int, changes binary")
+        sums = learned.repartition(shuffle_partitions(spark), "piece").mapInArrow(_add_up, "piece int, changes binary").collect()
+        if sums:
+            apply_changes(model, np.concatenate([np.frombuffer(r.changes, np.float32) for r in sorted(sums, key=lambda r: r.piece)]))
+    return model
+
+
+_SCORED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("model", pa.float64()), ("tail", pa.list_(pa.struct([("token", pa.binary()), ("times", pa.int32())])))])
+_SCORED_SQL = "row long, doc_id long, n_tokens long, n_known long, logs double, model double, tail array<struct<token: binary, times: int>>"
+
+
+def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     """Sums over a document's known tokens, and its other tokens with their counts.
 
-    ``known`` numbers tokens by frequency, classes first (``REST`` is no token); ``logs`` sums
-    log10(count + 0.5), ``model`` the model's class log10 probabilities, ``rest_logs`` sums
-    log10(count + 0.5) of known tokens that are no classes.
+    ``logs`` sums log10(count + 0.5) of known tokens; ``model`` the model's log10 probabilities of
+    leaves and of known tokens' shares in them, of other tokens all but log10(count + 0.5).
     """
-    out, row, get, far = Batcher(_SCORED), TaskContext.get().partitionId() << 33, known.get, len(counts)
-    logs = np.append(np.log10(counts + 0.5), 0.0)
-    trained = np.append(counts > 0, False)
+    vocabulary, model, counts, leaf_mass = shared.value
+    out, row, far = Batcher(_SCORED), TaskContext.get().partitionId() << 33, len(counts)
+    logs, trained = np.append(np.log10(counts + 0.5), 0.0), np.append(counts > 0, False)
+    # A leaf of one token is that token; in a shared one a token has its smoothed share.
+    share_logs, below = np.where(np.arange(far + 1) < vocabulary.own, 0.0, logs), np.where(np.arange(len(leaf_mass)) < vocabulary.own, 0.0, np.log10(leaf_mass))
+    held, size = [], 0
+
+    def scored() -> Iterator[tuple]:
+        context, leaf = contexts_of([x[3] for x in held])
+        ids = np.concatenate([x[2] for x in held])
+        each = model.log_probabilities(context, leaf) / math.log(10) + share_logs[ids] - below[leaf]
+        first = np.cumsum([0, *(len(x[2]) for x in held[:-1])])
+        for (doc, tokens, own, _), a, total in zip(held, first.tolist(), np.add.reduceat(each, first).tolist(), strict=True):
+            tail = [{"token": w, "times": n} for w, n in Counter(tokens[i] for i in np.flatnonzero(own == far)).items()]
+            yield doc, len(own), int(trained[own].sum()), float(logs[own].sum()), total, tail
+
+    def flush(last: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal row
+        for found in scored() if held else ():
+            if out.add((row, *found), 100 + 40 * len(found[-1])):
+                yield out.take()
+            row += 1
+        if last and out.rows:
+            yield out.take()
+
     for doc, text in rows(batches, "doc_id", "text"):
         tokens = tokens_of(text)
-        ids = np.array([get(w, far) for w in tokens], np.int64)
-        classes = np.where(ids < n_classes, ids, REST)
-        others = (ids >= n_classes) & (ids < far)
-        model = log10[np.concatenate(([0], classes[:-1])), classes].sum()
-        tail = Counter(tokens[i] for i in np.flatnonzero(ids == far))
-        tail = [{"token": w, "times": n} for w, n in tail.items()]
-        if out.add((row, doc, len(ids), int(trained[ids].sum()), float(logs[ids].sum()), float(model), int((classes == REST).sum()), float(logs[ids[others]].sum()), tail), 100 + 40 * len(tail)):
-            yield out.take()
-        row += 1
-    if out.rows:
-        yield out.take()
+        held.append((doc, tokens, *vocabulary.read(tokens)))
+        size += len(tokens)
+        if size >= 8 * BATCH:
+            yield from flush(False)
+            held, size = [], 0
+    yield from flush(True)
 
 
 def score_texts(docs: DataFrame, training: DataFrame) -> DataFrame:
@@ -160,31 +350,24 @@ def score_texts(docs: DataFrame, training: DataFrame) -> DataFrame:
     n, v = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     top = counted.where(F.col("token") != F.lit(END)).orderBy(F.desc("c"), "token").limit(KNOWN).collect()
     n_end = (counted.where(F.col("token") == F.lit(END)).first() or (None, 0))[1]
-    n_classes = min(CLASSES, len(top) + 2)
-    known = {END: 0} | {bytes(t): i for i, (t, _) in enumerate(top, 2)}
-    counts = np.array([n_end, 0, *(c for _, c in top)], np.float64)
-    classes = {t: i for t, i in known.items() if i < n_classes}
-    sc = spark.sparkContext
-    shared_classes = sc.broadcast(classes)
-    pairs = training.select("text").mapInArrow(lambda it: _pairs(it, shared_classes.value, n_classes), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
-    table = np.zeros(n_classes * n_classes)
-    table[[p for p, _ in pairs]] = [k for _, k in pairs]
-    log10 = fit_bilinear(table.reshape(n_classes, n_classes)) / math.log(10)
-    model = sc.broadcast((known, counts, n_classes, log10))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _score(batches, *model.value)
-
-    sums = stored(docs.select("doc_id", "text").mapInArrow(run, _SCORED_SQL), "lm-sums")
+    counts = np.array([n_end, *(c for _, c in top)], np.float64)
+    vocabulary = Vocabulary([END, *(bytes(t) for t, _ in top)])
+    # Tokens and words of each leaf; of the shared ones over all words, not only the known.
+    leaves, own = SINGLE + CLASSES * MEMBERS, vocabulary.own
+    leaf_counts, leaf_words = np.zeros(leaves), np.zeros(leaves)
+    leaf_counts[: min(own, len(counts))] = counts[:own]
+    sharing = counted.join(F.broadcast(spark.createDataFrame([(bytearray(t),) for t in [END, *(bytes(t) for t, _ in top)][:own]], "token binary")), "token", "left_anti")
+    for leaf, c, words in sharing.groupBy(F.pmod(F.crc32("token"), F.lit(SHARED)).alias("leaf")).agg(F.sum("c"), F.count(F.lit(1))).collect():
+        leaf_counts[own + leaf], leaf_words[own + leaf] = c, words
+    model = train(training, vocabulary, leaf_counts)
+    shared = spark.sparkContext.broadcast((vocabulary, model, counts, leaf_counts + 0.5 * (leaf_words + 1)))
+    sums = stored(docs.select("doc_id", "text").mapInArrow(partial(_score, shared=shared), _SCORED_SQL), "lm-sums")
     tail = sums.select("row", F.explode("tail").alias("t")).select("row", F.col("t.token").alias("token"), F.col("t.times").alias("times"))
     found = tail.join(counted, "token", "left").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("tail_logs"), F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("tail_known"))
-    rest_n = n - float(counts[:n_classes].sum())
-    rest_v = max(0, v - (n_classes - 1 if n_end else 0))
-    logs = F.col("logs") + F.coalesce("tail_logs", F.lit(0.0))
-    rest = F.col("rest_logs") + F.coalesce("tail_logs", F.lit(0.0)) - F.col("n_rest") * math.log10(rest_n + 0.5 * (rest_v + 1))
+    tail_logs = F.coalesce("tail_logs", F.lit(0.0))
     return sums.drop("tail").join(found, "row", "left").select(
         "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("tail_known", F.lit(0))).cast("long").alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"),
-        (logs - F.col("n_tokens") * math.log10(n + 0.5 * (v + 1))).alias("base_score"), (F.col("model") + rest).alias("score"),
+        (F.col("logs") + tail_logs - F.col("n_tokens") * math.log10(n + 0.5 * (v + 1))).alias("base_score"), (F.col("model") + tail_logs).alias("score"),
     )
 
 

@@ -241,25 +241,71 @@ def test_language_model(spark, small, docs):
     assert sum(r.score for r in seen) > sum(r.base_score for r in seen)
 
 
-def test_bilinear_model_is_normalised_and_learns():
-    g = np.random.default_rng(0)
-    truth = g.dirichlet(np.full(12, 0.2), 12)
-    logp = language_model.fit_bilinear(np.round(truth * 10_000), dimensions=12, steps=400)
-    assert np.allclose(np.exp(logp).sum(axis=1), 1)
-    unigram = np.log(truth.mean(axis=0))
-    assert (truth * logp).sum() > (truth * unigram[None]).sum() + 1
-
-
-def test_line_dedup_with_hot_lines(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "SAMPLE_OF", 2)
-    hot = "this line is in very nearly every document"
-    rows = [(i, f"own line number {i} of this one document\n{hot}\n{hot}\nx") for i in range(200)] + [(500, "this line stands in two documents only"), (501, "this line stands in two documents only")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = {r.doc_id: r for r in line_dedup.dedup_lines(df).collect()}
-    assert all(got[i]._n_dropped == (2 if i < 199 else 0) for i in range(200)) and got[500]._n_dropped == 0
-    assert got[3].text == "own line number 3 of this one document\nx" and got[199].text == dict(rows)[199]
-    maps = line_dedup.keep_bitmaps(df).where("doc = 3").first()
-    assert [tuple(x) for x in maps.keep] == [(0, 1), (3, None)]
+def test_bilinear_model_is_normalised():
+    """Over all leaves, by a plain loop for each, after contexts of several words."""
+    m, g = language_model.Model(np.random.default_rng(1).integers(0, 50, language_model.SINGLE + language_model.CLASSES * language_model.MEMBERS)), np.random.default_rng(2)
+    m.s[:, :-1], m.q[:, :-1] = g.normal(0, 1, m.s[:, :-1].shape), g.normal(0, 1, m.q[:, :-1].shape)
+    leaves = np.arange(len(m.q))
+    for _ in range(3):
+        before = g.integers(0, len(leaves), language_model.CONTEXT)
+        got = m.log_probabilities(np.tile(before, (len(leaves), 1)), leaves)
+        assert math.isclose(np.exp(got).sum(), 1, rel_tol=1e-4)
+        for leaf in (0, 5, language_model.SINGLE, 777, len(leaves) - 1):
+            assert math.isclose(got[leaf], plain_log(m, before, leaf), rel_tol=1e-4)
+
+
+def plain_log(m, before, leaf):
+    """ln p(leaf | the leaves before, the nearest first) by loops."""
+    d = language_model.DIMENSIONS
+    h = sum(m.r[w].astype(float) @ m.positions[k * d : (k + 1) * d].astype(float) for k, w in enumerate(before))
+    score = lambda row: float(h @ row[:-1].astype(float)) + float(row[-1])
+    chosen = lambda rows, i: score(rows[i]) - math.log(sum(math.exp(score(x)) for x in rows))
+    c = int(m.class_of[leaf])
+    return chosen(m.s, c) + chosen(m.q[m.starts[c] : m.starts[c + 1]], leaf - m.starts[c])
+
+
+@pytest.mark.parametrize("known", [100_000, 60])
+def test_scores_are_the_model_s(spark, small, monkeypatch, known):
+    """Every score of a table by plain loops over words, with few and with many words beyond the known ones."""
+    for name, value in (("KNOWN", known), ("CLASSES", 4), ("MEMBERS", 16), ("SHARED", 32)):
+        monkeypatch.setattr(language_model, name, value)
+    held, train = {}, language_model.train
+    monkeypatch.setattr(language_model, "train", lambda *a: held.setdefault("model", train(*a)))
+    df = spark.read.parquet(f"{small}/documents.parquet").where("length(text) < 900").select("doc_id", "text").limit(25).unionByName(spark.createDataFrame([(None, None), (900, ""), (901, "unseen words only"), (902, "w" * 60)], "doc_id long, text string"))
+    docs = [tuple(r) for r in df.collect()]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r.score for r in language_model.score_texts(df, df.where("doc_id % 5 <> 1")).collect()}
+    m, c = held["model"], Counter(w for i, t in docs if i is not None and i % 5 != 1 for w in language_model.tokens_of(t))
+    own = language_model.SINGLE + 4 * 16 - 32
+    ranked = [language_model.END, *sorted((w for w in c if w != language_model.END), key=lambda w: (-c[w], w))][: known + 1]
+    leaf = lambda w: ranked.index(w) if w in ranked[:own] else own + zlib.crc32(w) % 32
+    mass = Counter()
+    for w in c:
+        mass[leaf(w)] += c[w] + 0.5
+    for i, text in docs:
+        before, total = [0] * language_model.CONTEXT, 0.0
+        for w in language_model.tokens_of(text):
+            total += plain_log(m, before, leaf(w))
+            total += math.log((c[w] + 0.5) / (mass[leaf(w)] + 0.5)) if leaf(w) >= own else 0
+            before = [leaf(w), *before[:-1]]
+        assert math.isclose(got[i], total / math.log(10), rel_tol=1e-4), i
+
+
+def test_noise_contrastive_steps_learn_what_the_second_word_before_says():
+    g, n = np.random.default_rng(0), 64
+    walk = [0, 1]
+    for _ in range(60_000):
+        walk.append(int((walk[-2] * 7 + 3) % n if g.random() < 0.8 else g.integers(n)))
+    leaves = np.array(walk)
+    m = language_model.Model(np.bincount(leaves, minlength=language_model.SINGLE + language_model.CLASSES * language_model.MEMBERS))
+    context, target = language_model.contexts_of([leaves])
+    plain = m.log_probabilities(context[-2000:], target[-2000:]).mean()
+    learner = language_model.Learner(m, 0)
+    for _ in range(4):
+        for at in range(0, 56_000, 1000):
+            learner.step(context[at : at + 1000], target[at : at + 1000])
+    language_model.apply_changes(m, learner.changes())
+    assert m.log_probabilities(context[-2000:], target[-2000:]).mean() > plain + 0.8
 
 
 @pytest.mark.parametrize("min_docs", [2, 40])
@@ -322,15 +368,17 @@ def plain_probability(net, data):
 
 def test_scores_are_those_of_a_plain_convolution(spark, small, odd, monkeypatch):
     """Short texts are scored together, long ones in slices; a trained network, whole texts, many lengths."""
-    monkeypatch.setattr(quality_net, "SLICE", 4)
     frames = [spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text").where("text is null or length(text) < 2500") for path in (small, odd)]
     labels = spark.read.parquet(f"{small}/labels.parquet")
     model = quality_net.train(frames[0], labels)
     shown = frames[0].orderBy("doc_id").limit(25).unionByName(frames[1].limit(8)).unionByName(spark.createDataFrame([(900 + n, "ab c" * n) for n in (0, 1, 2, 31, 32, 33, 64, 65, 130)], "doc_id long, text string"))
     got = quality_net.score(shown.repartition(3), model, columns=["doc_id", "text"]).collect()
     assert len(got) == 42
-    for r in got:
-        assert math.isclose(r._score, plain_probability(model, quality_net.octets(r.text)), rel_tol=1e-3, abs_tol=1e-5)
+    plain = [plain_probability(model, quality_net.octets(r.text)) for r in got]
+    monkeypatch.setattr(quality_net, "SLICE", 4)
+    sliced = model.probabilities([quality_net.octets(r.text) for r in got])
+    for r, p, q in zip(got, plain, sliced, strict=True):
+        assert math.isclose(r._score, p, rel_tol=1e-3, abs_tol=1e-5) and math.isclose(q, p, rel_tol=1e-3, abs_tol=1e-5)
 
 
 def test_lessons_are_bounded_by_rows_and_bytes(spark, small, monkeypatch):
