@@ -247,8 +247,8 @@ def test_bilinear_model_is_normalised():
     m.s[:, :-1], m.q[:, :-1] = g.normal(0, 1, m.s[:, :-1].shape), g.normal(0, 1, m.q[:, :-1].shape)
     leaves = np.arange(len(m.q))
     for _ in range(3):
-        before = g.integers(0, len(leaves), language_model.CONTEXT)
-        got = m.log_probabilities(np.tile(before, (len(leaves), 1)), leaves)
+        before, n = g.integers(0, len(leaves), language_model.CONTEXT), language_model.CONTEXT + 1
+        got = m.log_probabilities(np.hstack([np.tile(before[::-1], (len(leaves), 1)), leaves[:, None]]).ravel(), leaves * n + n - 1)
         assert math.isclose(np.exp(got).sum(), 1, rel_tol=1e-4)
         for leaf in (0, 5, language_model.SINGLE, 777, len(leaves) - 1):
             assert math.isclose(got[leaf], plain_log(m, before, leaf), rel_tol=1e-4)
@@ -274,10 +274,13 @@ def test_scores_are_the_model_s(spark, small, monkeypatch, known):
     df = spark.read.parquet(f"{small}/documents.parquet").where("length(text) < 900").select("doc_id", "text").limit(25).unionByName(spark.createDataFrame([(None, None), (900, ""), (901, "unseen words only"), (902, "w" * 60)], "doc_id long, text string"))
     docs = [tuple(r) for r in df.collect()]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
-    got = {r.doc_id: r.score for r in language_model.score_texts(df, df.where("doc_id % 5 <> 1")).collect()}
+    got = {r.doc_id: r.score for r in language_model.score_texts(df, F.col("doc_id") % 5 != 1).collect()}
     m, c = held["model"], Counter(w for i, t in docs if i is not None and i % 5 != 1 for w in language_model.tokens_of(t))
     own = language_model.SINGLE + 4 * 16 - 32
-    ranked = [language_model.END, *sorted((w for w in c if w != language_model.END), key=lambda w: (-c[w], w))][: known + 1]
+    ranked = [w for w in sorted(c, key=lambda w: (-c[w], w)) if w != language_model.END]
+    level = lambda w: math.floor(math.log2(c[w]) * 16)
+    ranked = [language_model.END, *(w for w in ranked if sum(level(x) >= level(w) for x in ranked) <= known)]
+    assert known > 1000 or 10 < len(ranked) <= known + 1
     leaf = lambda w: ranked.index(w) if w in ranked[:own] else own + zlib.crc32(w) % 32
     mass = Counter()
     for w in c:
@@ -298,14 +301,14 @@ def test_noise_contrastive_steps_learn_what_the_second_word_before_says():
         walk.append(int((walk[-2] * 7 + 3) % n if g.random() < 0.8 else g.integers(n)))
     leaves = np.array(walk)
     m = language_model.Model(np.bincount(leaves, minlength=language_model.SINGLE + language_model.CLASSES * language_model.MEMBERS))
-    context, target = language_model.contexts_of([leaves])
-    plain = m.log_probabilities(context[-2000:], target[-2000:]).mean()
+    padded, at = language_model.padded_texts([leaves])
+    plain = m.log_probabilities(padded, at)[-2000:].mean()
     learner = language_model.Learner(m, 0)
     for _ in range(4):
-        for at in range(0, 56_000, 1000):
-            learner.step(context[at : at + 1000], target[at : at + 1000])
+        for k in range(0, 56_000, 1000):
+            learner.step(*language_model.padded_texts([leaves[k : k + 500], leaves[k + 500 : k + 1000]]))
     language_model.apply_changes(m, learner.changes())
-    assert m.log_probabilities(context[-2000:], target[-2000:]).mean() > plain + 0.8
+    assert m.log_probabilities(padded, at)[-2000:].mean() > plain + 0.8
 
 
 @pytest.mark.parametrize("min_docs", [2, 40])
