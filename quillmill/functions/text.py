@@ -7,6 +7,8 @@ and a line that begins with punctuation is pulled up to the line before it. Null
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +27,11 @@ OBVIOUS = (COLLAPSE, TIGHTEN, SPACE_AFTER, *PHRASES, *CONTRACTIONS, *DIGIT_WORDS
 LANGUAGES = {"eng": "en", "rus": "ru", "jpn": "ja", "kor": "ko", "chi_sim": "ch_sim", "chi_tra": "ch_tra", "fra": "fr", "deu": "de", "spa": "es"}
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, also where ``use`` names it within a lambda over other values."""
+    return F.transform(F.array(value), use)[0]
+
+
 def rewrite(c: Column, *rules: tuple[str, str, str]) -> Column:
     for _, pattern, replacement in rules:
         c = F.regexp_replace(c, pattern, replacement)

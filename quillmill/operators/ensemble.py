@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..functions.text import is_blank, strip
+from ..functions.text import bind, is_blank, strip
 
 
 def line_score(v: Column) -> Column:
@@ -37,10 +37,11 @@ def merge_arrays(variants: Column) -> Column:
     """Merges array<string> variants; a single one is returned unchanged."""
     given = F.filter(variants, lambda x: x.isNotNull() & (x != ""))
     lines = F.transform(F.filter(given, lambda x: ~is_blank(x)), lambda x: F.split(x, "\n", -1))
-    longest = F.array_max(F.transform(lines, F.size))
-    at = lambda i: F.filter(F.transform(lines, lambda ls: F.get(ls, i)), lambda x: x.isNotNull())
-    merged = F.filter(F.transform(F.sequence(F.lit(0), longest - 1), lambda i: pick_line(at(i))), lambda x: ~is_blank(x))
-    return F.when(F.size(given) == 0, "").when(F.size(given) == 1, given[0]).when(F.size(lines) == 0, "").otherwise(F.array_join(merged, "\n"))
+    at = lambda ls, i: F.filter(F.transform(ls, lambda x: F.get(x, i)), lambda x: x.isNotNull())
+    every = lambda ls: F.sequence(F.lit(0), F.array_max(F.transform(ls, F.size)) - 1)
+    # The variants are split into lines once, not once for each line.
+    merged = bind(lines, lambda ls: F.when(F.size(ls) == 0, "").otherwise(F.array_join(F.filter(F.transform(every(ls), lambda i: bind(at(ls, i), pick_line)), lambda x: ~is_blank(x)), "\n")))
+    return F.when(F.size(given) == 0, "").when(F.size(given) == 1, given[0]).otherwise(merged)
 
 
 def explode_lines(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:

@@ -15,7 +15,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, IntegerType, StructField, StructType
+
+from ..functions.text import bind
 
 NAN = float("nan")
 FEATURES = ("brightness", "contrast", "sharpness", "has_color", "size_ratio")
@@ -53,9 +55,13 @@ def deviation(values: Column) -> Column:
 def mean_step(values: Column, width: Column, height: Column, signed: bool = False) -> Column:
     """Mean neighbour difference down plus mean neighbour difference across."""
     step = (lambda a, b: F.abs(b - a)) if signed else (lambda a, b: F.pmod(b - a, F.lit(256)))
-    down = total(F.transform(values, lambda x, i: F.coalesce(step(x, F.get(values, (i + width).cast("int"))), F.lit(0))))
-    across = total(F.transform(values, lambda x, i: F.when((i + 1) % width == 0, 0).otherwise(F.coalesce(step(x, F.get(values, i + 1)), F.lit(0)))))
-    return F.when((width < 2) | (height < 2), NAN).otherwise(down / ((height - 1) * width) + across / (height * (width - 1)))
+
+    def of(v: Column) -> Column:
+        down = total(F.transform(v, lambda x, i: F.coalesce(step(x, F.get(v, (i + width).cast("int"))), F.lit(0))))
+        across = total(F.transform(v, lambda x, i: F.when((i + 1) % width == 0, 0).otherwise(F.coalesce(step(x, F.get(v, i + 1)), F.lit(0)))))
+        return down / ((height - 1) * width) + across / (height * (width - 1))
+
+    return F.when((width < 2) | (height < 2), NAN).otherwise(bind(values, of))
 
 
 def size_ratio(width: Column, height: Column) -> Column:
@@ -105,18 +111,66 @@ def enhance_plan(brightness: Column, contrast: Column, width: Column, height: Co
     return F.filter(steps, lambda s: s.isNotNull())
 
 
+def lanczos_weights(n: int, m: int) -> np.ndarray:
+    """(m, n): how m places are made of n, by a Lanczos window of three lobes, normalised at the edges."""
+    scale = max(1.0, n / m)
+    centre = (np.arange(m) + 0.5) * n / m
+    x = (np.arange(n)[None] + 0.5 - centre[:, None]) / scale
+    w = np.where(np.abs(x) < 3, np.sinc(x) * np.sinc(x / 3), 0.0)
+    return w / w.sum(axis=1, keepdims=True)
+
+
+def resized(pixels: np.ndarray, width: int, height: int) -> np.ndarray:
+    """An HxWxC image scaled across, then down, rounded to whole values after each."""
+    whole = lambda x: np.clip(np.floor(x + 0.5), 0, 255)
+    across = whole(np.einsum("mw,hwc->hmc", lanczos_weights(pixels.shape[1], width), pixels.astype(np.float64)))
+    return whole(np.einsum("mh,hwc->mwc", lanczos_weights(pixels.shape[0], height), across)).astype(np.uint8)
+
+
+def scale_of(width: int, height: int) -> float:
+    """The factor by which small images are scaled up; 1 for others."""
+    return max(2.0, 100 / height, 300 / width) if height < 100 or width < 300 else 1.0
+
+
+def profile(pixels: np.ndarray) -> tuple[float, float, float, int, float]:
+    """The features of an HxWxC uint8 image (one, three or four channels) in one pass of numpy."""
+    rgb = np.repeat(pixels, 3, axis=2) if pixels.shape[2] == 1 else pixels[:, :, :3]
+    h, w = rgb.shape[:2]
+    values = rgb.astype(np.int64)
+    means = values.mean(axis=(0, 1))
+    gray = ((values @ np.array([299, 587, 114]) + 500) // 1000).astype(np.uint8)
+    steps = [np.diff(gray, axis=k).mean() if gray.shape[k] > 1 and min(h, w) > 1 else NAN for k in (0, 1)]
+    sharp = sum(steps) / 30
+    return float(means.mean() / 255), float(min(values.std(axis=(0, 1)).mean() / 60, 1)), float(sharp if sharp != sharp else min(sharp, 1)), int(means.std() > 10), min(w / h, 5) / 5
+
+
+@F.pandas_udf(StructType([StructField(n, IntegerType() if n == "has_color" else DoubleType()) for n in FEATURES]))
+def _profiled(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+    for data, width, height, channels, enlarged in batches:
+        out = []
+        for d, w, h, c, large in zip(data, width, height, channels, enlarged, strict=True):
+            if d is None or w < 1 or h < 1 or c not in (1, 3, 4):
+                out.append((None,) * len(FEATURES))
+                continue
+            image = np.frombuffer(d, np.uint8).reshape(h, w, c)
+            factor = scale_of(w, h)
+            out.append(profile(resized(image, int(w * factor), int(h * factor)) if large and factor > 1 else image))
+        yield pd.DataFrame(out, columns=list(FEATURES))
+
+
+def profiled(data: Column | str, width: Column | str, height: Column | str, channels: Column | str, enlarged: Column) -> Column:
+    """The feature struct of binary pixels in RGB order; if ``enlarged``, of the image scaled up as a plan would."""
+    found = _profiled(data, width, height, channels, enlarged)
+    # Missing values take NaN's place on the way from Python.
+    return found.withField("sharpness", F.when(found["brightness"].isNotNull(), F.coalesce(found["sharpness"], F.lit(NAN))))
+
+
 def apply_plan(pixels: np.ndarray, plan: list[tuple[str, float]]) -> np.ndarray:
-    """A plan applied to an HxWxC uint8 image, with our own kernels: bilinear scaling, a 3x3 blur for sharpening."""
+    """A plan applied to an HxWxC uint8 image: Lanczos scaling, a 3x3 blur for sharpening."""
     x = pixels.astype(np.float64)
     for op, factor in plan:
         if op == "upscale":
-            h, w = int(x.shape[0] * factor), int(x.shape[1] * factor)
-            ys, xs = ((np.arange(n) + 0.5) * m / n - 0.5 for n, m in ((h, x.shape[0]), (w, x.shape[1])))
-            ys, xs = np.clip(ys, 0, x.shape[0] - 1), np.clip(xs, 0, x.shape[1] - 1)
-            y0, x0 = np.floor(ys).astype(int), np.floor(xs).astype(int)
-            y1, x1 = np.minimum(y0 + 1, x.shape[0] - 1), np.minimum(x0 + 1, x.shape[1] - 1)
-            fy, fx = (ys - y0)[:, None, None], (xs - x0)[None, :, None]
-            x = (x[y0][:, x0] * (1 - fx) + x[y0][:, x1] * fx) * (1 - fy) + (x[y1][:, x0] * (1 - fx) + x[y1][:, x1] * fx) * fy
+            x = resized(x, int(x.shape[1] * factor), int(x.shape[0] * factor)).astype(np.float64)
         elif op == "invert":
             x = 255 - x
         elif op == "brightness":
@@ -133,6 +187,28 @@ def apply_plan(pixels: np.ndarray, plan: list[tuple[str, float]]) -> np.ndarray:
     return x.astype(np.uint8)
 
 
+def page_mode_of(width: int, height: int) -> int:
+    """``page_mode`` of one image."""
+    if width / height > 4 and height < 100:
+        return 7
+    return 11 if width < 300 or height < 100 else 6
+
+
+def plan_of(pixels: np.ndarray) -> list[tuple[str, float]]:
+    """``enhance_plan`` of one image, by the features it has once it is scaled up."""
+    h, w = pixels.shape[:2]
+    factor = scale_of(w, h)
+    bright, contrast = profile(resized(pixels, int(w * factor), int(h * factor)) if factor > 1 else pixels)[:2]
+    bright *= 255
+    steps = [("upscale", factor, factor > 1), ("invert", 1.0, bright < 100), ("contrast", 1.8, contrast * 128 < 40), ("sharpness", 1.5, True), ("brightness", 1.4, bright < 80), ("brightness", 0.8, bright > 200)]
+    return [(op, x) for op, x, needed in steps if needed]
+
+
+def enhance(pixels: np.ndarray) -> np.ndarray:
+    """An image made ready for recognition."""
+    return apply_plan(pixels, plan_of(pixels))
+
+
 @F.pandas_udf(StructType([StructField("width", IntegerType()), StructField("height", IntegerType()), StructField("data", BinaryType())]))
 def enhanced(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
     """Enhanced pixels from (data, width, height, channels, plan); pixel kernels need numpy."""

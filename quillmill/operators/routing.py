@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.errors import AnalysisException
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,6 +75,18 @@ def load(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+def load_or_train(spark: SparkSession, path: str, seed: int = 42) -> PipelineModel:
+    """The model under ``path``; if none is there, one is trained and saved first, so later calls only load."""
+    from py4j.protocol import Py4JJavaError
+
+    try:
+        return load(path)
+    except (Py4JJavaError, AnalysisException):
+        model = train(spark, seed)
+        save(model, path)
+        return model
+
+
 def record(results: DataFrame, path: str) -> None:
     """Appends (features, strategy, success) rows to a feedback table."""
     results.select(*FEATURES, "strategy", "success").write.mode("append").parquet(path)

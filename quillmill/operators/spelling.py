@@ -1,6 +1,6 @@
 """Dictionary spelling as an equi-join on delete neighbourhoods.
 
-Distinct word cores are looked up once and joined back. A core and a term within one edit
+Distinct word cores are looked up once and joined back; those in the dictionary need no more. A core and a term within one edit
 (insertion, deletion, substitution, swap of neighbours) share a key among themselves and their
 single-character deletions, within two edits among those with up to two deletions; candidates are
 verified exactly. One edit needs built-in functions only; for two, the restricted edit distance
@@ -78,8 +78,12 @@ def _edits(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series
 
 def suggest(cores: DataFrame, words: DataFrame, max_distance: int = 1) -> DataFrame:
     """(core, term, distance, count): the best term for each distinct lower-cased ``core`` that has one."""
+    distinct = cores.select("core").distinct()
+    # A term of the dictionary is its own best suggestion; only other cores look at their neighbours.
+    exact = distinct.join(words, F.col("core") == F.col("term")).select("core", "term", F.lit(0).alias("distance"), "count")
+    unknown = distinct.join(words.select("term"), F.col("core") == F.col("term"), "left_anti")
     spread = keys if max_distance == 1 else lambda c: F.array_distinct(F.flatten(F.transform(keys(c), keys)))
-    left = cores.select("core").distinct().select("core", F.explode(spread(F.col("core"))).alias("key"))
+    left = unknown.select("core", F.explode(spread(F.col("core"))).alias("key"))
     right = words.select("term", "count", F.explode(spread(F.col("term"))).alias("key"))
     pairs = left.join(right, "key")
     if max_distance == 1:
@@ -87,7 +91,7 @@ def suggest(cores: DataFrame, words: DataFrame, max_distance: int = 1) -> DataFr
     else:
         found = pairs.select("core", "term", "count").distinct().withColumn("distance", _edits("core", "term")).where(F.col("distance") <= max_distance)
     best = found.groupBy("core").agg(F.min(F.struct("distance", (-F.col("count")).alias("less"), "term")).alias("b"))
-    return best.select("core", F.col("b.term").alias("term"), F.col("b.distance").alias("distance"), (-F.col("b.less")).alias("count"))
+    return exact.unionByName(best.select("core", F.col("b.term").alias("term"), F.col("b.distance").alias("distance"), (-F.col("b.less")).alias("count")))
 
 
 def restore_case(original: Column, term: Column) -> Column:
@@ -106,7 +110,9 @@ def correct_spelling(docs: DataFrame, words: DataFrame, id_col: str = "doc_id",
     parts = placed.withColumn("a", affixes(F.col("word"))).withColumn("core", F.when(eligible(F.col("word")) & (F.col("a.core") != ""), F.lower("a.core")))
     best = suggest(parts.where("core is not null"), words, 2 if aggressive else 1).where("distance > 0 and count > 10")
     fixed = F.when(F.col("term").isNull(), F.col("word")).otherwise(F.concat("a.prefix", restore_case(F.col("a.core"), F.col("term")), "a.suffix"))
-    out = parts.join(best, "core", "left").select(id_col, "line_no", "at", fixed.alias("word"))
+    # Words without a core match nothing; a salt keeps them from meeting in one task.
+    salt = F.when(F.col("core").isNull(), F.pmod(F.xxhash64(id_col, "line_no", "at"), F.lit(1 << 16))).otherwise(0)
+    out = parts.withColumn("salt", salt).join(best.withColumn("salt", F.lit(0).cast("long")), ["core", "salt"], "left").select(id_col, "line_no", "at", fixed.alias("word"))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ")
     return out.groupBy(id_col, "line_no").agg(joined.alias(text))
 

@@ -218,12 +218,14 @@ def detection_filter(spark, sf_dir):
 
 
 _TILES = """
-px as (select vec_id as img_id, list_transform(embedding, lambda x: floor((x::double + 1) * 127.5)::int) as p from embeddings),
-st as (select img_id, p, list_sum(p)::double as s, list_sum(list_transform(p, lambda x: x * x))::double as q,
-  list_sum(list_transform(range(1, 57), lambda i: ((p[i + 8] - p[i]) % 256 + 256) % 256))::double as down,
-  list_sum(list_transform(list_filter(range(1, 64), lambda i: i % 8 <> 0), lambda i: ((p[i + 1] - p[i]) % 256 + 256) % 256))::double as across from px),
-ft as (select img_id, s / 64 / 255 as brightness, least(sqrt(greatest((q - s * s / 64) / 64, 0)) / 60, 1::double) as contrast,
-  least((down / 56 + across / 56) / 30, 1::double) as sharpness, 0 as has_color, 0.2::double as size_ratio from st)
+px as (select vec_id as img_id, list_transform(embedding, lambda x: floor((x::double + 1) * 127.5)::int) as p, vec_id % 2 = 1 as tinted from embeddings),
+gr as (select img_id, p, case when tinted then list_transform(p, lambda x: 255 - x) else p end as z,
+  list_transform(p, lambda x: (x * 886 + (case when tinted then 255 - x else x end) * 114 + 500) // 1000) as g from px),
+st as (select img_id, list_sum(p)::double as s, list_sum(list_transform(p, lambda x: x * x))::double as q, list_sum(z)::double as sz,
+  list_sum(list_transform(range(1, 57), lambda i: ((g[i + 8] - g[i]) % 256 + 256) % 256))::double as down,
+  list_sum(list_transform(list_filter(range(1, 64), lambda i: i % 8 <> 0), lambda i: ((g[i + 1] - g[i]) % 256 + 256) % 256))::double as across from gr),
+ft as (select img_id, (2 * s + sz) / 3 / 64 / 255 as brightness, least(sqrt(greatest((q - s * s / 64) / 64, 0)) / 60, 1::double) as contrast,
+  least((down / 56 + across / 56) / 30, 1::double) as sharpness, (case when abs(s - sz) / 64 * sqrt(2) / 3 > 10 then 1 else 0 end)::int as has_color, 0.2::double as size_ratio from st)
 """
 _ROUND = "round({0}, 9) as {0}"
 
@@ -253,11 +255,10 @@ def image_features(spark, sf_dir):
     return _rounded(_features(spark, sf_dir))
 
 
-@query("with t as (select vec_id as img_id, list_transform(embedding, lambda x: floor((x::double + 1) * 127.5)::int) as p from embeddings) select img_id, list_sum(list_transform(p, lambda x: (x * 299 + x * 587 + (255 - x) * 114 + 500) // 1000))::bigint as gray_sum from t")
+@query(f"with {_TILES} select img_id, list_sum(g)::bigint as gray_sum from gr")
 def image_gray(spark, sf_dir):
     tiles = images.tiles(table(spark, sf_dir, "embeddings"))
-    blue = F.transform("b", lambda x: 255 - x)
-    return tiles.select("img_id", imaging.total(imaging.gray(F.col("r"), F.col("g"), blue)).alias("gray_sum"))
+    return tiles.select("img_id", imaging.total(imaging.gray(F.col("r"), F.col("g"), F.col("b"))).alias("gray_sum"))
 
 
 _SIZES = "(select doc_id, (n_chars % 1500 + 1)::int as w, (n_chars % 400 + 1)::int as h from documents)"
@@ -285,23 +286,37 @@ def upscale_plan(spark, sf_dir):
     return _sizes(spark, sf_dir).select("doc_id", imaging.upscale(F.col("w"), F.col("h")).alias("u")).select("doc_id", "u.*")
 
 
-@query(f"""with {_TILES} select img_id, concat_ws(',', 'upscale:37.5', case when brightness * 255 < 100 then 'invert:1.0' end, case when contrast * 128 < 40 then 'contrast:1.8' end,
-  'sharpness:1.5', case when brightness * 255 < 80 then 'brightness:1.4' end, case when brightness * 255 > 200 then 'brightness:0.8' end) as plan from ft""")
+def _pixels(spark, sf_dir) -> DataFrame:
+    """(img_id, width, height, n_channels, data): the tiles as bytes."""
+    tiles = images.tiles(table(spark, sf_dir, "embeddings"))
+    return tiles.select("img_id", "width", "height", F.lit(3).alias("n_channels"), images.to_bytes(F.col("r"), F.col("g"), F.col("b")).alias("data"))
+
+
+def _planned(spark, sf_dir) -> DataFrame:
+    shown = _pixels(spark, sf_dir).withColumn("f", imaging.profiled("data", "width", "height", "n_channels", F.lit(True)))
+    return shown.withColumn("plan", imaging.enhance_plan(F.col("f.brightness"), F.col("f.contrast"), F.col("width"), F.col("height")))
+
+
+@query()
 def enhance_plan(spark, sf_dir):
-    plan = imaging.enhance_plan(F.col("brightness"), F.col("contrast"), F.lit(8), F.lit(8))
-    return _features(spark, sf_dir).select("img_id", F.array_join(F.transform(plan, lambda s: F.concat(s["op"], F.lit(":"), s["factor"].cast("string"))), ",").alias("plan"))
+    """By the features of the image once it is scaled up, which SQL can't do; tests compare with plain numpy."""
+    return _planned(spark, sf_dir).select("img_id", F.array_join(F.transform("plan", lambda s: F.concat(s["op"], F.lit(":"), s["factor"].cast("string"))), ",").alias("plan"))
 
 
 @query()
 def enhanced_pixels(spark, sf_dir):
-    """Pixel kernels are our own (numpy); tests check them by hand-made images."""
-    tiles = images.tiles(table(spark, sf_dir, "embeddings")).join(_features(spark, sf_dir), "img_id")
-    data = F.unhex(F.array_join(F.transform("r", lambda x: F.lpad(F.hex(x), 2, "0")), ""))
-    plan = imaging.enhance_plan(F.col("brightness"), F.col("contrast"), F.col("width"), F.col("height"))
-    out = tiles.select("img_id", imaging.enhanced(data, F.col("width"), F.col("height"), F.lit(1), plan).alias("e"))
+    """Pixel kernels need numpy; tests check them by hand-made images and compare all tiles."""
+    out = _planned(spark, sf_dir).select("img_id", imaging.enhanced("data", "width", "height", "n_channels", "plan").alias("e"))
     return out.select("img_id", "e.width", "e.height", F.sha2("e.data", 256).alias("pixels_sha256"))
 
 
+@query(f"with {_TILES} select img_id, {', '.join(_ROUND.format(c) for c in ('brightness', 'contrast', 'sharpness', 'size_ratio'))}, has_color from ft")
+def image_profiles(spark, sf_dir):
+    """The features from bytes in one Arrow pass, as for image files."""
+    shown = _pixels(spark, sf_dir).select("img_id", imaging.profiled("data", "width", "height", "n_channels", F.lit(False)).alias("f"))
+    return _rounded(shown.select("img_id", "f.*"))
+
+
 @query(f"with {_TILES} select img_id, round(contrast * 0.6 + sharpness * 0.4, 9) as quality from ft")
 def quality_score(spark, sf_dir):
     return _rounded(_features(spark, sf_dir).select("img_id", routing.quality(F.col("contrast"), F.col("sharpness")).alias("quality")))
@@ -367,11 +382,12 @@ def model_strategy(spark, sf_dir):
 _AFFIX = r"^([^\p{L}\p{N}]*)(.*?)([^\p{L}\p{N}]*)$"
 _TOKENS = "tk as (select doc_id, generate_subscripts(l, 1) - 1 as place, unnest(l) as w from (select doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') as l from src))"
 _PART = lambda k: f"regexp_extract(w, '{_AFFIX}', {k}, 's')"
-_DICT = f"di as (select term, count(*) as n from (select lower({_PART(2)}) as term from (select unnest(string_split_regex(text, '\\s+')) as w from documents where lang = 'en')) where regexp_full_match(term, '\\p{{L}}+') group by term having count(*) > 10)"
+_DICT = f"di as (select term, count(*) as n from (select lower({_PART(2)}) as term from (select unnest(string_split_regex(text, '\\s+')) as w from documents where lang = 'en')) where regexp_full_match(term, '\\p{{L}}+') group by term)"
 
 
 def _dictionary(spark, sf_dir) -> DataFrame:
-    return spelling.dictionary(table(spark, sf_dir, "documents").where("lang = 'en'")).where("count > 10")
+    """All terms, rare ones too: whether a suggestion is frequent enough is asked only after the choice."""
+    return spelling.dictionary(table(spark, sf_dir, "documents").where("lang = 'en'"))
 
 
 @query(f"with {_DICT} select term, n as count from di")
@@ -468,10 +484,6 @@ def recognise_pipeline(spark, sf_dir):
     return _rounded(recognise.recognised(table(spark, sf_dir, "documents")))
 
 
-def entry(spark: SparkSession) -> DataFrame:
-    return recognise_pipeline(spark, "/root/testdata/sf0.001")
-
-
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -5,8 +5,12 @@ from __future__ import annotations
 from dataclasses import asdict, dataclass, fields, replace
 from pathlib import Path
 
-#: Keys of earlier versions that are read and ignored are those a caller names here.
-IGNORED: tuple[str, ...] = ()
+# Keys of earlier versions, which are read and ignored.
+IGNORED = (
+    "preprocessing_enabled", "preprocessing_mode",
+    "save_history", "history_db_path", "max_history_items",
+    "show_confidence_overlay", "context_aware_detection", "num_threads",
+)
 
 
 @dataclass(frozen=True)
@@ -31,6 +35,8 @@ class Config:
         if not path.exists():
             cls().save(path)
         given = {k: v for k, v in _parse(path.read_text(encoding="utf-8")).items() if k not in ignored}
+        if given.get("ocr_model_path"):
+            given["ocr_model_path"] = str(Path(given["ocr_model_path"]).expanduser())
         return replace(cls(**given), **{k: v for k, v in overrides.items() if v is not None})
 
     def save(self, path: str | Path) -> None:
@@ -44,13 +50,23 @@ def _shown(value) -> str:
 
 
 def _parse(text: str) -> dict:
-    """Flat ``key: value`` lines, which is all these settings need of YAML."""
+    """YAML where its parser is installed; else flat ``key: value`` lines, comments and quotes, which is all these settings need."""
+    try:
+        import yaml
+    except ImportError:
+        return _parse_flat(text)
+    return yaml.safe_load(text) or {}
+
+
+def _parse_flat(text: str) -> dict:
     out = {}
     for line in text.splitlines():
         key, colon, value = line.partition(":")
         value = value.strip()
         if not colon or line.lstrip().startswith("#"):
             continue
+        if value[:1] not in "'\"" or not value:
+            value = value.partition(" #")[0].strip()
         if value[:1] in "'\"" and value[-1:] == value[:1] and len(value) > 1:
             out[key.strip()] = value[1:-1]
         elif value.lower() in ("null", "~", ""):

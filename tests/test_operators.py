@@ -88,6 +88,90 @@ def test_model_agrees_on_clear_cases(spark, tmp_path):
     assert set(routing.importances(model)) == set(imaging.FEATURES)
 
 
+def test_rare_terms_stay(spark):
+    """A term of the dictionary is left alone, however rare; a suggestion must be frequent."""
+    d = spark.createDataFrame([("form", 500), ("fork", 5), ("lamp", 9)], "term string, count long")
+    docs = spark.createDataFrame([(1, "a fork forn lamq")], "doc_id int, text string")
+    assert spelling.correct_spelling(docs, d).first().text == "a fork form lamq"
+
+
+def test_merge_of_many_lines_is_linear(spark):
+    """Twice the lines take about twice the time, not four times."""
+    import time
+
+    def seconds(n):
+        df = spark.createDataFrame([(["\n".join(f"line {i} of {k}" for i in range(n)) for k in range(3)],)], "v array<string>")
+        began = time.time()
+        assert df.select(ensemble.merge_arrays(F.col("v"))).first()[0].count("\n") == n - 1
+        return time.time() - began
+
+    seconds(100)
+    assert min(seconds(6000) for _ in range(2)) < 5
+
+
+def test_profiles_of_pixels_and_of_channels_agree(spark):
+    g = np.random.default_rng(1)
+    rows = [(k, w, h, c, g.integers(0, 256, (h, w, c)).astype(np.uint8).tobytes()) for k, (w, h, c) in enumerate([(300, 100, 3), (5, 7, 1), (2, 2, 4), (1, 6, 3)])]
+    df = spark.createDataFrame(rows, "id int, width int, height int, n_channels int, data binary")
+    whole = {r.id: r.f for r in df.select("id", imaging.profiled("data", "width", "height", "n_channels", F.lit(False)).alias("f")).collect()}
+    px, n = images.bytes_of(F.col("data")), F.col("n_channels")
+    pick = lambda k: F.when(n == 1, px).otherwise(F.filter(px, lambda _, i: i % n == k))
+    split = df.select("id", "width", "height", pick(0).alias("r"), pick(1).alias("g"), pick(2).alias("b"))
+    for r in split.select("id", imaging.features(F.col("r"), F.col("g"), F.col("b"), F.col("width"), F.col("height")).alias("f")).collect():
+        assert np.allclose([*r.f], [*whole[r.id]], equal_nan=True), r.id
+
+
+def test_plans_follow_the_enlarged_image(spark):
+    """Dark dots on white are lost in the small image's contrast but not in the plan's measure of the enlarged one."""
+    g = np.random.default_rng(4)
+    for _ in range(5):
+        small = g.integers(0, 256, (8, 8, 3)).astype(np.uint8)
+        large = imaging.resized(small, 300, 300)
+        assert large.shape == (300, 300, 3) and abs(large.mean() - small.mean()) < 8
+        bright, contrast = imaging.profile(large)[:2]
+        plan = dict(imaging.plan_of(small))
+        assert plan["upscale"] == 37.5 and ("contrast" in plan) == (contrast * 128 < 40) and ("invert" in plan) == (bright * 255 < 100)
+        df = spark.createDataFrame([(small.tobytes(),)], "data binary").select(imaging.profiled("data", F.lit(8), F.lit(8), F.lit(3), F.lit(True)).alias("f"))
+        shown = df.select(imaging.enhance_plan(F.col("f.brightness"), F.col("f.contrast"), F.lit(8), F.lit(8)).alias("p")).first().p
+        assert [tuple(s) for s in shown] == imaging.plan_of(small)
+    same = np.full((5, 4, 1), 77, np.uint8)
+    assert (imaging.resized(same, 9, 13) == 77).all() and np.allclose(imaging.lanczos_weights(10, 10), np.eye(10))
+
+
+def test_images_from_files_to_text(spark, tmp_path):
+    """Files are read, profiled, planned, enhanced and recognised."""
+    png(tmp_path / "a.png", [[(200, 30, 10)] * 30] * 20)
+    (tmp_path / "b.png").write_bytes(b"no image")
+    read = images.read_images(spark, str(tmp_path)).withColumn("data", images.in_rgb(F.col("data"), F.col("n_channels")))
+    shown = read.withColumn("f", imaging.profiled("data", "width", "height", "n_channels", F.lit(True)))
+    planned = shown.withColumn("plan", imaging.enhance_plan(F.col("f.brightness"), F.col("f.contrast"), F.col("width"), F.col("height")))
+    rows = {r.width: r for r in planned.withColumn("e", imaging.enhanced("data", "width", "height", "n_channels", "plan")).where("width > 0").collect()}
+    r = rows[30]
+    assert (r.f.has_color, round(r.f.brightness, 6)) == (1, round(80 / 255, 6)) and (r.e.width, r.e.height) == (300, 200)
+    assert read.where("width < 1").count() == 1
+    own = np.frombuffer(bytes(r.data), np.uint8).reshape(20, 30, 3)
+    assert tuple(own[0, 0]) == (200, 30, 10) and bytes(r.e.data) == imaging.enhance(own).tobytes()
+    missing = [recognition.Tesseract(), recognition.EasyOcr()]
+    assert [b.name for b in missing if not b.is_available()] == ["tesseract", "easyocr"]
+    files = images.stream_images(spark, str(tmp_path))
+    assert files.isStreaming and files.columns == ["origin", "data"]
+
+
+def test_model_is_trained_once(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "m")
+    first = routing.load_or_train(spark, path)
+    monkeypatch.setattr(routing, "train", None)
+    assert routing.importances(routing.load_or_train(spark, path)) == routing.importances(first)
+
+
+def test_training_rows(spark, tmp_path):
+    rows = routing.training_rows(spark).collect()
+    assert [r.label for r in rows] == [0.0] * 60 + [1.0] * 40 and rows == routing.training_rows(spark).collect()
+    assert all(0.4 <= r.contrast <= 0.9 and 0.5 <= r.sharpness <= 1 for r in rows[:60]) and all(r.contrast <= 0.5 or r.sharpness <= 0.7 for r in rows[60:])
+    routing.record(spark.createDataFrame([(0.5, 0.5, 0.5, 1, 0.5, "fast", True)], "brightness double, contrast double, sharpness double, has_color int, size_ratio double, strategy string, success boolean"), str(tmp_path / "r"))
+    assert spark.read.parquet(str(tmp_path / "r")).first().strategy == "fast"
+
+
 def test_spelling(spark, tmp_path):
     (tmp_path / "d.txt").write_text("from 900\nthe 5000\nfrown 40\nhello 99\nrare 3\n")
     d = words.read_dictionary(spark, str(tmp_path / "d.txt"))
@@ -147,4 +231,8 @@ def test_config(tmp_path):
     assert config.Config.load(tmp_path / "c.yaml") == config.Config()
     (tmp_path / "d.yaml").write_text("use_gpu: false\nold_key: 1\nocr_confidence_threshold: 0.5\n")
     assert config.Config.load(tmp_path / "d.yaml", ignored=("old_key",)).use_gpu is False
+    (tmp_path / "e.yaml").write_text("save_history: true\nnum_threads: 4\nocr_model_path: ~/m  # here\nhotkey: '<alt>+x'\n")
+    old = config.Config.load(tmp_path / "e.yaml")
+    assert old.hotkey == "<alt>+x" and old.ocr_model_path.endswith("/m") and "~" not in old.ocr_model_path
+    assert config._parse_flat((tmp_path / "e.yaml").read_text()) == {"save_history": True, "num_threads": 4, "ocr_model_path": "~/m", "hotkey": "<alt>+x"}
     assert config.first_available(("a", False), ("b", True)) == "b" and config.display_server("auto", "") == "x11"
