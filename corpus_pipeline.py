@@ -53,7 +53,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("packing", packing)]
 
-#: SQL can't express a trained network, MinHash or a tokenizer; tests check the stages by brute force.
+#: SQL can't express a trained network, MinHash or a tokenizer; tests hold each stage against plain Python.
 ORACLE_SQL = None
 
 
