@@ -63,12 +63,19 @@ PIECES = 64
 END = b"\n"
 
 
+def named(word: bytes) -> bytes:
+    """A word's token: itself, or a digest behind a tab if it is long."""
+    if len(word) <= LONGEST:
+        return word
+    import xxhash
+
+    return b"\t" + xxhash.xxh3_128_hexdigest(word).encode()
+
+
 def tokens_of(text: str | None) -> list[bytes]:
     out = words_of(text)
     if out and max(map(len, out)) > LONGEST:
-        import xxhash
-
-        out = [w if len(w) <= LONGEST else b"\t" + xxhash.xxh3_128_hexdigest(w).encode() for w in out]
+        out = [named(w) for w in out]
     out.append(END)
     return out
 
@@ -80,12 +87,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table: Counter = Counter()
 
     def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(list(table), pa.binary()), pa.array(list(table.values()), pa.int64())], schema=_COUNT)
+        out = pa.RecordBatch.from_arrays([pa.array([named(w) for w in table], pa.binary()), pa.array(list(table.values()), pa.int64())], schema=_COUNT)
         table.clear()
         return out
 
     for (text,) in rows(batches, "text"):
-        table.update(tokens_of(text))
+        # Long words are named once, when the table goes.
+        table.update(words_of(text))
+        table[END] += 1
         if len(table) > 300_000:
             yield flush()
     if table:
