@@ -12,7 +12,8 @@ each plane is compressed with zstandard. Beside the chunks lies the chunk index:
 first position of the whole corpus, number of ids, first and last document.
 
 Nulls and corner cases: a null text is empty (its only id is the end id); a null doc_id sorts
-first; rows that repeat a doc_id are documents of their own, ordered by text hash; an empty table
+first; rows that repeat a doc_id are documents of their own, ordered by text hash (equal rows in any
+order, so that no run of them must lie in one range); an empty table
 gives an empty dataset. Other columns are ignored. One document's ids are in memory at a time,
 plus a chunk.
 """
@@ -35,6 +36,8 @@ from pyspark.sql import functions as F
 from .common import Batcher, load, rows, shared_path
 
 BLOCK_IDS, CHUNK_IDS, CACHED_PIECES, CACHED_WORDS = 16_384, 262_144, 150_000, 250_000
+#: Text bytes of a range of documents, unless that makes more than ``MOST_PARTS`` ranges.
+PART_BYTES, MOST_PARTS = 16 << 20, 50_000
 #: White space other than the space and \n, and characters on which Python and the tokenizers may not agree.
 _RARE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 #: Punctuation that parts from a word before it; the apostrophe doesn't always.
@@ -222,7 +225,12 @@ def _chunks(path: str, end_id: int, kind: str):
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int, kind: str = "byte") -> None:
     """Encode ``docs`` (doc_id, text) into chunks under ``path`` in ascending doc_id order, and index them."""
     spark = docs.sparkSession
-    dealt = docs.select("doc_id", "text").repartitionByRange(F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("text"))
+    octets = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = min(max(1, -(-octets // PART_BYTES)), MOST_PARTS)
+    # Many rows may share an id, a text or both: the hash and the random number cut such runs too.
+    order = [F.asc_nulls_first("doc_id"), F.col("_text"), F.col("_any")]
+    dealt = docs.select("doc_id", "text", F.xxhash64("text").alias("_text"), F.rand(5).alias("_any"))
+    dealt = dealt.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
     dealt.mapInArrow(_chunks(tokenizer, end_id, kind), _CHUNK_SQL).write.option("compression", "none").parquet(f"{path}/chunks")
     heads = spark.read.schema("shard int, chunk long, n_ids long").parquet(f"{path}/chunks")
     # One row a shard comes to the driver: as many as there are partitions, however many ids they hold.
