@@ -8,13 +8,15 @@ served (its deficit) goes on to the next window, and from pack to pack: a pack s
 holds, so the deficits with which the next one begins are prefix sums of (target share x tokens -
 tokens of the source) and need no sequential pass.
 
-The last window of a pack is the only one that needs padding.
+The last window of a pack is the only one that needs padding. Packs are dealt to at most
+``MOST_PARTS`` shuffle partitions; a task makes its packs one after another. Prefix sums are made
+for blocks of ``BLOCK`` packs and within each.
 
 Target proportions are the sources' shares of all tokens unless ``mixture`` gives weights.
 
 Nulls and corner cases: a null text is empty (one id, the end); a null source is a source of its
 own; repeated rows are documents of their own; an empty table gives no rows; other columns are
-ignored. A pack's ids are what a task holds.
+ignored. Row numbers come from how files are split, so another split gives another packing. A pack's ids are what a task holds.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ from .common import Batcher, load, rows, stored
 from .tokens import encoder
 
 WINDOW, QUANTUM, PACK_TOKENS = 4096, 256, 4_000_000
+#: Shuffle partitions that packs are dealt to, and packs whose prefix sums one task makes.
+MOST_PARTS, BLOCK = 20_000, 4096
 
 _CODED = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("row", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
 
@@ -122,6 +126,22 @@ def _pack(table: pa.Table, window: int, quantum: int) -> Iterator[pa.RecordBatch
         yield out.take()
 
 
+def before(df: DataFrame, value: str, name: str, *group: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over the packs before a row's (in its group) as column ``name``.
+
+    No task sees more than ``BLOCK`` packs of a group, or one sum for each block.
+    """
+    df = df.withColumn("_block", F.floor(F.col("pack") / BLOCK))
+    earlier = lambda w: F.coalesce(F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = df.groupBy("_block", *group).agg(F.sum(value).alias(value))
+    blocks = blocks.select(F.col("_block").alias("_of"), *(F.col(g).alias(f"_{g}") for g in group), earlier(Window.partitionBy(*group).orderBy("_block")).alias("_base"))
+    same = F.col("_block") == F.col("_of")
+    for g in group:
+        same &= F.col(g).eqNullSafe(F.col(f"_{g}"))
+    inner = earlier(Window.partitionBy("_block", *group).orderBy("pack"))
+    return df.withColumn(name, inner).join(blocks, same).withColumn(name, F.col(name) + F.col("_base")).drop("_block", "_of", "_base", *(f"_{g}" for g in group))
+
+
 def pack(docs: DataFrame, tokenizer: str, *, end_id: int, window: int = WINDOW, quantum: int = QUANTUM, pack_tokens: int = PACK_TOKENS, mixture: dict[str, float] | None = None) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source) of packed ``docs``."""
     spark = docs.sparkSession
@@ -131,18 +151,16 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int, window: int = WINDOW,
     coded = coded.withColumn("pack", F.pmod(F.xxhash64("row"), F.lit(packs)).cast("int"))
     held = stored(coded.groupBy("pack", "source").agg(F.sum("n").cast("double").alias("tokens")), "packing-held")
     # The tables below have a row for each pack and source; none has one for each document.
-    by_pack = held.groupBy("pack").agg(F.sum("tokens").alias("pack_tokens"))
-    before = Window.orderBy("pack").rowsBetween(Window.unboundedPreceding, -1)
-    by_pack = by_pack.select("pack", "pack_tokens", F.coalesce(F.sum(F.ceil(F.col("pack_tokens") / window)).over(before), F.lit(0)).cast("long").alias("first_sequence"), F.coalesce(F.sum("pack_tokens").over(before), F.lit(0.0)).alias("tokens_before"))
+    by_pack = held.groupBy("pack").agg(F.sum("tokens").alias("pack_tokens")).withColumn("sequences", F.ceil(F.col("pack_tokens") / window))
+    by_pack = before(before(by_pack, "sequences", "first_sequence"), "pack_tokens", "tokens_before").select("pack", "first_sequence", "tokens_before")
     by_source = held.groupBy("source").agg(F.sum("tokens").alias("source_tokens"))
     if mixture is not None:
         weights = spark.createDataFrame(list(mixture.items()), "name string, weight double")
         by_source = by_source.join(weights, F.col("source") == F.col("name"), "left").withColumn("source_tokens", F.coalesce("weight", F.lit(0.0))).select("source", "source_tokens")
     whole = by_source.agg(F.sum("source_tokens")).first()[0] or 1.0
     shares = by_source.select(F.col("source").alias("of"), (F.col("source_tokens") / whole).alias("share"))
-    own = Window.partitionBy("source").orderBy("pack").rowsBetween(Window.unboundedPreceding, -1)
     control = (
-        held.withColumn("served", F.coalesce(F.sum("tokens").over(own), F.lit(0.0)))
+        before(held, "tokens", "served", "source")
         .join(by_pack, "pack")
         .join(shares, F.col("source").eqNullSafe(F.col("of")))
         .select("pack", "source", F.lit(-1).cast("long").alias("row"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("long").alias("doc_id"), "share", (F.col("share") * F.col("tokens_before") - F.col("served")).alias("owed"), "first_sequence")
@@ -152,7 +170,9 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int, window: int = WINDOW,
     def one_pack(table: pa.Table) -> pa.Table:
         return pa.Table.from_batches(list(_pack(table, window, quantum)), _PIECE)
 
-    return body.unionByName(control).repartitionById(packs, "pack").groupBy("pack").applyInArrow(one_pack, _PIECE_SQL)
+    parts = min(packs, MOST_PARTS)
+    dealt = body.unionByName(control).withColumn("part", F.pmod("pack", F.lit(parts)))
+    return dealt.repartitionById(parts, "part").groupBy("part", "pack").applyInArrow(one_pack, _PIECE_SQL)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
