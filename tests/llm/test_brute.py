@@ -88,6 +88,35 @@ def test_packing(spark, small, docs):
     assert sum(sum(n for _, n in own) < packing.WINDOW for own in sequences.values()) == 1
 
 
+def test_token_files_of_many_ranges_and_hot_ids(spark, monkeypatch, tmp_path):
+    import public_tokenizers
+
+    monkeypatch.setattr(tokens, "PART_BYTES", 500)
+    texts = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, "the same text" if i % 2 else f"text {i % 40} of some") for i in range(900)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    tokens.write_tokens(df, str(tmp_path / "t"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    got = sorted(tokens.read_tokens(spark, str(tmp_path / "t")).collect(), key=lambda r: r.start)
+    assert got[0].start == 0 and all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:], strict=False))
+    assert [r.doc_id for r in got] == sorted((i for i, _ in texts), key=lambda i: (i is not None, i))
+    expected = ids_of("byte_bpe_50k.json", [t for _, t in texts], 0)
+    key = lambda x: (x[0] is not None, x[0] or 0, x[1])
+    assert sorted(((r.doc_id, bytes(r.ids)) for r in got), key=key) == sorted(((i, x.tobytes()) for (i, _), x in zip(texts, expected, strict=True)), key=key)
+    ranges = spark.read.parquet(str(tmp_path / "t" / "chunks")).selectExpr("shard", "size(doc_ids) n").groupBy("shard").sum("n").collect()
+    assert len(ranges) > 12 and max(r[1] for r in ranges) < 200
+
+
+def test_packs_share_partitions_and_prefix_sums_come_in_blocks(spark, monkeypatch):
+    import public_tokenizers
+
+    rows = [(i, "stone river " * (i % 60), (None, "a", "b", "a")[i % 4]) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    pack = lambda: sorted(packing.pack(df, public_tokenizers.path("word_bpe_49k.json"), end_id=2, window=512, quantum=64, pack_tokens=1024).collect(), key=lambda r: (r.sequence_id, r.offset))
+    whole = pack()
+    monkeypatch.setattr(packing, "MOST_PARTS", 3)
+    monkeypatch.setattr(packing, "BLOCK", 4)
+    assert pack() == whole and max(r.sequence_id for r in whole) > 30
+
+
 def test_packing_carries_deficits_between_packs(spark, tmp_path):
     import public_tokenizers
 
