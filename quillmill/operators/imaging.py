@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,12 @@ from pyspark.sql.types import BinaryType, DoubleType, IntegerType, StructField,
 from ..functions.text import bind
 
 NAN = float("nan")
+#: Factor of the sharpening step.
+SHARPEN = 1.5
+#: Sums of a block, so that it stays in the processor's cache.
+CELLS = 40_000
+#: Bytes of pixels that go back to Spark at once.
+MOST_BYTES = 8 << 20
 FEATURES = ("brightness", "contrast", "sharpness", "has_color", "size_ratio")
 
 
@@ -106,13 +113,14 @@ def enhance_plan(brightness: Column, contrast: Column, width: Column, height: Co
     bright = brightness * 255
     steps = F.array(
         F.when(factor > 1, step("upscale", factor)), F.when(inverted(brightness), step("invert", 1.0)), F.when(contrast * 128 < 40, step("contrast", 1.8)),
-        step("sharpness", 1.5), F.when(bright < 80, step("brightness", 1.4)), F.when(bright > 200, step("brightness", 0.8)),
+        step("sharpness", SHARPEN), F.when(bright < 80, step("brightness", 1.4)), F.when(bright > 200, step("brightness", 0.8)),
     )
     return F.filter(steps, lambda s: s.isNotNull())
 
 
+@lru_cache(maxsize=64)
 def lanczos_weights(n: int, m: int) -> np.ndarray:
-    """(m, n): how m places are made of n, by a Lanczos window of three lobes, normalised at the edges."""
+    """(m, n), not to be changed: how m places are made of n, by a Lanczos window of three lobes, normalised at the edges."""
     scale = max(1.0, n / m)
     centre = (np.arange(m) + 0.5) * n / m
     x = (np.arange(n)[None] + 0.5 - centre[:, None]) / scale
@@ -120,11 +128,36 @@ def lanczos_weights(n: int, m: int) -> np.ndarray:
     return w / w.sum(axis=1, keepdims=True)
 
 
+def weighted(weights: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """Weighted sums of lines in whole values, halves up.
+
+    BLAS adds in an order of its own; sums that close to a half are added term by term, so that no
+    result depends on it.
+    """
+    (m, n), k = weights.shape, lines.shape[1]
+    out, step = np.empty((m, k), np.uint8), max(1, CELLS // max(1, k))
+    for a in range(0, m, step):
+        part = weights[a : a + step]
+        sums = part @ lines
+        sums += 0.5
+        whole = np.floor(sums)
+        sums -= whole
+        if sums.min(initial=1) < 1e-8 or sums.max(initial=0) > 1 - 1e-8:
+            at, x = np.divmod(np.flatnonzero(np.abs(sums - 0.5) > 0.5 - 1e-8), k)
+            total = np.zeros(len(at))
+            for i in range(n):
+                total += part[at, i] * lines[i, x]
+            whole[at, x] = np.floor(total + 0.5)
+        out[a : a + step] = np.clip(whole, 0, 255, out=whole)
+    return out
+
+
 def resized(pixels: np.ndarray, width: int, height: int) -> np.ndarray:
     """An HxWxC image scaled across, then down, rounded to whole values after each."""
-    whole = lambda x: np.clip(np.floor(x + 0.5), 0, 255)
-    across = whole(np.einsum("mw,hwc->hmc", lanczos_weights(pixels.shape[1], width), pixels.astype(np.float64)))
-    return whole(np.einsum("mh,hwc->mwc", lanczos_weights(pixels.shape[0], height), across)).astype(np.uint8)
+    h, w, c = pixels.shape
+    across = weighted(lanczos_weights(w, width), pixels.transpose(1, 0, 2).reshape(w, h * c).astype(np.float64))
+    lines = across.reshape(width, h, c).transpose(1, 0, 2).reshape(h, width * c).astype(np.float64)
+    return weighted(lanczos_weights(h, height), lines).reshape(height, width, c)
 
 
 def scale_of(width: int, height: int) -> float:
@@ -132,6 +165,22 @@ def scale_of(width: int, height: int) -> float:
     return max(2.0, 100 / height, 300 / width) if height < 100 or width < 300 else 1.0
 
 
+def channel_sums(pixels: np.ndarray, power: int = 1) -> list[int]:
+    h, w, c = pixels.shape
+    values = pixels.reshape(h, w * c).astype(np.float64)
+    if power == 2:
+        values *= values
+    return [int(s) for s in (np.ones(h) @ values).reshape(w, c).sum(axis=0)]
+
+
+def tone(pixels: np.ndarray) -> tuple[float, float]:
+    """Brightness and contrast of an HxWxC uint8 image from integer sums, as ``profile`` has them."""
+    n, c = pixels.shape[0] * pixels.shape[1], min(pixels.shape[2], 3)
+    sums, squares = (channel_sums(pixels, power)[:c] for power in (1, 2))
+    spread = [math.sqrt(max(n * q - s * s, 0)) / n for s, q in zip(sums, squares, strict=True)]
+    return sum(s / n for s in sums) / c / 255, min(sum(spread) / c / 60, 1.0)
+
+
 def profile(pixels: np.ndarray) -> tuple[float, float, float, int, float]:
     """The features of an HxWxC uint8 image (one, three or four channels) in one pass of numpy."""
     rgb = np.repeat(pixels, 3, axis=2) if pixels.shape[2] == 1 else pixels[:, :, :3]
@@ -146,15 +195,14 @@ def profile(pixels: np.ndarray) -> tuple[float, float, float, int, float]:
 
 @F.pandas_udf(StructType([StructField(n, IntegerType() if n == "has_color" else DoubleType()) for n in FEATURES]))
 def _profiled(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-    for data, width, height, channels, enlarged in batches:
+    for data, width, height, channels, enlarge in batches:
         out = []
-        for d, w, h, c, large in zip(data, width, height, channels, enlarged, strict=True):
+        for d, w, h, c, large in zip(data, width, height, channels, enlarge, strict=True):
             if d is None or w < 1 or h < 1 or c not in (1, 3, 4):
                 out.append((None,) * len(FEATURES))
                 continue
             image = np.frombuffer(d, np.uint8).reshape(h, w, c)
-            factor = scale_of(w, h)
-            out.append(profile(resized(image, int(w * factor), int(h * factor)) if large and factor > 1 else image))
+            out.append(profile(enlarged(image) if large else image))
         yield pd.DataFrame(out, columns=list(FEATURES))
 
 
@@ -165,26 +213,47 @@ def profiled(data: Column | str, width: Column | str, height: Column | str, chan
     return found.withField("sharpness", F.when(found["brightness"].isNotNull(), F.coalesce(found["sharpness"], F.lit(NAN))))
 
 
+def sharpened(pixels: np.ndarray, factor: float) -> np.ndarray:
+    """Away from a 3x3 blur whose middle counts five of 13; halves to the even."""
+    x = np.pad(pixels, ((1, 1), (1, 1), (0, 0)), "edge").astype(np.int16)
+    across = x[:, :-2] + x[:, 1:-1] + x[:, 2:]
+    around = across[:-2] + across[1:-1] + across[2:]
+    x = x[1:-1, 1:-1]
+    if factor == SHARPEN:  # x + (x - blur) / 2 in 26ths: whole numbers, halves exact in 32 bits
+        y = np.divide(35 * x - around, 26, dtype=np.float32)
+    else:
+        blur = (around + 4 * x) / 13
+        y = blur + (x - blur) * factor
+    return np.clip(np.rint(y, out=y), 0, 255, out=y).astype(np.uint8)
+
+
+def luma(pixels: np.ndarray) -> int:
+    """The mean gray of an HxWxC uint8 image in whole values, halves up; of all values unless there are three channels."""
+    n, c = pixels.shape[0] * pixels.shape[1], pixels.shape[2]
+    sums = channel_sums(pixels)
+    top, by = (sum(k * s for k, s in zip((299, 587, 114), sums, strict=True)), 1000 * n) if c == 3 else (sum(sums), c * n)
+    return (2 * top + by) // (2 * by)
+
+
 def apply_plan(pixels: np.ndarray, plan: list[tuple[str, float]]) -> np.ndarray:
-    """A plan applied to an HxWxC uint8 image: Lanczos scaling, a 3x3 blur for sharpening."""
-    x = pixels.astype(np.float64)
+    """A plan applied to an HxWxC uint8 image: Lanczos scaling, a 3x3 blur for sharpening; whole values after each step."""
+    x, every = pixels, np.arange(256.0)
     for op, factor in plan:
         if op == "upscale":
-            x = resized(x, int(x.shape[1] * factor), int(x.shape[0] * factor)).astype(np.float64)
-        elif op == "invert":
-            x = 255 - x
-        elif op == "brightness":
-            x = x * factor
-        elif op == "contrast":
-            middle = math.floor((x @ np.array([0.299, 0.587, 0.114])).mean() + 0.5) if x.shape[2] == 3 else math.floor(x.mean() + 0.5)
-            x = middle + (x - middle) * factor
+            x = resized(x, int(x.shape[1] * factor), int(x.shape[0] * factor))
         elif op == "sharpness":
-            padded = np.pad(x, ((1, 1), (1, 1), (0, 0)), "edge")
-            blur = sum(padded[i : i + x.shape[0], j : j + x.shape[1]] for i in range(3) for j in range(3))
-            blur = (blur + 4 * x) / 13
-            x = blur + (x - blur) * factor
-        x = np.clip(np.round(x), 0, 255)
-    return x.astype(np.uint8)
+            x = sharpened(x, factor)
+        else:
+            if op == "invert":
+                to = 255 - every
+            elif op == "brightness":
+                to = every * factor
+            else:
+                middle = luma(x)
+                to = middle + (every - middle) * factor
+            table = np.clip(np.round(to), 0, 255).astype(np.uint8)
+            x = np.frombuffer(x.tobytes().translate(table.tobytes()), np.uint8).reshape(x.shape)
+    return x
 
 
 def page_mode_of(width: int, height: int) -> int:
@@ -194,30 +263,53 @@ def page_mode_of(width: int, height: int) -> int:
     return 11 if width < 300 or height < 100 else 6
 
 
-def plan_of(pixels: np.ndarray) -> list[tuple[str, float]]:
-    """``enhance_plan`` of one image, by the features it has once it is scaled up."""
+def enlarged(pixels: np.ndarray) -> np.ndarray:
+    """A small image scaled up; others as they are."""
     h, w = pixels.shape[:2]
     factor = scale_of(w, h)
-    bright, contrast = profile(resized(pixels, int(w * factor), int(h * factor)) if factor > 1 else pixels)[:2]
+    return resized(pixels, int(w * factor), int(h * factor)) if factor > 1 else pixels
+
+
+def plan_of(pixels: np.ndarray, large: np.ndarray | None = None) -> list[tuple[str, float]]:
+    """``enhance_plan`` of one image, by the features it has once it is scaled up (``large``, if that is at hand)."""
+    factor = scale_of(pixels.shape[1], pixels.shape[0])
+    bright, contrast = tone(enlarged(pixels) if large is None else large)
     bright *= 255
-    steps = [("upscale", factor, factor > 1), ("invert", 1.0, bright < 100), ("contrast", 1.8, contrast * 128 < 40), ("sharpness", 1.5, True), ("brightness", 1.4, bright < 80), ("brightness", 0.8, bright > 200)]
+    steps = [("upscale", factor, factor > 1), ("invert", 1.0, bright < 100), ("contrast", 1.8, contrast * 128 < 40), ("sharpness", SHARPEN, True), ("brightness", 1.4, bright < 80), ("brightness", 0.8, bright > 200)]
     return [(op, x) for op, x, needed in steps if needed]
 
 
 def enhance(pixels: np.ndarray) -> np.ndarray:
     """An image made ready for recognition."""
-    return apply_plan(pixels, plan_of(pixels))
+    large = enlarged(pixels)
+    return apply_plan(large, [step for step in plan_of(pixels, large) if step[0] != "upscale"])
+
+
+_IMAGE = StructType([StructField("width", IntegerType()), StructField("height", IntegerType()), StructField("data", BinaryType())])
+
 
+def _frames(images: Iterator[np.ndarray | None]) -> Iterator[pd.DataFrame]:
+    """Images as rows of bounded frames; Arrow can't hold 2 GB of bytes in one, and a worker shouldn't."""
+    out, held = [], 0
+    for image in images:
+        out.append((None, None, None) if image is None else (image.shape[1], image.shape[0], image.tobytes()))
+        held += 0 if image is None else image.nbytes
+        if held >= MOST_BYTES or len(out) >= 4096:
+            yield pd.DataFrame(out, columns=_IMAGE.names)
+            out, held = [], 0
+    if out:
+        yield pd.DataFrame(out, columns=_IMAGE.names)
 
-@F.pandas_udf(StructType([StructField("width", IntegerType()), StructField("height", IntegerType()), StructField("data", BinaryType())]))
+
+@F.pandas_udf(_IMAGE)
 def enhanced(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
     """Enhanced pixels from (data, width, height, channels, plan); pixel kernels need numpy."""
-    for data, width, height, channels, plan in batches:
-        out = []
-        for d, w, h, c, steps in zip(data, width, height, channels, plan, strict=True):
-            if d is None or steps is None:
-                out.append((None, None, None))
-                continue
-            image = apply_plan(np.frombuffer(d, np.uint8).reshape(h, w, c), [(s["op"], s["factor"]) for s in steps])
-            out.append((image.shape[1], image.shape[0], image.tobytes()))
-        yield pd.DataFrame(out, columns=["width", "height", "data"])
+    rows = (row for batch in batches for row in zip(*batch, strict=True))
+    yield from _frames(None if d is None or steps is None else apply_plan(np.frombuffer(d, np.uint8).reshape(h, w, c), [(s["op"], s["factor"]) for s in steps]) for d, w, h, c, steps in rows)
+
+
+@F.pandas_udf(_IMAGE)
+def made_ready(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+    """``enhanced`` by an image's own plan from (data, width, height, channels): it is scaled up once for plan and pixels."""
+    rows = (row for batch in batches for row in zip(*batch, strict=True))
+    yield from _frames(None if d is None or w < 1 or h < 1 or c not in (1, 3, 4) else enhance(np.frombuffer(d, np.uint8).reshape(h, w, c)) for d, w, h, c in rows)

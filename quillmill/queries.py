@@ -286,14 +286,15 @@ def upscale_plan(spark, sf_dir):
     return _sizes(spark, sf_dir).select("doc_id", imaging.upscale(F.col("w"), F.col("h")).alias("u")).select("doc_id", "u.*")
 
 
-def _pixels(spark, sf_dir) -> DataFrame:
-    """(img_id, width, height, n_channels, data): the tiles as bytes."""
-    tiles = images.tiles(table(spark, sf_dir, "embeddings"))
+def _pixels(spark, sf_dir, spread: bool = False) -> DataFrame:
+    """(img_id, width, height, n_channels, data): the tiles as bytes; ``spread`` if each becomes a thousand times as large, as many small rows share a split."""
+    vectors = table(spark, sf_dir, "embeddings")
+    tiles = images.tiles(vectors.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))) if spread else vectors)
     return tiles.select("img_id", "width", "height", F.lit(3).alias("n_channels"), images.to_bytes(F.col("r"), F.col("g"), F.col("b")).alias("data"))
 
 
 def _planned(spark, sf_dir) -> DataFrame:
-    shown = _pixels(spark, sf_dir).withColumn("f", imaging.profiled("data", "width", "height", "n_channels", F.lit(True)))
+    shown = _pixels(spark, sf_dir, spread=True).withColumn("f", imaging.profiled("data", "width", "height", "n_channels", F.lit(True)))
     return shown.withColumn("plan", imaging.enhance_plan(F.col("f.brightness"), F.col("f.contrast"), F.col("width"), F.col("height")))
 
 
@@ -306,7 +307,7 @@ def enhance_plan(spark, sf_dir):
 @query()
 def enhanced_pixels(spark, sf_dir):
     """Pixel kernels need numpy; tests check them by hand-made images and compare all tiles."""
-    out = _planned(spark, sf_dir).select("img_id", imaging.enhanced("data", "width", "height", "n_channels", "plan").alias("e"))
+    out = _pixels(spark, sf_dir, spread=True).select("img_id", imaging.made_ready("data", "width", "height", "n_channels").alias("e"))
     return out.select("img_id", "e.width", "e.height", F.sha2("e.data", 256).alias("pixels_sha256"))
 
 

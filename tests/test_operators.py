@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
+from quillmill import queries
 from quillmill.operators import chords, ensemble, imaging, recognition, routing, spelling
 from quillmill.sources import config, images, words
 from quillmill.streaming.chords import EVENT_SQL, act_on, stream_triggers
@@ -138,6 +139,39 @@ def test_plans_follow_the_enlarged_image(spark):
     assert (imaging.resized(same, 9, 13) == 77).all() and np.allclose(imaging.lanczos_weights(10, 10), np.eye(10))
 
 
+def test_pixel_kernels_in_whole_numbers():
+    """Sums near a half are added in order, and sharpening in 26ths is what floats give."""
+    g = np.random.default_rng(8)
+    for hi in (2, 256):
+        weights, lines = imaging.lanczos_weights(8, 300), g.integers(0, hi, (8, 900)).astype(np.float64)
+        total = np.zeros((300, 900))
+        for i in range(8):
+            total += weights[:, i, None] * lines[i]
+        assert (imaging.weighted(weights, lines) == np.clip(np.floor(total + 0.5), 0, 255)).all()
+    x = g.integers(0, 256, (60, 50, 3)).astype(np.uint8)
+    padded = np.pad(x.astype(np.float64), ((1, 1), (1, 1), (0, 0)), "edge")
+    blur = (sum(padded[i : i + 60, j : j + 50] for i in range(3) for j in range(3)) + 4.0 * x) / 13
+    for factor in (imaging.SHARPEN, 1.25):
+        assert (imaging.sharpened(x, factor) == np.clip(np.round(blur + (x - blur) * factor), 0, 255)).all()
+    assert np.allclose(imaging.tone(x), imaging.profile(x)[:2], rtol=1e-12)
+
+
+def test_many_tiles_are_enhanced_in_parallel_and_bounded_frames(spark, tmp_path):
+    import time
+
+    g = np.random.default_rng(6)
+    tiles = [g.integers(0, 256, (8, 8, 3)).astype(np.uint8) for _ in range(200)]
+    began = time.time()
+    ready = [imaging.enhance(t) for t in tiles]
+    assert time.time() - began < 5  # 40 ms a tile before
+    frames = list(imaging._frames(iter([*ready, None])))
+    assert len(frames) > 5 and max(f.data.dropna().map(len).sum() for f in frames) < imaging.MOST_BYTES + 270_000
+    assert [None if d is None else bytes(d) for f in frames for d in f.data] == [r.tobytes() for r in ready] + [None]
+    spark.range(40).selectExpr("id vec_id", "transform(sequence(1, 64), x -> cast(sin(x * id) as float)) embedding", "0 label").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    out = queries.enhanced_pixels(spark, str(tmp_path))
+    assert out.rdd.getNumPartitions() == 4 and out.select("pixels_sha256").distinct().count() >= 39
+
+
 def test_images_from_files_to_text(spark, tmp_path):
     """Files are read, profiled, planned, enhanced and recognised."""
     png(tmp_path / "a.png", [[(200, 30, 10)] * 30] * 20)
