@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..functions.matching import ratio
 from ..functions.text import bind, is_blank, strip
 
 
@@ -66,11 +67,10 @@ def merge_long(variants: DataFrame) -> DataFrame:
 
 @F.pandas_udf(DoubleType())
 def _agreement(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    from difflib import SequenceMatcher
     from itertools import combinations
 
     def one(texts) -> float:
-        ratios = [SequenceMatcher(None, a, b).ratio() for a, b in combinations([t or "" for t in texts], 2)]
+        ratios = [ratio(a, b) for a, b in combinations([t or "" for t in texts], 2)]
         return sum(ratios) / len(ratios) if ratios else 0.5
 
     for series in batches:

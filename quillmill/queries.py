@@ -22,6 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Dealt anew, for work that is large for the bytes read: a split may hold most rows of a table."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def query(sql: str | None = None):
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
@@ -205,7 +210,7 @@ def collect_variants(spark, sf_dir):
 
 @query()
 def variant_agreement(spark, sf_dir):
-    return recognise.variants(table(spark, sf_dir, "documents")).select("doc_id", ensemble.agreement(F.col("variants")).alias("agreement"))
+    return recognise.variants(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", ensemble.agreement(F.col("variants")).alias("agreement"))
 
 
 @query(f"""
@@ -286,15 +291,14 @@ def upscale_plan(spark, sf_dir):
     return _sizes(spark, sf_dir).select("doc_id", imaging.upscale(F.col("w"), F.col("h")).alias("u")).select("doc_id", "u.*")
 
 
-def _pixels(spark, sf_dir, spread: bool = False) -> DataFrame:
-    """(img_id, width, height, n_channels, data): the tiles as bytes; ``spread`` if each becomes a thousand times as large, as many small rows share a split."""
-    vectors = table(spark, sf_dir, "embeddings")
-    tiles = images.tiles(vectors.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))) if spread else vectors)
+def _pixels(spark, sf_dir, dealt=lambda df: df) -> DataFrame:
+    """(img_id, width, height, n_channels, data): the tiles as bytes."""
+    tiles = images.tiles(dealt(table(spark, sf_dir, "embeddings")))
     return tiles.select("img_id", "width", "height", F.lit(3).alias("n_channels"), images.to_bytes(F.col("r"), F.col("g"), F.col("b")).alias("data"))
 
 
 def _planned(spark, sf_dir) -> DataFrame:
-    shown = _pixels(spark, sf_dir, spread=True).withColumn("f", imaging.profiled("data", "width", "height", "n_channels", F.lit(True)))
+    shown = _pixels(spark, sf_dir, spread).withColumn("f", imaging.profiled("data", "width", "height", "n_channels", F.lit(True)))
     return shown.withColumn("plan", imaging.enhance_plan(F.col("f.brightness"), F.col("f.contrast"), F.col("width"), F.col("height")))
 
 
@@ -307,7 +311,7 @@ def enhance_plan(spark, sf_dir):
 @query()
 def enhanced_pixels(spark, sf_dir):
     """Pixel kernels need numpy; tests check them by hand-made images and compare all tiles."""
-    out = _pixels(spark, sf_dir, spread=True).select("img_id", imaging.made_ready("data", "width", "height", "n_channels").alias("e"))
+    out = _pixels(spark, sf_dir, spread).select("img_id", imaging.made_ready("data", "width", "height", "n_channels").alias("e"))
     return out.select("img_id", "e.width", "e.height", F.sha2("e.data", 256).alias("pixels_sha256"))
 
 

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quillmill import queries
+from quillmill.functions import matching
 from quillmill.operators import chords, ensemble, imaging, recognition, routing, spelling
 from quillmill.sources import config, images, words
 from quillmill.streaming.chords import EVENT_SQL, act_on, stream_triggers
@@ -37,6 +38,42 @@ def test_agreement_and_detections(spark):
     assert d.select(ensemble.keep_detections(F.col("d"))).first()[0] == "b\nc"
 
 
+def test_similarity_is_difflibs():
+    """Grams looked up by length give the blocks that difflib finds by reading the range for each."""
+    import random
+    from difflib import SequenceMatcher
+
+    g, wide = random.Random(2), "".join(map(chr, range(0x4E00, 0x4E00 + 900)))
+    for n in (3, 150, 199, 200, 201, 900):
+        for letters in ("ab", "abcdefghij kl.\n", wide, "\xe9\U0001f600xyz \ud800"):
+            for edits in (0, 1, 4, n // 20, n // 3):
+                a = g.choices(letters, k=n)
+                b = list(a)
+                for _ in range(edits):
+                    at = g.randrange(len(b))
+                    b[at : at + g.randrange(3)] = g.choices(letters, k=g.randrange(1, 3))
+                if g.random() < 0.3:
+                    b = b[n // 2 :] + b[: n // 2] + b[:40] * 3
+                a, b = "".join(a), "".join(b)
+                for x, y in ((a, b), (b, a), (a, " \n "), (a, ""), ("", b), (a, a)):
+                    assert matching.ratio(x, y) == SequenceMatcher(None, x, y).ratio()
+                    if x and y:
+                        assert 2.0 * matching.matches(x, y) / (len(x) + len(y)) == SequenceMatcher(None, x, y).ratio()
+
+
+def test_similarity_of_long_texts_is_quick():
+    import random
+    import time
+
+    g = random.Random(3)
+    a = "".join(g.choices("etaoinshrdlu" * 6 + "cmfwypvbgkqjxz.,\nABCDEFGHIJ0123456789" + "    " * 5, k=120_000))
+    b = "".join(c for c in a if g.random() > 0.01)
+    wide = "".join(chr(0x4E00 + g.randrange(9000)) for _ in range(60_000))
+    began = time.time()
+    assert matching.ratio(a, b) > 0.9 and matching.ratio(wide, wide[:30_000] + "x" + wide[30_000:]) == 120_000 / 120_001
+    assert time.time() - began < 10
+
+
 def features(spark, px, w, h):
     df = spark.createDataFrame([(px, w, h)], "p array<int>, w int, h int")
     return df.select(imaging.features(F.col("p"), F.col("p"), F.col("p"), F.col("w"), F.col("h")).alias("f")).select("f.*").first()
