@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import Batcher, load, rows, shared_path
 
-BLOCK_IDS, CHUNK_IDS, CACHED_PIECES, CACHED_WORDS = 16_384, 262_144, 150_000, 250_000
+BLOCK_IDS, CHUNK_IDS, CACHED_PIECES, CACHED_WORDS = 16_384, 262_144, 300_000, 250_000
 #: Text bytes of a range of documents, unless that makes more than ``MOST_PARTS`` ranges.
 PART_BYTES, MOST_PARTS = 16 << 20, 50_000
 #: White space other than the space and \n, and characters on which Python and the tokenizers may not agree.
@@ -99,31 +99,36 @@ class Encoder:
             octets = plain.encode().decode("latin-1").translate(_BYTE_CHARS)
         return array("I", [t.id for t in self.model.tokenize(octets)]).tobytes()
 
-    def learn(self, pieces: list[str]) -> None:
+    def learn(self, pieces: set[str]) -> None:
         """Cache new pieces; one that begins with \n is that and a piece without a space before it."""
-        odd, known, words, tails, before = [], self.known, self.words, self.tails, self.known_before.get
+        odd, known, words, tails = [], self.known, self.words, self.tails
+        before = self.known_before
+        if before and (met := [p for p in pieces if p in before]):
+            known.update((p, before[p]) for p in met)
+            pieces = pieces.difference(met)
+        space = "" if self.drops_space else " "
         for p in pieces:
-            if (ids := before(p)) is not None:
-                known[p] = ids
-                continue
-            lead, body = (self.lead, p[1:]) if p[0] == "\n" else (b"", p)
-            core = body.rstrip(_TAIL)
-            if not core.isalpha():
-                odd.append(p)
-                continue
-            tail = body[len(core) :]
-            core = core if lead or self.drops_space else " " + core
+            lead = p[0] == "\n"
+            core = p.rstrip(_TAIL)
+            tail = p[len(core) :]
+            core = core[1:] if lead else space + core
             if (ids := words.get(core)) is None:
+                # Only words get into the cache, so a piece that is found there need not be looked at.
+                if not (core if lead else core.removeprefix(space)).isalpha():
+                    odd.append(p)
+                    continue
                 if (ids := self.older.get(core)) is None:
                     ids = self.word(core)
                 words[core] = ids
                 if len(words) > CACHED_WORDS:  # words not met for a generation are forgotten
                     self.older, self.words = words, (words := {})
-            if (more := tails.get(tail)) is None:
-                if len(tails) > CACHED_PIECES:
-                    tails.clear()
-                more = tails[tail] = self.whole(tail) if tail else b""
-            known[p] = lead + ids + more
+            if tail:
+                if (more := tails.get(tail)) is None:
+                    if len(tails) > CACHED_PIECES:
+                        tails.clear()
+                    more = tails[tail] = self.whole(tail)
+                ids += more
+            known[p] = self.lead + ids if lead else ids
         if not odd:
             return
         spaced = [p if self.drops_space else p[1:] if p[0] == "\n" else " " + p for p in odd]
@@ -139,15 +144,13 @@ class Encoder:
             at = end + 4
 
     def pieces(self, pieces: list[str]) -> bytes:
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, pieces))
-        except KeyError:
-            if len(known) > CACHED_PIECES:
+        # Most texts have a new piece, so these are found first; a failed attempt to join costs more.
+        if new := set(pieces).difference(self.known):
+            if len(self.known) > CACHED_PIECES:
                 self.forget()
-                known = self.known
-            self.learn(list({p for p in pieces if p not in known}))
-            return b"".join(map(known.__getitem__, pieces))
+                new = set(pieces).difference(self.known)
+            self.learn(new)
+        return b"".join(map(self.known.__getitem__, pieces))
 
     def __call__(self, text: str | None) -> bytes:
         if not text:

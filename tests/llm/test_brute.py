@@ -510,3 +510,29 @@ def test_leaks_of_tables(spark, request, which):
     ids = {d[0] for d in docs}
     got = Counter((r.doc_id, r.item_id, r.n_matched) for r in queries()["op10_decontaminate"](spark, sf_dir).collect() if r.doc_id in ids)
     assert got == Counter((i, h[0], h[1]) for i, t in docs for h in leaks(items, t))
+
+
+def test_texts_with_new_pieces_are_joined_once(monkeypatch):
+    import public_tokenizers
+
+    from quillmill.llm import tokens
+
+    class Counted(dict):
+        looked = 0
+
+        def __getitem__(self, piece):
+            Counted.looked += 1
+            return dict.__getitem__(self, piece)
+
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        enc = tokens.Encoder(public_tokenizers.path(name))
+        enc.known, Counted.looked = Counted(enc.known), 0
+        text = "the old words and\nthe new, newer ones."
+        assert enc(text) == enc.whole(text) and Counted.looked == 8
+        # Pieces and words of earlier generations, and marks that look like words once they are cut.
+        monkeypatch.setattr(tokens, "CACHED_PIECES", 5)
+        monkeypatch.setattr(tokens, "CACHED_WORDS", 3)
+        enc = tokens.Encoder(public_tokenizers.path(name))
+        for text in ("a b. c, d e\nf", "a, ... b c ''", "\n. a b\nb. x1 x, it's", "d e. f\na ǅ é", "a b. c d e f g h", "#a a# a\na", "...") * 3:
+            assert enc(text) == enc.whole(text), text
+        monkeypatch.undo()
