@@ -44,8 +44,8 @@ _CODED = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("row", pa.
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     encode, out, row = encoder(path), Batcher(_CODED), TaskContext.get().partitionId() << 33
-    for doc, text, source in rows(batches, "doc_id", "text", "source"):
-        ids = np.append(np.frombuffer(encode(text), "<u4"), np.uint32(end_id))
+    for ids, (doc, source) in encode.each(rows(batches, "text", "doc_id", "source")):
+        ids = np.append(ids, np.uint32(end_id))
         data = ids.astype("<u2" if ids.max() < 1 << 16 else "<u4").tobytes()
         if out.add((doc, source, row, len(ids), data), len(data)):
             yield out.take()

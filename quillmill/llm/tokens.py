@@ -3,7 +3,8 @@
 Encoding. A text is cut where a non-space character meets a space or line break; no pre-token of
 either tokenizer crosses such a cut, so a text's ids are its pieces' ids in order, and a piece that
 was seen before needs no second encoding. Texts with other white space, or several in a row, are
-encoded whole where white space matters. The cache is bounded.
+encoded whole where white space matters. Pieces of many texts are looked up together in a table of
+ids (``piece_table``); only those not found there become strings. Table and caches are bounded.
 
 File format. Rows of a Parquet dataset are chunks of whole documents (so a chunk is readable by
 itself and a lost task is simply run again by Spark's commit protocol): ids are cut into blocks
@@ -14,18 +15,19 @@ first position of the whole corpus, number of ids, first and last document.
 Nulls and corner cases: a null text is empty (its only id is the end id); a null doc_id sorts
 first; rows that repeat a doc_id are documents of their own, ordered by text hash (equal rows in any
 order, so that no run of them must lie in one range); an empty table
-gives an empty dataset. Other columns are ignored. One document's ids are in memory at a time,
-plus a chunk.
+gives an empty dataset. Other columns are ignored. The ids of ``BATCH_CHARS`` characters of texts
+or of one document are in memory at a time, plus a chunk.
 """
 
 from __future__ import annotations
 
 import re
-import string
 import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +36,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Batcher, load, rows, shared_path
+from .piece_table import KEY_BYTES, MARKS, PieceTable, cut, spread
 
 BLOCK_IDS, CHUNK_IDS, CACHED_PIECES, CACHED_WORDS = 16_384, 262_144, 300_000, 250_000
+#: Pieces in the table, and characters and texts that are looked up together.
+TABLE_PIECES, BATCH_CHARS, BATCH_TEXTS = 1_500_000, 1 << 20, 1024
 #: Text bytes of a range of documents, unless that makes more than ``MOST_PARTS`` ranges.
 PART_BYTES, MOST_PARTS = 16 << 20, 50_000
 #: White space other than the space and \n, and characters on which Python and the tokenizers may not agree.
 _RARE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
-#: Punctuation that parts from a word before it; the apostrophe doesn't always.
-_TAIL = string.punctuation.replace("'", "")
 
 
 def _byte_chars() -> dict[int, int]:
@@ -52,6 +55,8 @@ def _byte_chars() -> dict[int, int]:
 
 
 _BYTE_CHARS = _byte_chars()
+#: The same for all bytes, as UTF-16.
+_BYTE_UNITS = np.array([_BYTE_CHARS.get(b, b) for b in range(256)], "<u2")
 
 
 class Encoder:
@@ -78,12 +83,14 @@ class Encoder:
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {"": b""}
+        #: What stands between delimiters when nothing does.
+        self.blank = {"": b""} if self.drops_space else {"": self.whole(" "), "\n": self.lead}
+        self.table = PieceTable(TABLE_PIECES)
         self.forget()
 
     def forget(self) -> None:
         """Starts a new generation: pieces that aren't met in it will be forgotten with the next."""
-        self.known_before, self.known = self.known, {}
-        self.known |= {"": b""} if self.drops_space else {"": self.whole(" "), "\n": self.lead}
+        self.known_before, self.known = self.known, dict(self.blank)
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -99,19 +106,19 @@ class Encoder:
             octets = plain.encode().decode("latin-1").translate(_BYTE_CHARS)
         return array("I", [t.id for t in self.model.tokenize(octets)]).tobytes()
 
-    def learn(self, pieces: set[str]) -> None:
-        """Cache new pieces; one that begins with \n is that and a piece without a space before it."""
-        odd, known, words, tails = [], self.known, self.words, self.tails
-        before = self.known_before
-        if before and (met := [p for p in pieces if p in before]):
-            known.update((p, before[p]) for p in met)
-            pieces = pieces.difference(met)
+    def learn(self, pieces: set[str], known: dict[str, bytes]) -> None:
+        """Adds new pieces to ``known``; one that begins with \n is that and a piece without a space before it."""
+        odd, words, tails = [], self.words, self.tails
         space = "" if self.drops_space else " "
         for p in pieces:
             lead = p[0] == "\n"
-            core = p.rstrip(_TAIL)
+            core = p.rstrip(MARKS)
             tail = p[len(core) :]
             core = core[1:] if lead else space + core
+            # A letter may become a letter and a sign, which doesn't part from marks.
+            if tail and self.normalizer and not core.isascii() and not self.normalizer.normalize_str(core)[-1:].isalpha():
+                odd.append(p)
+                continue
             if (ids := words.get(core)) is None:
                 # Only words get into the cache, so a piece that is found there need not be looked at.
                 if not (core if lead else core.removeprefix(space)).isalpha():
@@ -149,19 +156,141 @@ class Encoder:
             if len(self.known) > CACHED_PIECES:
                 self.forget()
                 new = set(pieces).difference(self.known)
-            self.learn(new)
+            if (before := self.known_before) and (met := [p for p in new if p in before]):
+                self.known.update((p, before[p]) for p in met)
+                new.difference_update(met)
+            self.learn(new, self.known)
         return b"".join(map(self.known.__getitem__, pieces))
 
+    def needs_whole(self, text: str) -> bool:
+        return not self.drops_space and bool(_RARE.search(text) or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n")
+
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
         if self.drops_space:
             return self.pieces(text.replace("\n", " ").split(" "))
-        if _RARE.search(text) or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n":
+        if self.needs_whole(text):
             return self.whole(text)
         # The first piece is read as if a line break stood before it, whose id is then left out.
         return self.pieces(("\n" + text).replace("\n", " \n").split(" ")[1:])[4:]
 
+    def each(self, texts: Iterator[tuple]) -> Iterator[tuple]:
+        """(ids, the rest) of each (text, the rest), in order; some texts are encoded together."""
+        held, size = [], 0
+        for row in texts:
+            held.append(row)
+            size += len(row[0] or "")
+            if size >= BATCH_CHARS or len(held) >= BATCH_TEXTS:
+                yield from zip(self.many([r[0] for r in held]), (r[1:] for r in held), strict=True)
+                held, size = [], 0
+        yield from zip(self.many([r[0] for r in held]), (r[1:] for r in held), strict=True)
+
+    def many(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text."""
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        parts, owners, size = [], [], 0
+
+        def flush() -> None:
+            for k, ids in zip(owners, self._ids(parts), strict=True):
+                out[k].append(ids)
+            parts.clear()
+            owners.clear()
+
+        for k, text in enumerate(texts):
+            if not text:
+                continue
+            if "\0" in text or self.needs_whole(text):
+                out[k].append(np.frombuffer(self(text), "<u4"))
+                continue
+            # As in a call, the first piece is read as if a line break stood before it.
+            for part in _parts("\n" + text):
+                parts.append((part, not out[k] and (not owners or owners[-1] != k)))
+                owners.append(k)
+                size += len(part)
+                if size >= BATCH_CHARS:
+                    flush()
+                    size = 0
+        flush()
+        return [ids[0] if len(ids) == 1 else np.concatenate(ids) if ids else np.empty(0, np.uint32) for ids in out]
+
+    def _ids(self, parts: list[tuple[str, bool]]) -> list[np.ndarray]:
+        """The ids of parts of texts, each of which begins with a delimiter; True: the line break there isn't the text's."""
+        if not parts:
+            return []
+        octets = [p.encode() for p, _ in parts]
+        if self.drops_space:
+            octets = [o.replace(b"\n", b" ") for o in octets]
+        data, table = b"".join(octets), self.table
+        begins = np.cumsum([0, *map(len, octets)])
+        at, length, keys = cut(data)
+        slot, there = table.find(keys)
+        short = length <= KEY_BYTES
+        table.met[slot[there & short]] = True
+        if len(miss := np.flatnonzero(short & ~there)):
+            first: dict[bytes, int] = {}
+            for i, a, n in zip(miss.tolist(), at[miss].tolist(), length[miss].tolist(), strict=True):
+                first.setdefault(data[a : a + n], i)
+            found, ids, n = self._first_met(list(first))
+            anew = table.add(keys[[first[p] for p in found]], ids, n, slot[there & short])
+            again = slice(None) if anew else miss
+            slot[again] = table.find(keys[again])[0]
+        start, n = table.runs[slot].astype(np.int64).T
+        if len(long := np.flatnonzero(~short)):
+            runs = [self.pieces([self._name(data[a : a + m])]) for a, m in zip(at[long].tolist(), length[long].tolist(), strict=True)]
+            n[long] = [len(r) // 4 for r in runs]
+            start[long] = table.place(np.frombuffer(b"".join(runs), "<u4")) + np.cumsum(n[long]) - n[long]
+        heads = np.searchsorted(at, begins[:-1])
+        if not self.drops_space:
+            own = heads[[is_first for _, is_first in parts]]
+            start[own] += 1
+            n[own] -= 1
+        ids = table.ids[spread(start, n)]
+        return np.split(ids, np.concatenate([[0], np.cumsum(n)])[heads[1:]])
+
+    @staticmethod
+    def _name(piece: bytes) -> str:
+        """A piece with its delimiter, as the caches name it."""
+        return piece.decode() if piece[0] == 10 else piece[1:].decode()
+
+    def _first_met(self, new: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """New pieces of the table in another order, their ids one run after another, and how many each has."""
+        named = [(p, p[1:].decode()) for p in new if p[0] == 32]
+        words = [x for x in named if x[1].isalpha()]
+        plain = [w for _, w in words]
+        if self.normalizer:
+            plain = self.normalizer.normalize_str(" ".join(plain)).split(" ")
+            if len(plain) != len(words):
+                plain, words = [], []
+            words, plain = [x for x, w in zip(words, plain, strict=True) if w.isalpha()], [w for w in plain if w.isalpha()]
+        units = _BYTE_UNITS[np.frombuffer("\n".join(plain if self.drops_space else [" " + w for w in plain]).encode(), np.uint8)]
+        tokenize = self.model.tokenize
+        runs = [tokenize(w) for w in units.tobytes().decode("utf-16-le").split(chr(_BYTE_CHARS[10]))] if words else []
+        n = [*map(len, runs)]
+        ids = np.fromiter(map(attrgetter("id"), chain.from_iterable(runs)), np.uint32, sum(n))
+        done = [p for p, _ in words]
+        if len(done) < len(new):
+            rest = [*set(new).difference(done)]
+            got = dict(self.blank)
+            self.learn({self._name(p) for p in rest if p[0] in b" \n"}.difference(got), got)
+            more = [got[self._name(p)] if p[0] in b" \n" else self.whole(p.decode()) for p in rest]
+            done += rest
+            n += [len(r) // 4 for r in more]
+            ids = np.concatenate([ids, np.frombuffer(b"".join(more), "<u4")])
+        return done, ids, np.array(n, np.int64)
+
+
+def _parts(text: str) -> Iterator[str]:
+    """A text in parts of about ``BATCH_CHARS`` characters, each of which begins at a space or line break."""
+    at = 0
+    while len(text) - at > BATCH_CHARS:
+        found = [x for x in (text.find(" ", at + BATCH_CHARS), text.find("\n", at + BATCH_CHARS)) if x >= 0]
+        if not found:
+            break
+        yield text[at : min(found)]
+        at = min(found)
+    yield text[at:] if at else text
+
 
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
@@ -210,12 +339,11 @@ def _chunks(path: str, end_id: int, kind: str):
             blocks = [to_planes(ids[a : a + BLOCK_IDS], kind) for a in range(0, len(ids), BLOCK_IDS)]
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((shard, chunk, len(ids), docs, lengths, blocks, kind), _CHUNK, strict=True)], schema=_CHUNK)
 
-        for doc, text in rows(batches, "doc_id", "text"):
-            ids = encode(text)
-            held += ids
+        for ids, (doc,) in encode.each(rows(batches, "text", "doc_id")):
+            held += ids.tobytes()
             held += end
             docs.append(doc)
-            lengths.append(len(ids) // 4 + 1)
+            lengths.append(len(ids) + 1)
             if len(held) >= 4 * CHUNK_IDS:
                 yield close()
                 chunk, held, docs, lengths = chunk + 1, bytearray(), [], []

@@ -536,3 +536,50 @@ def test_texts_with_new_pieces_are_joined_once(monkeypatch):
         for text in ("a b. c, d e\nf", "a, ... b c ''", "\n. a b\nb. x1 x, it's", "d e. f\na ǅ é", "a b. c d e f g h", "#a a# a\na", "...") * 3:
             assert enc(text) == enc.whole(text), text
         monkeypatch.undo()
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_texts_are_looked_up_together(monkeypatch, name):
+    import random
+
+    import public_tokenizers
+
+    from quillmill.llm import tokens
+
+    rng = random.Random(3)
+    parts = ["the", "The", "stone,", "été,", "é.", "ß;", "×,", "÷.", "x1,", "12.", "...", ",", "a,.", "it's", "'", "it',", "Ǻ,", "e\u0301,", "İ,", "ǅ", "人,", "»,", "s<|endoftext|>", "<|endoftext|>,", "\x01", "#a", "$$$", "a$$$", "a" * 21, "a" * 22 + ",", "a" * 23, "a" * 24, "é" * 30 + ",", "un" * 40, "Σ,", "ΑΣ", "q\u0338,", "<\u0338,", "\U0001d400,"]
+    texts = ["".join(rng.choice(parts) + rng.choice("     \n") for _ in range(rng.randrange(1, 40))) + rng.choice(["", " ", "\n", "end", "."]) for _ in range(120)]
+    texts += [None, "", " ", "\n", "a", "a\0b c", "a\0", "  two", "two  of", "tab\there", " lead", "\nlead", "trail ", "trail\n", ",", ", ,", "\n,", "no\u00a0break", "x" * 5000]
+    texts += [" ".join(f"{rng.choice('abc')}{chr(97 + rng.randrange(26))}{rng.choice(['x', 'yz', 'é'])}" for _ in range(800))]
+    for pieces, chars in ((1_000, 1 << 20), (1_000, 50), (8, 300), (300, 2000)):
+        monkeypatch.setattr(tokens, "TABLE_PIECES", pieces)
+        monkeypatch.setattr(tokens, "BATCH_CHARS", chars)
+        enc = tokens.Encoder(public_tokenizers.path(name))
+        for _ in range(2):
+            got = list(enc.each((t, k) for k, t in enumerate(texts)))
+            assert [k for _, (k,) in got] == list(range(len(texts)))
+            for (ids, _), t in zip(got, texts, strict=True):
+                assert ids.tobytes() == enc.whole(t or "") == enc(t), t
+
+
+def test_words_are_encoded_once_whatever_mark_follows():
+    import public_tokenizers
+
+    from quillmill.llm import tokens
+
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        enc = tokens.Encoder(public_tokenizers.path(name))
+        model, seen = enc.model, []
+
+        class Counted:
+            @staticmethod
+            def tokenize(word, model=model, seen=seen):
+                seen.append(word)
+                return model.tokenize(word)
+
+        enc.model = Counted
+        words = [a + b + c for a in "bcdf" for b in "aeioué" for c in "lmnrst"]
+        texts = ["x " + " ".join(w + mark for w in words) for mark in ("", ",", ".", "!", "")]
+        for (ids, _), t in zip(enc.each((t, 0) for t in texts), texts, strict=True):
+            assert ids.tobytes() == enc.whole(t)
+        assert len(seen) <= len(words) + 2 and len(set(seen)) == len(seen)
