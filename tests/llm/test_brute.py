@@ -583,3 +583,12 @@ def test_words_are_encoded_once_whatever_mark_follows():
         for (ids, _), t in zip(enc.each((t, 0) for t in texts), texts, strict=True):
             assert ids.tobytes() == enc.whole(t)
         assert len(seen) <= len(words) + 2 and len(set(seen)) == len(seen)
+
+
+def test_packed_ids_where_a_letter_turns_into_two_before_a_mark(spark):
+    import public_tokenizers
+
+    texts = ["stone İ, river. été; ×, end", "İ. \nİ,", None, "a\0b, " + "long" * 20 + ","]
+    df = spark.createDataFrame([(i, t, "a") for i, t in enumerate(texts)], "doc_id long, text string, source string").coalesce(1)
+    got = {r.doc_id: (r.start, r.length, r.doc_tokens, r.ids_crc32) for r in packing.pack(df, public_tokenizers.path("word_bpe_49k.json"), end_id=2).collect()}
+    assert got == {i: (0, len(x), len(x), zlib.crc32(x.tobytes())) for i, x in enumerate(ids_of("word_bpe_49k.json", texts, 2))}
